@@ -1,6 +1,6 @@
 """All queries of the library but those of the training-data subpackage."""
 
-from . import training
+from . import corpus, training
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "training"]
+__all__ = ["QUERIES", "SQL", "corpus", "training"]
