@@ -20,8 +20,8 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _fine(df: DataFrame, *names: str) -> DataFrame:
-    """Eleven digits: features of round numbers may end in a five at an earlier one."""
-    return df.withColumns({n: F.round(n, 11) for n in names})
+    """Six digits by the same arithmetic as in the SQL: features of round numbers often end in a five at the seventh, which goes up."""
+    return df.withColumns({n: F.floor(F.col(n) * 1e6 + 0.5001) / 1e6 for n in names})
 
 
 @query("training_join", f"""with {CTES}
@@ -62,11 +62,11 @@ _ROWS = f"""with {CTES},
 
 
 @query("features_fit", f"""{_ROWS}
-    select order_id, line_no, round(position, 11) as sat_percentile_at_school, round(gpa - expected, 11) as gpa_vs_expected,
+    select order_id, line_no, floor((position) * 1e6::double + 0.5001) / 1e6::double as sat_percentile_at_school, floor((gpa - expected) * 1e6::double + 0.5001) / 1e6::double as gpa_vs_expected,
         case when acceptance is null then 'unknown' when acceptance < 0.15 then 'reach' when acceptance < 0.4 then 'competitive' when acceptance < 0.7 then 'match' else 'safety' end as selectivity_bucket,
-        round(sat_z, 11) as sat_zscore_at_school, round(gpa_z, 11) as gpa_zscore_at_school, round(over_sat / 100 + over_gpa, 11) as overqualification_index,
-        round(0.5 * greatest(-3, least(3, sat_z)) / 3 + 0.5 * greatest(-3, least(3, gpa_z)) / 3, 11) as academic_fit,
-        round(case when width > 0 then width / nullif(middle, 0) end, 11) as holistic_signal, case when width > 0 then width end as sat_range
+        floor((sat_z) * 1e6::double + 0.5001) / 1e6::double as sat_zscore_at_school, floor((gpa_z) * 1e6::double + 0.5001) / 1e6::double as gpa_zscore_at_school, floor((over_sat / 100 + over_gpa) * 1e6::double + 0.5001) / 1e6::double as overqualification_index,
+        floor((0.5 * greatest(-3, least(3, sat_z)) / 3 + 0.5 * greatest(-3, least(3, gpa_z)) / 3) * 1e6::double + 0.5001) / 1e6::double as academic_fit,
+        floor((case when width > 0 then width / nullif(middle, 0) end) * 1e6::double + 0.5001) / 1e6::double as holistic_signal, case when width > 0 then width end as sat_range
     from r2""")
 def features_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("sat_percentile_at_school", "gpa_vs_expected", "sat_zscore_at_school", "gpa_zscore_at_school", "overqualification_index", "academic_fit", "holistic_signal")
@@ -74,10 +74,10 @@ def features_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("features_interactions", f"""{_ROWS}
-    select order_id, line_no, round(gpa * rate, 11) as gpa_x_acceptance, round(position * position, 11) as sat_percentile_sq, round((1 - rate) * position, 11) as selectivity_x_sat,
-        round(idx, 11) as competitiveness_index, round(gpa * idx, 11) as gpa_x_competitiveness, round(sat_z * idx, 11) as sat_x_competitiveness,
-        (residency = 'inState')::int::double * coalesce((ownership = 1)::int::double, 0) as instate_x_public, round((residency = 'inState')::int::double * rate, 11) as residency_x_acceptance,
-        over_sat as sat_excess, round(over_gpa, 11) as gpa_excess, round(coalesce(sat_score / nullif(middle, 0), 1), 11) as sat_ratio, round((tier = 'stem_competitive')::int::double * rate, 11) as stem_competitive_x_acceptance
+    select order_id, line_no, floor((gpa * rate) * 1e6::double + 0.5001) / 1e6::double as gpa_x_acceptance, floor((position * position) * 1e6::double + 0.5001) / 1e6::double as sat_percentile_sq, floor(((1 - rate) * position) * 1e6::double + 0.5001) / 1e6::double as selectivity_x_sat,
+        floor((idx) * 1e6::double + 0.5001) / 1e6::double as competitiveness_index, floor((gpa * idx) * 1e6::double + 0.5001) / 1e6::double as gpa_x_competitiveness, floor((sat_z * idx) * 1e6::double + 0.5001) / 1e6::double as sat_x_competitiveness,
+        (residency = 'inState')::int::double * coalesce((ownership = 1)::int::double, 0) as instate_x_public, floor(((residency = 'inState')::int::double * rate) * 1e6::double + 0.5001) / 1e6::double as residency_x_acceptance,
+        over_sat as sat_excess, floor((over_gpa) * 1e6::double + 0.5001) / 1e6::double as gpa_excess, floor((coalesce(sat_score / nullif(middle, 0), 1)) * 1e6::double + 0.5001) / 1e6::double as sat_ratio, floor(((tier = 'stem_competitive')::int::double * rate) * 1e6::double + 0.5001) / 1e6::double as stem_competitive_x_acceptance
     from r2""")
 def features_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = (
@@ -89,7 +89,7 @@ def features_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("features_policy", f"""{_ROWS}
     select order_id, line_no, 0::double as is_yield_protector, tier as major_tier, coalesce((sat_score > sat75)::int::double, 0) as sat_above_75th, below as sat_below_25th, optional as is_test_optional,
-        round(optional * sat_z, 11) as test_optional_x_sat_z, (1 - optional) * below as test_required_x_sat_below_25th, round(optional * gpa_z, 11) as test_optional_x_gpa_zscore
+        floor((optional * sat_z) * 1e6::double + 0.5001) / 1e6::double as test_optional_x_sat_z, (1 - optional) * below as test_required_x_sat_below_25th, floor((optional * gpa_z) * 1e6::double + 0.5001) / 1e6::double as test_optional_x_gpa_zscore
     from r2""")
 def features_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("test_optional_x_sat_z", "test_optional_x_gpa_zscore")
