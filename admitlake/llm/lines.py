@@ -25,6 +25,8 @@ from .common import bounded_batches, free_name, quoted, stored, utf8_list, with_
 CODE_POINTS, DOCUMENTS = 20, 3
 #: Bits of each filter for a line, at least and at most; segments that merge on their own.
 BITS_EACH, LEAST_BITS, MOST_BITS, SEGMENTS = 16, 1 << 20, 1 << 27, 64
+#: Line hashes that a task holds before it puts them into its filters.
+HELD = 1_000_000
 #: Hashes of one filter entry.
 PROBES = 2
 #: Repeated lines that may travel to every task in one piece; more of them are joined.
@@ -61,25 +63,29 @@ def _hashes(raw: bytes, least: int) -> np.ndarray:
 
 
 def _partial(bits: int, least: int):
-    """Of a task's texts: the segments of both filters, as set bits' numbers."""
+    """Of a task's texts: the segments of both filters, as set bits' numbers; a part for every HELD hashes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
-        for batch in batches:
-            for raw in utf8_list(batch.column(0)):
-                found = _hashes(raw, least)
-                if len(found):
-                    at = _positions(found, bits)
-                    again = at[once[at].all(1)]
-                    twice[again] = True
-                    once[at] = True
+    def filters(hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found, times = np.unique(np.concatenate(hashes), return_counts=True)
         each = bits // SEGMENTS
+        once, twice = np.unique(_positions(found, bits)), np.unique(_positions(found[times > 1], bits))
         for s in range(SEGMENTS):
-            part = slice(s * each, (s + 1) * each)
-            packed = [np.flatnonzero(x[part]).astype("<u4").tobytes() for x in (once, twice)]
+            packed = [(x[np.searchsorted(x, s * each) : np.searchsorted(x, (s + 1) * each)] - s * each).astype("<u4").tobytes() for x in (once, twice)]
             if packed[0]:
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array(packed[:1], pa.binary()), pa.array(packed[1:], pa.binary())], ["segment", "once", "twice"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held = [], 0
+        for batch in batches:
+            for raw in utf8_list(batch.column(0)):
+                hashes.append(_hashes(raw, least))
+                held += len(hashes[-1])
+            if held >= HELD:
+                yield from filters(hashes)
+                hashes, held = [], 0
+        if held:
+            yield from filters(hashes)
+
     return run
 
 
@@ -111,10 +117,12 @@ def repeated_filter(df: DataFrame, text: str = "text", least: int = CODE_POINTS)
         bits *= 2
     parts = df.select(column).mapInArrow(_partial(bits, least), "segment int, once binary, twice binary")
     merged = parts.groupBy("segment").applyInArrow(_merged(bits), "segment int, twice binary")
-    out, each = np.zeros(bits, bool), bits // SEGMENTS
+    out, each = np.zeros(bits // 8, np.uint8), bits // SEGMENTS
     for row in merged.toLocalIterator():
-        out[row["segment"] * each + np.frombuffer(row["twice"], "<u4").astype(np.int64)] = True
-    return np.packbits(out, bitorder="little")
+        own = np.zeros(each, bool)
+        own[np.frombuffer(row["twice"], "<u4")] = True
+        out[row["segment"] * each // 8 : (row["segment"] + 1) * each // 8] = np.packbits(own, bitorder="little")
+    return out
 
 
 def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = CODE_POINTS, documents: int = DOCUMENTS) -> DataFrame:
