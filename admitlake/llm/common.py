@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Arrow batch carries to a Python worker; a longer text travels alone.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 _written: list[tuple[SparkSession, str]] = []
 

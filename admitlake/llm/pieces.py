@@ -31,9 +31,9 @@ from .common import bounded_batches, list_array, quoted, with_columns
 
 SPACE = "▁"
 #: Segments whose ids a worker remembers in each of two generations; the older one goes when the newer is full.
-REMEMBERED = 450_000
+REMEMBERED = 150_000
 #: Neighbour pairs whose compatibility a worker remembers.
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 300_000
 _NEVER = 1 << 60
 
 
@@ -347,9 +347,9 @@ def encode_pieces(df: DataFrame, model: str | Path, text: str = "text", ids: str
     def run(texts: pa.Array) -> pa.Array:
         made = codec(shared.value)
         values, sizes = _ids(texts.to_pylist(), made)
-        flat, at, back = values.tolist(), 0, []
+        at, back = 0, []
         for n in sizes:
-            back.append(made.decode(flat[at : at + n]))
+            back.append(made.decode(values[at : at + n].tolist()))
             at += n
         return pa.StructArray.from_arrays([list_array(values, sizes, pa.int32()), pa.array(back, pa.string())], ["ids", "decoded"])
 
