@@ -171,3 +171,97 @@ def normalized_name(name: Column) -> Column:
     for literal in ("the ", " at ", " - ", ",", ".", "'"):
         out = F.replace(out, F.lit(literal), F.lit(" "))
     return squeezed(out)
+
+
+def sentences(text: Column) -> Column:
+    """Sentences: cut at white space behind a full stop, an exclamation or a question mark."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def sentence_chunks(text: Column, size: int = 512, carried: int = 1) -> Column:
+    """Chunks of whole sentences of up to `size` words, each starting with the last `carried` sentences of the one before.
+
+    A sentence longer than `size` closes the chunk before it, is cut into token windows, and carries nothing
+    over. Carried and next sentence together may exceed `size`. The fold keeps places only; null and blank texts have no chunks.
+    """
+    kept = sentences(text)
+    with_sizes = F.transform(kept, lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n")))
+    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("cuts"), F.lit(0).alias("first"), F.lit(0).alias("held"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("last"))
+
+    def put(state: Column, sentence: Column) -> Column:
+        n, i, first = sentence["n"], state["i"], state["first"]
+        last = F.concat(F.filter(state["last"], lambda _, k: k + carried > F.size(state["last"])), F.array(n))
+        closed = F.when(first < i, F.concat(state["cuts"], F.array(F.struct(first.alias("a"), (i - 1).alias("b"))))).otherwise(state["cuts"])
+        own = F.array(F.struct(i.alias("a"), i.alias("b")))
+        again = F.greatest(i - carried, first)
+        held_again = F.aggregate(F.slice(state["last"], F.greatest(F.size(state["last"]) - (i - again) + 1, F.lit(1)), i - again), F.lit(0), lambda a, x: a + x)
+
+        def made(cuts: Column, first_: Column, held: Column) -> Column:
+            return F.struct(cuts.alias("cuts"), first_.alias("first"), held.alias("held"), (i + 1).alias("i"), last.alias("last"))
+
+        full = (state["held"] + n > size) & (first < i)
+        return F.when(n > size, made(F.concat(closed, own), i + 1, F.lit(0))).when(full, made(closed, again, held_again + n)).otherwise(made(state["cuts"], first, state["held"] + n))
+
+    def finish(state: Column) -> Column:
+        return F.when(state["first"] < state["i"], F.concat(state["cuts"], F.array(F.struct(state["first"].alias("a"), (state["i"] - 1).alias("b"))))).otherwise(state["cuts"])
+
+    cuts = F.aggregate(with_sizes, start, put, finish)
+
+    def said(cut: Column) -> Column:
+        first = F.get(kept, cut["a"])
+        windows = F.transform(token_windows(words(first), size), lambda w: F.array_join(w, " "))
+        return F.when((cut["a"] == cut["b"]) & (F.size(words(first)) > size), windows).otherwise(F.array(F.array_join(F.slice(kept, cut["a"] + 1, cut["b"] - cut["a"] + 1), " ")))
+
+    return F.flatten(F.transform(cuts, said))
+
+
+def plain_words(text: Column) -> Column:
+    """Punctuation to spaces, squeezed."""
+    return squeezed(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " "))
+
+
+def slug(name: Column) -> Column:
+    out = F.trim(F.lower(F.regexp_replace(name, r"(?i)\s*[-–]\s*(main campus|campus)$", "")))
+    out = F.translate(out, "',.()&/", "")
+    for literal, put in ((" - ", "-"), ("  ", " "), (" ", "-")):
+        out = F.replace(out, F.lit(literal), F.lit(put))
+    return out
+
+
+def as_percent(x: Column) -> Column:
+    return F.format_string("%.1f%%", x * 100)
+
+
+def as_money(x: Column) -> Column:
+    return F.concat(F.lit("$"), F.format_number(x.cast("long"), 0))
+
+
+def as_ratio(x: Column) -> Column:
+    return F.concat(F.bround(x, 0).cast("long").cast("string"), F.lit(":1"))
+
+
+def outcome(label: Column) -> Column:
+    """accepted, rejected or waitlisted by what a point's label or colour says; else null."""
+    low = F.lower(label)
+    return F.when(low.rlike("accept|admit|green"), "accepted").when(low.rlike("deny|denied|reject|red"), "rejected").when(low.rlike("wait|defer|yellow"), "waitlisted")
+
+
+def residency(label: Column) -> Column:
+    low = F.lower(label)
+    return F.when(low.contains("in") & low.contains("state") & ~low.contains("out"), "inState").when(low.rlike("international|foreign"), "international").otherwise("outOfState")
+
+
+def listed(names: Column) -> Column:
+    """"a, b and **c**" of an array of names; nothing of none."""
+    n = F.size(names)
+    bold = F.concat(F.lit("**"), F.element_at(names, -1), F.lit("**"))
+    return F.when(n == 0, "").when(n == 1, bold).otherwise(F.concat(F.array_join(F.slice(names, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(" and "), bold))
+
+
+def retrieval_key(question: Column, names: Column) -> Column:
+    """What equal retrievals share: the question in lower case and the schools' names, lower-cased and sorted."""
+    return F.concat(F.lower(question), F.lit("|"), F.array_join(F.array_sort(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda s: F.lower(s))), ","))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import in_blocks
+
 K1, B = 1.2, 0.75
 
 
@@ -15,15 +17,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 9, where: Column | None = None) -> DataFrame:
     """For each query (query_id, vector) the k rows (id, embedding) of highest cosine, rounded; of equals the smallest ids.
 
-    The queries are a stated set and travel to every task; the ranking keeps k rows for each query
-    and task before it shuffles.
+    where: a condition on columns of both sides that a hit must meet. The queries travel to every task
+    in blocks of bounded size; the ranking keeps k rows for each query and task before it shuffles.
     """
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("vector")), digits).alias("score"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= k)
+
+    def ranked(block: DataFrame) -> DataFrame:
+        pairs = vectors.join(block, F.lit(True) if where is None else where).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("vector")), digits).alias("score"))
+        return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+    return in_blocks(queries, "query_id", ranked)
+
+
+def filtered_or_global(filtered: DataFrame, everywhere: DataFrame, queries: DataFrame, boost: Column, each: int = 4) -> DataFrame:
+    """For each query (query_id, n_schools) its schools' hits if there are `each` for every school, else the hits of all schools, boosted."""
+    enough = filtered.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(queries.select("query_id", "n_schools"), "query_id").where(F.col("n") >= each * F.col("n_schools")).select("query_id")
+    own = filtered.join(enough, "query_id", "left_semi").select("query_id", "id", "score")
+    return own.unionByName(everywhere.join(enough, "query_id", "left_anti").select("query_id", "id", (F.col("score") + boost).alias("score")))
+
+
+def page_type_boost(score: Column, kind: Column, preferred: list[str], by: float = 0.1) -> Column:
+    """The score, raised for pages of a preferred type; a missing score counts as 0 there."""
+    return F.when(kind.isin(preferred), F.coalesce(score, F.lit(0.0)) + by).otherwise(score)
 
 
 def tokens(text: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import maintenance, retrieval
+from ..operators import maintenance, matching, retrieval
+from ..sources import files
 from .registry import query, table
 
 _HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), ':[0-9]+$', ''), '^www\.', '')"
@@ -208,29 +209,29 @@ def bfs_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COS = "round(list_dot_product(e.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 9)"
-_DENSE = f"""d0 as (select q.vec_id as query_id, e.vec_id as id, e.label, {_COS} as score from embeddings e, embeddings q where q.vec_id < 20),
+_DENSE = f"""d0 as (select q.vec_id as query_id, e.vec_id as id, e.label, {_COS} as score from embeddings e, embeddings q where q.vec_id % 20 = 0),
     dense as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from d0) where rank <= 50)"""
 
 
 def _dense(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return retrieval.dense_topk(rows, rows.where("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), k)
+    return retrieval.dense_topk(rows, rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), k)
 
 
 @query("dense_topk", f"with {_DENSE} select query_id, id, score, rank from dense where rank <= 10")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of each of the first twenty."""
+    """The ten nearest vectors of every one whose id is divisible by twenty."""
     return _dense(spark, sf_dir, 10)
 
 
 @query("dense_topk_filtered", f"with {_DENSE} select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from d0 where label % 2 = 0 qualify rank <= 5")
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    queries = rows.where("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieval.dense_topk(rows.where("label % 2 = 0"), queries, 5)
 
 
-_BM = r"""q as (select item_id as query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> ''))) as term from benchmark where item_id < 10),
+_BM = r"""q as (select item_id as query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> ''))) as term from benchmark where item_id % 20 = 0),
     c as (select doc_id as id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '') as w from documents),
     p as (select term, id, size, count(*) as tf from (select id, len(w) as size, unnest(w) as term from c) where term in (select term from q) group by all),
     f as (select term, count(*) as df from p group by term), z as (select count(*) as n, avg(len(w)) as mean from c),
@@ -240,7 +241,7 @@ _BM = r"""q as (select item_id as query_id, unnest(list_distinct(list_filter(reg
 @query("bm25_topk", f"with {_BM} select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from b) where rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    queries = table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), "text")
+    queries = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
     return retrieval.bm25_topk(docs, queries, 10).withColumn("score", F.round("score", 6))
 
 
@@ -384,11 +385,11 @@ def citations_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("snippets", """select doc_id, '[' || r || '] ' || source || chr(10) || left(text, case when n <= 3 then 2500 when n <= 6 then 1800 else 1500 end) as snippet
-    from (select *, row_number() over (partition by source order by doc_id) as r, count(*) over (partition by source) as n from documents where doc_id < 200)""")
+    from (select *, row_number() over (partition by source order by doc_id) as r, count(*) over (partition by source) as n from documents)""")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbered snippets of each source's first hits (documents 0 to 199 stand for hits)."""
+    """The numbered snippets of each source's documents."""
     w = Window.partitionBy("source")
-    rows = _docs(spark, sf_dir).where("doc_id < 200").withColumns({"r": F.row_number().over(w.orderBy("doc_id")), "n": F.count(F.lit(1)).over(w)})
+    rows = _docs(spark, sf_dir).withColumns({"r": F.row_number().over(w.orderBy("doc_id")), "n": F.count(F.lit(1)).over(w)})
     most = F.when(F.col("n") <= 3, 2500).when(F.col("n") <= 6, 1800).otherwise(1500)
     return rows.select("doc_id", F.concat(F.lit("["), F.col("r").cast("string"), F.lit("] "), F.col("source"), F.lit("\n"), F.substring(F.col("text"), F.lit(1), most)).alias("snippet"))
 
@@ -456,3 +457,69 @@ def family_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = {"identity": {"p_name": "name", "p_brand": "city"}, "admissions": {"p_size": "admissions_size"}, "cost": {"p_retailprice": "cost_tuition"}}
     wanted = [F.col(a).alias(b) for family in ("identity", "admissions", "cost") for a, b in families[family].items()]
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *wanted)
+
+
+@query("weighted_fusion", f"""with {_DENSE}, {_OTHER}, a as (select query_id, id, coalesce((score - min(score) over w) / nullif(max(score) over w - min(score) over w, 0), 1) as s from dense where rank <= 30 window w as (partition by query_id)),
+    b as (select query_id, id, coalesce((score - min(score) over w) / nullif(max(score) over w - min(score) over w, 0), 1) as s from other where rank <= 30 window w as (partition by query_id))
+    select query_id, id, round(0.7::double * coalesce(a.s, 0) + 0.3::double * coalesce(b.s, 0), 6) as score from a full join b using (query_id, id)""")
+def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _dense(spark, sf_dir).where("rank <= 30"), _other(spark, sf_dir).where("rank <= 30")
+    return retrieval.weighted_fusion(a, b).withColumn("score", F.round("score", 6))
+
+
+@query("filter_or_global", f"""with {_DENSE}, own as (select d0.query_id, d0.id, d0.score from d0 join embeddings q on q.vec_id = d0.query_id where d0.label = q.label + case when q.vec_id % 40 = 0 then 1000 else 0 end
+        qualify row_number() over (partition by d0.query_id order by d0.score desc, d0.id) <= 30), enough as (select query_id from own group by query_id having count(*) >= 4)
+    select query_id, id, score from own where query_id in (select query_id from enough) union all select query_id, id, round(score + case when label = 3 then 0.15 else 0 end, 9) from dense where rank <= 30 and query_id not in (select query_id from enough)""")
+def filter_or_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the query's own label where there are enough (every other query wants one that none has), else all hits with a boost."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    wanted = F.col("label") + F.when(F.col("id") % 40 == 0, 1000).otherwise(0)
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), wanted.alias("wanted"), F.lit(1).alias("n_schools"))
+    own = retrieval.dense_topk(rows, queries, 30, where=F.col("label") == F.col("wanted"))
+    everywhere = _dense(spark, sf_dir, 30).join(rows.select("id", "label"), "id")
+    return retrieval.filtered_or_global(own, everywhere, queries, F.when(F.col("label") == 3, 0.15).otherwise(0.0)).withColumn("score", F.round("score", 9))
+
+
+@query("page_type_boost", f"with {_DENSE} select query_id, id, round(score + case when label in (1, 4) then 0.1 else 0 end, 9) as score from dense")
+def page_type_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("kind"))
+    return _dense(spark, sf_dir).join(kinds, "id").select("query_id", "id", F.round(retrieval.page_type_boost(F.col("score"), F.col("kind"), ["1", "4"]), 9).alias("score"))
+
+
+@query("csv_header_synonyms", """select name, url from (select trim(s_name) as name, 'https://' || s_nationkey || '.edu' as url, row_number() over (partition by s_nationkey order by s_suppkey) as r from supplier where s_suppkey % 9 <> 0) where r = 1""")
+def csv_header_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds out of supplier under other headers; every other address comes without its scheme, every ninth is blank."""
+    url = F.expr("case when s_suppkey % 9 = 0 then ' ' when s_suppkey % 2 = 0 then ' https://' || s_nationkey || '.edu' else s_nationkey || '.edu ' end")
+    return files.seeds(table(spark, sf_dir, "supplier").select(F.concat(F.lit(" "), "s_name").alias("School_Name"), url.alias("Website"), "s_suppkey"), "s_suppkey")
+
+
+@query("chunk_numbering", r"""with t as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') as w from documents where text is not null),
+    c as (select doc_id, w, unnest(range(0, greatest(ceil((len(w) - 512) / 462.0), 0)::bigint + 1)) as k from t where len(w) > 0),
+    h as (select doc_id, k, sha256(array_to_string(w[k * 462 + 1 : k * 462 + 512], ' ')) as digest from c), f as (select doc_id, digest, min(k) as k from h group by all)
+    select doc_id, digest, '(chunk ' || row_number() over (partition by doc_id order by k) || '/' || count(*) over (partition by doc_id) || ')' as label from f""")
+def chunk_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct chunks of each document, numbered."""
+    cut = _docs(spark, sf_dir).select("doc_id", F.posexplode(text.token_windows(text.words(F.col("text")))).alias("k", "w"))
+    first = cut.groupBy("doc_id", F.sha2(F.array_join("w", " "), 256).alias("digest")).agg(F.min("k").alias("k"))
+    w = Window.partitionBy("doc_id")
+    label = F.concat(F.lit("(chunk "), F.row_number().over(w.orderBy("k")).cast("string"), F.lit("/"), F.count(F.lit(1)).over(w).cast("string"), F.lit(")"))
+    return first.select("doc_id", "digest", label.alias("label"))
+
+
+@query("sentence_chunks")
+def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequential folds are no SQL; the tests hold it against a loop."""
+    cut = _docs(spark, sf_dir).select("doc_id", F.posexplode(text.sentence_chunks(F.col("text"))).alias("chunk", "body"))
+    return cut.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size(text.words(F.col("body"))).cast("long").alias("tokens"), F.sha2("body", 256).alias("digest"))
+
+
+@query("fuzzy_best_match", """with s as (select distinct p_type as school, array_to_string(list_sort(string_split(lower(p_type), ' ')), ' ') as k from part),
+    n as (select distinct case p_partkey % 3 when 0 then p_type when 1 then left(p_type, length(p_type) - 1) else 'X' || substr(p_type, 3) end as name from part),
+    m as (select name, array_to_string(list_sort(string_split(trim(lower(name)), ' ')), ' ') as k from n),
+    p as (select name, school, 100.0::double * (1 - levenshtein(m.k, s.k) / greatest(length(m.k), length(s.k))::double) as score from m, s)
+    select name, school, round(score, 6) as score from p where score >= 80 qualify row_number() over (partition by name order by score desc, school) = 1""")
+def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of parts, some misspelt by a rule, matched to the kinds there are."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.expr("case p_partkey % 3 when 0 then p_type when 1 then left(p_type, length(p_type) - 1) else 'X' || substr(p_type, 3) end").alias("name"))
+    return matching.best_matches(names, part.select(F.col("p_type").alias("name"))).withColumn("score", F.round("score", 6))
