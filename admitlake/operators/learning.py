@@ -10,6 +10,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Buckets that may have a model each.
+BUCKETS = 16
+
 
 def fit_booster(train: DataFrame, features: list[str], label: str, weight: str | None = None, seed: int = 42, **params) -> PipelineModel:
     """Medians for missing features, then weighted boosted trees; label is 0.0 or 1.0, features are doubles."""
@@ -24,8 +27,10 @@ def scored(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFram
 
 
 def fit_by_bucket(train: DataFrame, bucket: str, features: list[str], label: str, **params) -> dict[str, PipelineModel]:
-    """One booster for each bucket that has both labels; buckets are a few fixed words, not keys."""
-    kinds = train.where(F.col(bucket).isNotNull()).groupBy(bucket).agg(F.countDistinct(label).alias("n")).where("n = 2").select(bucket).limit(16).toPandas()[bucket]
+    """One booster for each bucket that has both labels; buckets are a few fixed words, and more than BUCKETS of them are refused."""
+    kinds = train.where(F.col(bucket).isNotNull()).groupBy(bucket).agg(F.countDistinct(label).alias("n")).where("n = 2").select(bucket).limit(BUCKETS + 1).toPandas()[bucket]
+    if len(kinds) > BUCKETS:
+        raise ValueError(f"more than {BUCKETS} buckets in {bucket}")
     return {k: fit_booster(train.where(F.col(bucket) == k), features, label, **params) for k in sorted(kinds)}
 
 
