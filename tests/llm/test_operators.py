@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from math import log10
 
+import numpy as np
 import pytest
 import xxhash
 from conftest import SF
@@ -214,6 +215,51 @@ def test_chain_of_links_is_one_component(spark):
     assert {r["b"] for r in simhash.components(edges).collect()} == {0}
 
 
+def brute_classes(bits, top, most):
+    label = list(range(len(bits)))
+    for a in range(len(bits)):
+        for b in range(a):
+            if (bits[a, :top] == bits[b, :top]).all() and (bits[a] != bits[b]).sum() <= most:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("pairs", [4, 1 << 20])
+def test_trie_classes_against_all_pairs(monkeypatch, pairs):
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    draw = np.random.default_rng(3)
+    centres = draw.integers(0, 2, (12, 64), np.uint8)
+    bits = np.concatenate([c ^ (draw.random((n, 64)) < 0.08).astype(np.uint8) for c, n in zip(centres, (60, 1, 1, 2, 3, 5, 8, 9, 1, 2, 4, 30))])
+    bits = np.unique(bits, axis=0)
+    for top, most in ((3, 8), (8, 12), (3, 20)):
+        assert simhash.trie_classes(bits, top, most).tolist() == brute_classes(bits, top, most)
+
+
+@pytest.mark.parametrize("block", [8, 100_000])
+def test_similar_texts_become_one(spark, monkeypatch, block):
+    """Texts with a few words changed go, others stay; a chain's members and copies share a class."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    draw = np.random.default_rng(5)
+    texts = {}
+    for k in range(40):
+        words = [f"w{x}" for x in draw.integers(0, 3000, 150)]
+        texts[10 * k] = " ".join(words)
+        for m in (1, 2):
+            words[int(draw.integers(5, 145))] = f"new{k}{m}"
+            texts[10 * k + m] = " ".join(words)
+    rows = [*texts.items(), (5, texts[0]), (5, texts[0]), (None, texts[0]), (7, None), (8, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("A", F.lit(1)).withColumn("print", F.lit(2)).repartition(5)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_copies(df).collect() if r["doc_id"] is not None}
+    assert found[5] == 0 and found[8] == found[7] == 7
+    assert all(found[i] in (i, i // 10 * 10, i // 10 * 10 + 1) for i in texts)
+    assert sum(found[i] == i // 10 * 10 for i in texts) >= 116
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns and kept.where("doc_id is null").count() == 2
+    assert kept.where("doc_id is not null").count() == len({*found.values()})
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
 def test_language_model(spark, docs):
     def trains(i):
         return i is not None and zlib.crc32(str(i).encode()) % 5 != 1
