@@ -15,6 +15,7 @@ dealt out by many samples of them, and each sample's buckets are walked as tries
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -252,16 +253,16 @@ def orders() -> list[np.ndarray]:
     return [draw.permutation(WIDE) for _ in range(TABLES)]
 
 
-def trie_classes(bits: np.ndarray, top: int, most: int) -> np.ndarray:
+def trie_classes(bits: np.ndarray, top: int, most: int, label: np.ndarray | None = None) -> np.ndarray:
     """For rows of bits in sorted order, a row of the same class each: classes of rows that agree in the first `top` bits
-    and are joined by at most `most` differing bits.
+    and are joined by at most `most` differing bits. label: classes known before, each row's the smallest row of its class.
 
     Neighbours are compared first. Then the trie is walked two nodes at a time; a pair of nodes is
     dropped beyond the budget and where all rows of both are in one class already, so that a large
     group of near copies is not compared pair by pair.
     """
     n = len(bits)
-    label = np.arange(n)
+    label = np.arange(n) if label is None else label
     if n < 2:
         return label
     packed = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.uint64)
@@ -335,11 +336,58 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
+class LargeBucket:
+    """A bucket that does not fit in a block: its parts are written to a file, and each part is compared with all before it.
+
+    Classes known from earlier pairs of parts go into the next walk, so what is joined already is
+    dropped there. They are those of one walk over the whole bucket, however it is cut into parts.
+    """
+
+    def __init__(self, order: np.ndarray, most: int) -> None:
+        self.order, self.most = order, most
+        self.file, self.sizes = tempfile.TemporaryFile(), []
+        self.first, self.label = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, first: np.ndarray, raw: np.ndarray) -> None:
+        for k in range(0, len(first), max(1, BLOCK // 2)):
+            self._add(first[k : k + max(1, BLOCK // 2)], raw[k : k + max(1, BLOCK // 2)])
+
+    def _add(self, first: np.ndarray, raw: np.ndarray) -> None:
+        start = len(self.first)
+        own = np.arange(start, start + len(first))
+        self.first, self.label = np.concatenate([self.first, first]), np.concatenate([self.label, own])
+        self._walk(raw, own)
+        at = 0
+        for size in self.sizes:
+            self.file.seek(at * raw.shape[1])
+            before = np.frombuffer(self.file.read(size * raw.shape[1]), np.uint8).reshape(size, -1)
+            self._walk(np.concatenate([before, raw]), np.concatenate([np.arange(at, at + size), own]))
+            at += size
+        self.file.seek(0, 2)
+        self.file.write(np.ascontiguousarray(raw).tobytes())
+        self.sizes.append(len(first))
+
+    def _walk(self, raw: np.ndarray, places: np.ndarray) -> None:
+        bits = np.ascontiguousarray(np.unpackbits(raw, axis=1)[:, self.order])
+        order = np.argsort(np.packbits(bits, axis=1).view(f"S{raw.shape[1]}").ravel(), kind="stable")
+        places = places[order]
+        _, heads, of = np.unique(self.label[places], return_index=True, return_inverse=True)
+        found = trie_classes(bits[order], SHARED, self.most, heads[of])
+        self.label = _joined(self.label, places, places[found])
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """(a > b) of the `first` of each print and of its class."""
+        self.file.close()
+        a, b = self.first, self.first[self.label]
+        real = a != b
+        return np.maximum(a, b)[real], np.minimum(a, b)[real]
+
+
 def similar_links(prints: DataFrame, most: int) -> DataFrame:
     """Edges (a > b) that join the `first` of rows whose distinct `print` (WIDE bits, binary) share a bucket and differ in at most `most` bits.
 
-    Rows are dealt out once for each table, sorted by bucket and read in blocks, so that a task holds
-    BLOCK prints of a bucket at most; of a larger bucket one print of each class goes over to its next block.
+    Rows are dealt out once for each table, sorted by bucket and read in blocks; a bucket larger than
+    a block is compared part by part (LargeBucket), all its prints with each other.
     """
     turned = orders()
     width = WIDE // 8
@@ -361,9 +409,9 @@ def similar_links(prints: DataFrame, most: int) -> DataFrame:
     dealt = prints.select("first", "print").mapInArrow(deal, "band int, value int, first long, print binary")
     dealt = dealt.repartition("band", "value").sortWithinPartitions("band", "value")
 
-    def edges(band: np.ndarray, first: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, first of its class) of classes of two or more, and the rows that lead their classes."""
-        out, leaders = [], []
+    def edges(band: np.ndarray, first: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, first of its class) of classes of two or more."""
+        out = []
         for k in np.unique(band):
             rows = np.flatnonzero(band == k)
             bits = np.ascontiguousarray(np.unpackbits(raw[rows], axis=1)[:, turned[k]])
@@ -371,27 +419,40 @@ def similar_links(prints: DataFrame, most: int) -> DataFrame:
             label = trie_classes(bits[order], SHARED, most)
             rows = rows[order]
             out.append((first[rows], first[rows[label]]))
-            leaders.append(rows[label == np.arange(len(label))])
         a, b = (np.concatenate(c) for c in zip(*out))
         real = a != b
-        return np.maximum(a, b)[real], np.minimum(a, b)[real], np.concatenate(leaders)
+        return np.maximum(a, b)[real], np.minimum(a, b)[real]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        large: LargeBucket | None = None
+        bucket: tuple[int, int] | None = None
 
         def settle(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal large, bucket
             band, value, first, raw = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            open_from = len(band) if last else int(np.flatnonzero((band == band[-1]) & (value == value[-1]))[0])
-            if open_from == 0:
-                a, b, keep = edges(band, first, raw)
-                held.append((band[keep], value[keep], first[keep], raw[keep]))
-            else:
-                a, b, _ = edges(band[:open_from], first[:open_from], raw[:open_from])
-                if open_from < len(band):
-                    held.append((band[open_from:], value[open_from:], first[open_from:], raw[open_from:]))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            found, begin = [], 0
+            if large is not None:
+                other = np.flatnonzero((band != bucket[0]) | (value != bucket[1]))
+                begin = int(other[0]) if len(other) else len(band)
+                large.add(first[:begin], raw[:begin])
+                if begin < len(band) or last:
+                    found.append(large.edges())
+                    large = bucket = None
+            if begin < len(band):
+                end = len(band) if last else begin + int(np.flatnonzero((band[begin:] == band[-1]) & (value[begin:] == value[-1]))[0])
+                if end > begin:
+                    found.append(edges(band[begin:end], first[begin:end], raw[begin:end]))
+                if len(band) - end >= BLOCK // 2:
+                    bucket = (band[-1], value[-1])
+                    large = LargeBucket(turned[band[-1]], most)
+                    large.add(first[end:], raw[end:])
+                elif end < len(band):
+                    held.append((band[end:], value[end:], first[end:], raw[end:]))
+            for a, b in found:
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         fresh = 0
         for batch in batches:
@@ -404,6 +465,10 @@ def similar_links(prints: DataFrame, most: int) -> DataFrame:
                 fresh = 0
         if held:
             yield from settle(True)
+        elif large is not None:
+            a, b = large.edges()
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return dealt.mapInArrow(join, "a long, b long").distinct()
 

@@ -260,6 +260,29 @@ def test_similar_texts_become_one(spark, monkeypatch, block):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 16, 100_000])
+def test_large_buckets_lose_no_link(spark, monkeypatch, block):
+    """Prints of one bucket in chains of links: the classes are those of all pairs, however small the blocks are."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "TABLES", 1)
+    free = simhash.orders()[0][simhash.SHARED :]
+    draw = np.random.default_rng(3)
+    bits = np.zeros((90, simhash.WIDE), np.uint8)
+    for k in range(90):
+        bits[k] = bits[k - 1] if k % 30 else 0
+        bits[k, draw.choice(free, 30 if k % 30 else 110, replace=False)] ^= 1
+    order = draw.permutation(90)
+    rows = [(int(k), bytearray(np.packbits(bits[k]).tobytes())) for k in order]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    edges = np.array([(r["a"], r["b"]) for r in simhash.similar_links(spark.createDataFrame(rows, "first long, print binary").repartition(1), 40).collect()])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    label = np.arange(90)
+    pairs = np.array([(a, b) for a in range(90) for b in range(a) if (bits[a] != bits[b]).sum() <= 40])
+    label = simhash._joined(label, pairs[:, 0], pairs[:, 1])
+    assert np.array_equal(simhash._joined(np.arange(90), edges[:, 0], edges[:, 1]), label) and len({*label.tolist()}) < 60
+
+
 def test_language_model(spark, docs):
     def trains(i):
         return i is not None and zlib.crc32(str(i).encode()) % 5 != 1
