@@ -132,6 +132,41 @@ def test_licenses(spark, docs):
     assert [r.label for _, _, r in kept] == ["apache-2.0", "mit"] and len(licenses.rules()) > 200
 
 
+def drawn(items, draw):
+    """A text that a parsed pattern matches."""
+    out = ""
+    for kind, value in items:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "SUBPATTERN":
+            out += drawn(value[3], draw)
+        elif kind == "BRANCH":
+            out += drawn(value[1][draw.integers(len(value[1]))], draw)
+        elif kind == "MAX_REPEAT":
+            out += "".join(drawn(value[2], draw) for _ in range(draw.integers(value[0], min(value[1], value[0] + 1) + 1)))
+        elif kind == "IN":
+            kind, value = value[draw.integers(len(value))]
+            out += {"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: {"CATEGORY_SPACE": "\n", "CATEGORY_DIGIT": "7", "CATEGORY_NOT_SPACE": "x", "CATEGORY_WORD": "w"}[str(v)]}[str(kind)](value)
+        elif kind == "ANY":
+            out += "x"
+    return out
+
+
+def test_each_license_rule_is_reached():
+    """White space that is optional may be missing, and no text that a rule matches is stopped by keywords or gates."""
+    texts = {"license: mit": "mit", "license=mit": "mit", 'license="mit"': "mit", "license : mit": "mit", "spdx-license-identifier:mit": "mit", "gpl v2": "gpl-2.0", "gpl v 2": "gpl-2.0", "general public license v2.0": "gpl-2.0"}
+    texts |= {"apache license v2.0": "apache-2.0", "bsd 2-clause": "bsd-2-clause", "BSD 3-clause": "bsd-3-clause", "neither the name of the owner nor the names of its contributors": "bsd", "placed into the public\n domain": "public-domain"}
+    texts |= {f"creative commons attribution-{k}": label for k, label in (("sharealike 4.0", "cc-by-sa-4.0"), ("noncommercial 4.0", "cc-by-nc-4.0"), ("noderivatives 4.0", "cc-by-nd-4.0"), ("share\nalike 4.0", "cc-by-sa-4.0"))}
+    assert [t for t, label in texts.items() if label not in licenses.scan(t.encode())[4]] == []
+    draw = np.random.default_rng(2)
+    for rule in licenses.rules():
+        for _ in range(8):
+            text = drawn(re._parser.parse(rule.pattern.pattern), draw)
+            assert rule.pattern.search(text) and any(r.pattern.pattern == rule.pattern.pattern or (r.priority <= rule.priority) for _, _, r in licenses.detections(text)), (rule, text)
+            assert licenses.scan(text.encode())[5] > 0, (rule, text)
+
+
 def brute_lines(rows):
     def key(line):
         return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
