@@ -27,8 +27,8 @@ from .common import bounded_batches, quoted, stored, utf8_list
 
 #: Words with a place in the vocabulary; words whose counts travel to every task (the others are joined); state size; classes.
 VOCABULARY, FREQUENT, STATE, CLASSES = 1000, 200_000, 16, 32
-#: Documents that each round trains on, one of SHARE; rounds; texts side by side; steps of a window.
-SHARE, ROUNDS, LANES, WINDOW = 24, 2, 64, 16
+#: Rounds, among which the training documents are dealt out; texts side by side; steps of a window.
+ROUNDS, LANES, WINDOW = 2, 64, 16
 #: Tokens that are scored together.
 TOGETHER = 4_000_000
 #: Distinct words that a task counts before it hands them on.
@@ -70,10 +70,11 @@ def count_words(df: DataFrame, text: str) -> DataFrame:
 
 @dataclass
 class Model:
-    """Parameters, and where each vocabulary word stands in its class."""
+    """Parameters, where each vocabulary word stands in its class, and how many tokens the parameters are trained on."""
 
     of_class: np.ndarray
     params: dict[str, np.ndarray] = field(default_factory=dict)
+    trained: int = 0
 
     @classmethod
     def new(cls, counts: list[int], seed: int = 7) -> Model:
@@ -185,7 +186,9 @@ class Model:
                 carry = g * z + to_b @ p["state"].T + to_h[t]
             grads["state"] = to_state
             flat_input = np.zeros_like(p["input"])
-            np.add.at(flat_input, y, to_input.reshape(-1, 3 * n))
+            order = np.argsort(y, kind="stable")
+            heads = np.flatnonzero(np.diff(y[order], prepend=-1))
+            flat_input[y[order[heads]]] = np.add.reduceat(to_input.reshape(-1, 3 * n)[order], heads, axis=0)
             grads["input"] = flat_input
             for name, g in grads.items():
                 g = np.clip(g / lanes, -1, 1)
@@ -252,8 +255,11 @@ def _tokens(ranks: np.ndarray, vocabulary: int) -> np.ndarray:
     return np.append(np.where((ranks >= 0) & (ranks < vocabulary), ranks + 2, OTHER), END).astype(np.int32)
 
 
-def fit(df: DataFrame, text: str, lexicon: Lexicon, rounds: int = ROUNDS, share: int = SHARE) -> Model:
-    """A model from training rows df: in each round every task trains on its documents whose text hash falls to the round."""
+def fit(df: DataFrame, text: str, lexicon: Lexicon, key: str, rounds: int = ROUNDS) -> Model:
+    """A model from all training rows df: in each round every task trains on its documents whose hash of key and text falls to the round.
+
+    So each row is trained on once, and copies of a text with keys of their own spread over the rounds.
+    """
     spark = df.sparkSession
     counts = [lexicon.ends, max(lexicon.rest_tokens, 0), *lexicon.counts[: lexicon.vocabulary].astype(int).tolist()]
     model = Model.new(counts)
@@ -294,7 +300,7 @@ def fit(df: DataFrame, text: str, lexicon: Lexicon, rounds: int = ROUNDS, share:
                     n, total = n + m, total + np.frombuffer(flat.as_py(), "<f8")
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "params"])
 
-        chosen = df.select(column.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == k)
+        chosen = df.where(F.pmod(F.xxhash64(F.col(quoted(key)), column), F.lit(rounds)) == k).select(column.alias("text"))
         n, total = 0, 0.0
         for row in chosen.mapInArrow(train, "part int, n long, params binary").groupBy("part").applyInArrow(add, "n long, params binary").toLocalIterator():
             n, total = n + row["n"], total + np.frombuffer(bytes(row["params"]), "<f8")
@@ -304,7 +310,7 @@ def fit(df: DataFrame, text: str, lexicon: Lexicon, rounds: int = ROUNDS, share:
                 old = model.params[name]
                 new[name] = flat[at : at + old.size].reshape(old.shape).astype(np.float32)
                 at += old.size
-            model = Model(model.of_class, new)
+            model = Model(model.of_class, new, model.trained + n)
     return model
 
 
@@ -348,7 +354,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", frequent
     training = keyed.where(trains(F.col("key")))
     counts = stored(count_words(training, "text"))
     lexicon = learn_lexicon(counts, training.count(), frequent)
-    model = fit(training, "text", lexicon)
+    model = fit(training, "text", lexicon, "key")
     shared = spark.sparkContext.broadcast((lexicon, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -341,6 +341,18 @@ def test_language_model(spark, docs):
     assert gru.score_texts(docs.limit(0)).count() == 0
 
 
+def test_model_trains_on_every_training_row(spark):
+    """The rounds together train on the tokens of all rows, copies included; on a single row too."""
+    many = [(k, f"word{k % 7} of text {k}") for k in range(60)] + [(100 + k, "one text that many rows share") for k in range(30)]
+    for rows in (many, [(1, "a b c d")], [(2, "e f g h")]):
+        df = spark.createDataFrame(rows, "key long, text string").repartition(3)
+        lexicon = gru.learn_lexicon(gru.count_words(df, "text"), len(rows))
+        model = gru.fit(df, "text", lexicon, "key")
+        start = gru.Model.new([lexicon.ends, max(lexicon.rest_tokens, 0), *lexicon.counts[: lexicon.vocabulary].astype(int).tolist()])
+        assert model.trained == sum(len(t.split()) + 1 for _, t in rows)
+        assert any((model.params[k] != start.params[k]).any() for k in start.params)
+
+
 def test_model_learns_and_sums_to_one():
     import numpy as np
 
