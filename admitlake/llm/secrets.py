@@ -11,6 +11,7 @@ from __future__ import annotations
 import random
 import re
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,8 +26,9 @@ from .spans import SPANS, span_array
 #: Kinds in the order that breaks ties at one start; the first three are the base.
 KINDS = ("assign", "access", "hex", "model")
 BASE = 3
-#: The network's window: characters before a candidate, and of it. Candidates have CANDIDATE characters or more.
-BEFORE, INSIDE, CANDIDATE = 24, 40, 16
+#: The network's window: characters before a piece of a candidate, of the piece, and after it; a long candidate's pieces
+#: start STEP characters apart. Candidates have CANDIDATE characters or more.
+BEFORE, INSIDE, AFTER, STEP, CANDIDATE = 24, 40, 12, 20, 16
 RECALL = 0.95
 
 _ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -58,9 +60,19 @@ for _k, _c in enumerate(string.ascii_lowercase + string.ascii_uppercase + string
 _SYMBOLS = int(_ALPHABET.max()) + 2
 
 
+def pieces(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Overlapping pieces of INSIDE characters that cover a candidate, the last one at its end; a short one is one piece."""
+    at = start
+    while at + INSIDE < end:
+        yield at, at + INSIDE
+        at = min(at + STEP, end - INSIDE)
+    yield at, end
+
+
 def window(text: str, start: int, end: int) -> np.ndarray:
-    """Symbol numbers of a candidate's window; 0 outside the text, the last number for other characters."""
-    raw = (text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[start : min(end, start + INSIDE)].ljust(INSIDE, "\0")).encode("utf-32-le")
+    """Symbol numbers of the window of a candidate's first piece; 0 outside the text, the last number for other characters."""
+    end = min(end, start + INSIDE)
+    raw = (text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[start:end].ljust(INSIDE, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")).encode("utf-32-le")
     points = np.frombuffer(raw, "<u4")
     return np.where(points < 128, _ALPHABET[np.minimum(points, 127)], 0).astype(np.int64) + (_SYMBOLS - 1) * ((points >= 128) | (points < 128) & (points > 0) & (_ALPHABET[np.minimum(points, 127)] == 0))
 
@@ -159,8 +171,9 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
 def trained(findings: int = 3000, seed: int = 11, epochs: int = 8) -> Network:
     """The network, fitted on four fifths of the findings, calibrated and given its threshold on the rest."""
     rows = labelled_findings(findings, seed)
-    x, y = np.array([window(t, a, b) for t, a, b, _ in rows]), np.array([label for *_, label in rows], float)
-    held = np.arange(len(rows)) % 5 == 4
+    cut = [(k, window(t, *piece), label) for k, (t, a, b, label) in enumerate(rows) for piece in pieces(a, b)]
+    of, x, y = np.array([k for k, *_ in cut]), np.array([w for _, w, _ in cut]), np.array([label for *_, label in cut], float)
+    held = of % 5 == 4
     draw = np.random.default_rng(seed)
     size, filters = 8, 16
     net = Network(draw.normal(0, 0.3, (_SYMBOLS, size)), draw.normal(0, 0.2, (Network.width * size, filters)), np.zeros(filters), draw.normal(0, 0.2, 2 * filters), 0.0)
@@ -169,32 +182,46 @@ def trained(findings: int = 3000, seed: int = 11, epochs: int = 8) -> Network:
         order = draw.permutation(len(xs))
         for k in range(0, len(xs), 32):
             net.step(xs[order[k : k + 32]], ys[order[k : k + 32]], 0.8 / (1 + epoch / 4))
-    z, t = net.logits(x[held]), y[held]
+    heads = np.flatnonzero(np.diff(of[held], prepend=-1))
+    z, t = np.maximum.reduceat(net.logits(x[held]), heads), y[held][heads]
     for _ in range(20):  # Newton's method for scale and shift
         p = 1 / (1 + np.exp(-np.clip(net.scale * z + net.shift, -30, 30)))
         w = p * (1 - p) + 1e-6
         g = np.array([((p - t) * z).sum() + 1e-3 * (net.scale - 1), (p - t).sum()])
         hessian = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
         net.scale, net.shift = np.array([net.scale, net.shift]) - np.linalg.solve(hessian, g)
-    secret = np.sort(net.scores(x[held])[t == 1])
+    secret = np.sort(np.maximum.reduceat(net.scores(x[held]), heads)[t == 1])
     net.threshold = float(max(0.5, secret[int((1 - RECALL) * len(secret))]))
     return net
 
 
 def scan(texts: list[str], net: Network) -> list[list[tuple[str, int, int, float, bool]]]:
-    """Spans of each text by start, then kind: base ones (score 1), and candidates outside them that the network accepts."""
-    out, windows, where = [], [], []
+    """Spans of each text by start, then kind: base ones (score 1), and candidates outside them that the network accepts: by the largest score of their pieces."""
+    out: list[list[tuple[str, int, int, float, bool]]] = []
+    windows: list[np.ndarray] = []
+    where: list[tuple[int, int, int]] = []
+    best: dict[tuple[int, int, int], float] = {}
+
+    def settle() -> None:
+        for at, p in zip(where, net.scores(np.array(windows)).tolist()):
+            best[at] = max(p, best.get(at, 0.0))
+        windows.clear(), where.clear()
+
     for i, text in enumerate(texts):
         base = base_spans(text)
         out.append([(k, a, b, 1.0, True) for k, a, b in base])
         for a, b in candidates(text):
             if not any(s < b and a < e for _, s, e in base):
-                windows.append(window(text, a, b))
-                where.append((i, a, b))
-    for k in range(0, len(where), 512):
-        for (i, a, b), p in zip(where[k : k + 512], net.scores(np.array(windows[k : k + 512])).tolist()):
-            if p >= net.threshold:
-                out[i].append(("model", a, b, round(p, 6), False))
+                for piece in pieces(a, b):
+                    windows.append(window(text, *piece))
+                    where.append((i, a, b))
+                    if len(where) == 512:
+                        settle()
+    if where:
+        settle()
+    for (i, a, b), p in best.items():
+        if p >= net.threshold:
+            out[i].append(("model", a, b, round(p, 6), False))
     for spans in out:
         spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return out

@@ -110,6 +110,22 @@ def test_network_finds_held_out_secrets_and_few_others():
     assert (scores[label == 1] >= net.threshold).mean() > 0.9 and (scores[label == 0] >= net.threshold).mean() < 0.05
 
 
+def test_whole_candidates_and_their_surroundings_are_scored():
+    """A key late in a long run is found, plain long runs are not; what follows a candidate is in its window."""
+    net, draw = secrets.trained(), np.random.default_rng(4)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    path = "static/assets/reports/annual/list/of/school/pages/2024/archive/table/"
+    late = ["see " + path * k + "".join(chars[c] for c in draw.integers(0, 62, 40)) + " end" for k in (1, 2, 5) for _ in range(10)]
+    found = [any(s[0] == "model" for s in spans) for spans in secrets.scan(late, net)]
+    plain = [any(s[0] == "model" for s in spans) for spans in secrets.scan([f"see {path * k} end" for k in (1, 2, 5)], net)]
+    assert sum(found) >= 0.9 * len(found) and not any(plain)
+    a, b = 4, 24
+    one, two = (secrets.window("see abcdefgh123456789012" + after, a, b) for after in (" end", "\" )"))
+    assert (one != two).any()
+    covered = {k for s, e in secrets.pieces(3, 203) for k in range(s, e)}
+    assert covered == set(range(3, 203)) and list(secrets.pieces(3, 20)) == [(3, 20)]
+
+
 def test_checksums_and_context():
     assert pii.mod97("DE89 3704 0044 0532 0130 00") and not pii.mod97("DE89370400440532013001")
     assert [s[0] for s in pii.scan("my IBAN is DE89370400440532013000")] == ["iban"]
