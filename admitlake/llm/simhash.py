@@ -220,11 +220,21 @@ BLOCK = 100_000
 
 def wide_fingerprint(raw: bytes, shingle: int = 5) -> bytes:
     """A SimHash of WIDE bits of a text's distinct shingles; without words all bits are 0."""
+    return wide_print(shingle_hashes(raw, shingle))
+
+
+def shingle_hashes(raw: bytes, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles; a shorter text is one shingle, a text without words has none."""
     words = raw.lower().split()
     if not words:
-        return bytes(WIDE // 8)
+        return np.zeros(0, np.uint64)
     count = max(1, len(words) - shingle + 1)
-    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[k : k + count] for k in range(min(shingle, len(words)))))), repeat(SEED)), np.uint64, count))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[k : k + count] for k in range(min(shingle, len(words)))))), repeat(SEED)), np.uint64, count))
+
+
+def wide_print(hashes: np.ndarray) -> bytes:
+    if not len(hashes):
+        return bytes(WIDE // 8)
     total = np.zeros(WIDE, np.int64)
     for k in range(0, len(hashes), 1 << 13):
         part = hashes[k : k + (1 << 13)]
@@ -473,24 +483,160 @@ def similar_links(prints: DataFrame, most: int) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
+#: Shingle hashes of a part of a group of candidates; two parts are held at a time.
+PART = 1 << 19
+
+
+class Verified:
+    """Classes of texts joined by an exact Jaccard similarity of their shingles, in a group of candidates.
+
+    Texts come part by part; parts are written to a file, and each is compared with all before it.
+    A pair is compared if both hold one of their rarest shingles (prefixes long enough that no pair
+    of the similarity is passed over) and they are not in one class already.
+    """
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity, self.file, self.parts = similarity, tempfile.TemporaryFile(), []
+        self.first: list[int] = []
+        self.parent: list[int] = []
+
+    def root(self, x: int) -> int:
+        while (up := self.parent[x]) != x:
+            self.parent[x] = x = self.parent[up]
+        return x
+
+    def add(self, first: list[int], sets: list[np.ndarray]) -> None:
+        own = range(len(self.first), len(self.first) + len(first))
+        self.first += first
+        self.parent += own
+        self._walk([], [], list(own), sets)
+        for at, begin, sizes in self.parts:
+            self.file.seek(at)
+            flat = np.frombuffer(self.file.read(8 * int(sizes.sum())), np.uint64)
+            self._walk(list(range(begin, begin + len(sizes))), np.split(flat, np.cumsum(sizes)[:-1]), list(own), sets)
+        at = self.file.seek(0, 2)
+        self.file.write(np.concatenate(sets).tobytes())
+        self.parts.append((at, own[0], np.array([len(x) for x in sets])))
+
+    def _walk(self, old: list[int], old_sets: list[np.ndarray], new: list[int], new_sets: list[np.ndarray]) -> None:
+        """Joins new texts with old ones, or with each other if there are no old ones."""
+        sets, nodes, t = [*old_sets, *new_sets], [*old, *new], self.similarity
+        values, of, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.empty(len(values), np.int64)
+        place[np.argsort(counts, kind="stable")] = np.arange(len(values))
+        single = int((counts == 1).sum())
+        ranks = np.split(place[of], np.cumsum([len(x) for x in sets])[:-1])
+        index: dict[int, dict[int, list[int]]] = {}
+        for k, x in enumerate(nodes):
+            own = np.sort(ranks[k])
+            n = len(own)
+            prefix = own[: n - int(np.ceil(t * n - 1e-9)) + 1] if n else own
+            prefix = prefix[prefix >= single].tolist()
+            if not old or k >= len(old):
+                tried: set[int] = set()
+                for r in prefix:
+                    held = index.get(r)
+                    if not held:
+                        continue
+                    for root in list(held):
+                        if (now := self.root(root)) != root:
+                            held.setdefault(now, []).extend(held.pop(root))
+                    for root in list(held):
+                        for j in held[root]:
+                            if self.root(root) == self.root(x):
+                                break
+                            m = len(sets[j])
+                            if j not in tried and min(n, m) >= t * max(n, m) - 1e-9:
+                                tried.add(j)
+                                both = len(np.intersect1d(sets[j], sets[k], assume_unique=True))
+                                if both >= t * (n + m - both) - 1e-9:
+                                    a, b = self.root(x), self.root(root)
+                                    self.parent[max(a, b)] = min(a, b)
+            if not old or k < len(old):
+                for r in prefix:
+                    index.setdefault(r, {}).setdefault(self.root(x), []).append(k)
+
+    def edges(self) -> list[tuple[int, int]]:
+        self.file.close()
+        pairs = ((self.first[k], self.first[self.root(k)]) for k in range(len(self.first)))
+        return [(max(a, b), min(a, b)) for a, b in pairs if a != b]
+
+
+def verified_links(texts: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a > b) between the `first` of rows with one `root` whose `hashes` (sorted, binary) have that Jaccard similarity.
+
+    Not every pair: a forest, from which all components follow. The texts of a root are compared in one task, in parts.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: Verified | None = None
+        root, held = None, 0
+        first: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def settle() -> None:
+            nonlocal held
+            if first:
+                group.add(list(first), list(sets))
+            first.clear(), sets.clear()
+            held = 0
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            settle()
+            if pairs := group.edges():
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
+
+        for batch in batches:
+            for r, f, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if group is None or r != root:
+                    if group is not None:
+                        yield from closed()
+                    root, group = r, Verified(similarity)
+                first.append(f)
+                sets.append(np.frombuffer(raw, np.uint64))
+                held += len(sets[-1]) + 1
+                if held >= PART:
+                    settle()
+        if group is not None:
+            yield from closed()
+
+    return texts.select("root", "first", "hashes").repartition("root").sortWithinPartitions("root").mapInArrow(check, "a long, b long")
+
+
 def similar_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Each row's key and component_id, the smallest key of all rows that links of the similarity reach.
 
-    Texts link where the SimHashes of their distinct shingles (WIDE bits) share a bucket in one of TABLES tables and
-    differ in at most budget(similarity) bits. Of pairs of similarity 0.8 about nine in ten link, of 0.85 nearly all;
-    pairs of 0.7 link at times, of 0.5 hardly ever. A table compares a print with one in 2 ** SHARED of the others.
+    Texts link where the exact Jaccard similarity of their distinct shingles is `similarity` or more. Compared are texts
+    of one group of candidates: of what SimHashes (WIDE bits) join that share a bucket in one of TABLES tables and
+    differ in at most budget(similarity) bits. Of pairs of similarity 0.8 about nine in ten are candidates, of 0.85
+    nearly all. A table compares a print with one in 2 ** SHARED of the others.
     Null and empty texts are equal texts. Rows with a null key get a null component_id and link nothing; repeated keys are one node. The key must be an integer.
     """
     bounded_batches(df.sparkSession)
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<print:binary,digest:binary>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_fingerprint(raw, shingle) for raw in utf8_list(texts)], pa.binary())
-
-    prints = stored(df.select(F.col(quoted(key)).cast("long").alias("key"), run(F.col(quoted(text)).cast("string")).alias("print")))
-    single = stored(prints.where("key is not null").groupBy("print").agg(F.min("key").alias("first")))
-    copies = prints.join(single, "print", "left").select("key", "first")
-    joined = components(similar_links(single, budget(similarity)).union(copies.where("key > first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()))
+        sets = [shingle_hashes(raw, shingle) for raw in utf8_list(texts)]
+        return pa.StructArray.from_arrays([pa.array(map(wide_print, sets), pa.binary()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())], ["print", "digest"])
+
+    @F.arrow_udf("struct<hashes:binary,digest:binary>")
+    def shingles(texts: pa.Array) -> pa.Array:
+        sets = [shingle_hashes(raw, shingle).tobytes() for raw in utf8_list(texts)]
+        return pa.StructArray.from_arrays([pa.array(sets, pa.binary()), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary())], ["hashes", "digest"])
+
+    keyed = df.select(F.col(quoted(key)).cast("long").alias("key"), F.col(quoted(text)).cast("string").alias("text"))
+    prints = stored(keyed.select("key", run("text").alias("of")).select("key", "of.print", "of.digest"))
+    single = stored(prints.where("key is not null").groupBy("print", "digest").agg(F.min("key").alias("first")))
+    copies = prints.join(single, ["print", "digest"]).where("key > first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
+    heads = stored(single.groupBy("print").agg(F.min("first").alias("head")))
+    joined = components(similar_links(heads.select(F.col("head").alias("first"), "print"), budget(similarity)))
+    grouped = single.join(heads, "print").join(joined, F.col("head") == F.col("a"), "left").select("first", "digest", F.coalesce("b", "head").alias("root"))
+    grouped = stored(grouped)
+    several = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    candidates = stored(grouped.join(several, "root"))
+    found = keyed.join(candidates.withColumnRenamed("digest", "wanted"), F.col("key") == F.col("first")).select("root", "first", "wanted", shingles("text").alias("of"))
+    links = verified_links(found.where("wanted = of.digest").select("root", "first", "of.hashes"), similarity)
+    joined = components(links.union(copies).distinct())
     return prints.select("key").join(joined, F.col("key") == F.col("a"), "left").select(F.col("key").alias(key), F.coalesce("b", "key").alias("component_id"))
 
 

@@ -311,6 +311,33 @@ def test_similar_texts_become_one(spark, monkeypatch, block):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_only_texts_of_the_similarity_link(spark):
+    """Pairs whose similarity is about 0.7 stay apart, though their fingerprints are near; classes are those of all exact pairs."""
+    draw = np.random.default_rng(8)
+    texts = []
+    for k in range(30):
+        words = [f"w{x}" for x in draw.integers(0, 5000, 200)]
+        texts.append(" ".join(words))
+        for m, many in enumerate((7, 2)):
+            for at in np.linspace(10, 190, many).astype(int):
+                words[at + m] = f"new{k}.{m}.{at}"
+            texts.append(" ".join(words))
+    sets = [simhash.shingle_hashes(t.encode()) for t in texts]
+    group = simhash.Verified(0.8)
+    for k in range(0, len(texts), 7):
+        group.add(list(range(k, min(k + 7, len(texts)))), sets[k : k + 7])
+    label = np.arange(len(texts))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                label = simhash._joined(label, np.array([a]), np.array([b]))
+    assert [group.root(k) for k in range(len(texts))] == label.tolist()
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(found[k] in (k, label[k]) for k in found) and sum(found[k] == label[k] for k in found) >= 85 and len({*label.tolist()}) < 90
+    assert len({*found.values()}) >= len({*label.tolist()})
+
+
 @pytest.mark.parametrize("block", [4, 16, 100_000])
 def test_large_buckets_lose_no_link(spark, monkeypatch, block):
     """Prints of one bucket in chains of links: the classes are those of all pairs, however small the blocks are."""
