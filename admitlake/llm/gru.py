@@ -6,8 +6,10 @@ state; "other" is shared out among the words outside the vocabulary by their cou
 scored whole and many at a time: sorted by length, all that still run take a step together, and
 states pass from window to window.
 
-Training: tasks train copies of the parameters on their share of the training documents, and the
-copies are averaged by tokens, round after round. Word counts cover all training documents.
+Training: all training documents are dealt out, by a hash of id and text, to rounds and to parts of
+about PART tokens; in each round every part trains a copy of the parameters, and the copies are
+averaged by tokens. Parts follow from the documents alone, so scores do not depend on how rows lie
+in partitions (but for the rounding of sums). Word counts cover all training documents.
 """
 
 from __future__ import annotations
@@ -27,8 +29,12 @@ from .common import bounded_batches, quoted, stored, utf8_list
 
 #: Words with a place in the vocabulary; words whose counts travel to every task (the others are joined); state size; classes.
 VOCABULARY, FREQUENT, STATE, CLASSES = 1000, 200_000, 16, 32
-#: Rounds, among which the training documents are dealt out; texts side by side; steps of a window.
-ROUNDS, LANES, WINDOW = 2, 64, 16
+#: Rounds, among which the training documents are dealt out; tokens of a part in a round; texts side by side; steps of a window.
+ROUNDS, PART, LANES, WINDOW = 2, 1_000_000, 256, 16
+#: Partitions at most that the parts of a round are shuffled to.
+TASKS = 8192
+#: Multiplications of one matrix product; larger products would wake BLAS threads beside the task's own.
+SINGLE = 1 << 17
 #: Tokens that are scored together.
 TOGETHER = 4_000_000
 #: Distinct words that a task counts before it hands them on.
@@ -101,7 +107,7 @@ class Model:
 
     def advance(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         n = STATE
-        a, b = self.params["input"][x], h @ self.params["state"]
+        a, b = self.params["input"][x], _times(h, self.params["state"])
         gates = 1 / (1 + np.exp(-(a[:, : 2 * n] + b[:, : 2 * n])))
         z, r = gates[:, :n], gates[:, n:]
         new = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
@@ -110,7 +116,7 @@ class Model:
     def log_probabilities(self, h: np.ndarray, y: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
         """Natural logs of the probability of each y after state h."""
         p = self.params
-        scores = h @ p["class"] + p["class_bias"]
+        scores = _times(h, p["class"]) + p["class_bias"]
         c = self.of_class[y]
         out = scores[np.arange(len(y)), c] - _log_sums(scores)
         order = np.argsort(c, kind="stable")
@@ -118,13 +124,13 @@ class Model:
         for k, own in enumerate(members):
             rows = order[borders[k] : borders[k + 1]]
             if len(own) > 1 and len(rows):
-                inner = h[rows] @ p["word"][own].T + p["word_bias"][own]
+                inner = _times(h[rows], p["word"][own].T) + p["word_bias"][own]
                 out[rows] += inner[np.arange(len(rows)), np.searchsorted(own, y[rows])] - _log_sums(inner)
         return out
 
     def score(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The natural log-probability of each text, given as its tokens in flat (ends included)."""
-        out, order, members = np.zeros(len(sizes)), np.argsort(-sizes, kind="stable"), self.members()
+        found, order, members = np.zeros(len(sizes)), np.argsort(-sizes, kind="stable"), self.members()
         starts, sizes = starts[order], sizes[order]
         h = np.zeros((len(sizes), STATE), np.float32)
         live = np.searchsorted(-sizes, -np.arange(sizes.max() if len(sizes) else 0), "left")
@@ -135,7 +141,7 @@ class Model:
             nonlocal held
             if held:
                 values = self.log_probabilities(np.concatenate(states), np.concatenate(targets), members)
-                np.add.at(out, order[np.concatenate(rows)], values)
+                found[:] += np.bincount(np.concatenate(rows), values, len(found))
                 states.clear(), targets.clear(), rows.clear()
                 held = 0
 
@@ -149,15 +155,15 @@ class Model:
             if held > 200_000:
                 settle()
         settle()
+        out = np.zeros(len(sizes))
+        out[order] = found
         return out
 
     def train(self, flat: np.ndarray, rate: float) -> None:
-        """One pass over a stream of tokens cut into LANES pieces; windows of WINDOW steps, gradients clipped, AdaGrad."""
-        steps = len(flat) // LANES
-        if not steps:
-            lanes, steps, x = 1, len(flat), flat[None]
-        else:
-            lanes, x = LANES, flat[: steps * LANES].reshape(LANES, steps)
+        """One pass over a stream of tokens cut into LANES pieces, fewer of a short stream; windows of WINDOW steps, gradients clipped, AdaGrad."""
+        lanes = max(1, min(LANES, len(flat) // (4 * WINDOW)))
+        steps = -(-len(flat) // lanes)
+        x = np.append(flat, np.full(lanes * steps - len(flat), END, flat.dtype)).reshape(lanes, steps)
         members, p, n = self.members(), self.params, STATE
         memory = {k: np.full_like(v, 1e-3) for k, v in p.items()}
         h = np.zeros((lanes, n), np.float32)
@@ -182,8 +188,8 @@ class Model:
                 to_z, to_r = g * (old - new) * z * (1 - z), to_new * inner * r * (1 - r)
                 to_input[t] = np.concatenate([to_z, to_r, to_new], 1)
                 to_b = np.concatenate([to_z, to_r, to_new * r], 1)
-                to_state += old.T @ to_b
-                carry = g * z + to_b @ p["state"].T + to_h[t]
+                to_state += _across(old, to_b)
+                carry = g * z + _times(to_b, p["state"].T) + to_h[t]
             grads["state"] = to_state
             flat_input = np.zeros_like(p["input"])
             order = np.argsort(y, kind="stable")
@@ -197,23 +203,44 @@ class Model:
 
     def _output_gradients(self, h: np.ndarray, y: np.ndarray, members: list[np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
         p, c = self.params, self.of_class[y]
-        q = _softmax(h @ p["class"] + p["class_bias"])
+        q = _softmax(_times(h, p["class"]) + p["class_bias"])
         q[np.arange(len(y)), c] -= 1
-        to_h = q @ p["class"].T
-        grads = {"class": h.T @ q, "class_bias": q.sum(0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
+        to_h = _times(q, p["class"].T)
+        grads = {"class": _across(h, q), "class_bias": q.sum(0), "word": np.zeros_like(p["word"]), "word_bias": np.zeros_like(p["word_bias"])}
         order = np.argsort(c, kind="stable")
         borders = np.searchsorted(c[order], np.arange(len(members) + 1))
         for k, own in enumerate(members):
             rows = order[borders[k] : borders[k + 1]]
             if len(own) > 1 and len(rows):
-                q = _softmax(h[rows] @ p["word"][own].T + p["word_bias"][own])
+                part, words = h[rows], p["word"][own]
+                q = _softmax(_times(part, words.T) + p["word_bias"][own])
                 q[np.arange(len(rows)), np.searchsorted(own, y[rows])] -= 1
-                grads["word"][own] = q.T @ h[rows]
+                grads["word"][own] = _across(q, part)
                 grads["word_bias"][own] = q.sum(0)
-                to_h[rows] += q @ p["word"][own]
+                to_h[rows] += _times(q, words)
         return grads, to_h
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b, some rows of a at a time."""
+    each = max(1, SINGLE // b.size)
+    n = len(a) // each * each
+    if n in (0, len(a)) and n <= each:
+        return a @ b
+    out = np.empty((len(a), b.shape[1]), a.dtype)
+    np.matmul(a[:n].reshape(-1, each, a.shape[1]), b, out=out[:n].reshape(-1, each, b.shape[1]))
+    out[n:] = a[n:] @ b
+    return out
+
+
+def _across(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, some rows of both at a time."""
+    each = max(1, SINGLE // (a.shape[1] * b.shape[1]))
+    n = len(a) // each * each
+    left, right = a[:n].reshape(-1, each, a.shape[1]), b[:n].reshape(-1, each, b.shape[1])
+    return np.matmul(left.transpose(0, 2, 1), right).sum(0) + a[n:].T @ b[n:]
+
+
 def _log_sums(x: np.ndarray) -> np.ndarray:
     top = x.max(1)
     return top + np.log(np.exp(x - top[:, None]).sum(1))
@@ -252,46 +279,94 @@ class Lexicon:
 
 
 def _tokens(ranks: np.ndarray, vocabulary: int) -> np.ndarray:
-    return np.append(np.where((ranks >= 0) & (ranks < vocabulary), ranks + 2, OTHER), END).astype(np.int32)
+    return np.append(np.where((ranks >= 0) & (ranks < vocabulary), ranks + 2, OTHER), END).astype("<u2")
+
 
+_ENCODED = "key {kind}, h long, digest binary, tokens binary, n_known long, base_score double, more double, rare array<struct<word:binary,n:int>>"
 
-def fit(df: DataFrame, text: str, lexicon: Lexicon, key: str, rounds: int = ROUNDS) -> Model:
-    """A model from all training rows df: in each round every task trains on its documents whose hash of key and text falls to the round.
 
-    So each row is trained on once, and copies of a text with keys of their own spread over the rounds.
+def encode(keyed: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Of rows (key, text): h (a hash of both), digest of the text, its tokens as 2-byte numbers, and what the lexicon says of its words.
+
+    n_known and base_score are about words with a place in the lexicon and the end, more is the log10
+    probability, given "other", of such words outside the vocabulary; rare holds the words it lacks.
     """
-    spark = df.sparkSession
+    shared = keyed.sparkSession.sparkContext.broadcast(lexicon)
+    schema = _ENCODED.format(kind=keyed.schema["key"].dataType.simpleString())
+    names = [f.strip().split()[0] for f in "key, h, digest, tokens, n_known, base_score, more, rare".split(",")]
+    kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        plain, rest = known.log10(known.counts), known.log10_rest(known.counts)
+        end = float(known.log10(np.array([float(known.ends)]))[0])
+        for batch in batches:
+            rows = []
+            for raw in utf8_list(batch.column(1)):
+                words = words_of(raw)
+                ranks = known.ranks(words)
+                often = ranks[ranks >= 0]
+                few = Counter([w for w, r in zip(words, ranks.tolist()) if r < 0]) if len(often) < len(words) else {}
+                outside = often[often >= known.vocabulary]
+                rows.append((
+                    xxhash.xxh3_128_digest(raw), _tokens(ranks, known.vocabulary).tobytes(), len(often) + (known.ends > 0), float(plain[often].sum()) + end,
+                    float(rest[outside].sum()), [{"word": w, "n": n} for w, n in few.items()],
+                ))
+            digest, tokens, found, base, more, rare = zip(*rows) if rows else ([],) * 6
+            out = [pa.array(digest, pa.binary()), pa.array(tokens, pa.binary()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(more, pa.float64()), pa.array(rare, kind)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *out], names)
+
+    return keyed.select("key", "text", F.xxhash64("key", "text").alias("h")).mapInArrow(run, schema)
+
+
+def fit(encoded: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, part: int = PART) -> Model:
+    """A model from all rows (h, tokens): each is trained on once, in the round and part that its h names.
+
+    So copies of a text with keys of their own spread over rounds and parts. A part is read in the order of h and
+    digest; a row that is repeated with its key stays in one part, which is read in pieces of TOGETHER tokens.
+    """
+    spark = encoded.sparkSession
     counts = [lexicon.ends, max(lexicon.rest_tokens, 0), *lexicon.counts[: lexicon.vocabulary].astype(int).tolist()]
     model = Model.new(counts)
     names = sorted(model.params)
-    column = F.col(quoted(text)).cast("string")
-    words = spark.sparkContext.broadcast(lexicon)
+    parts = max(1, -(-lexicon.tokens // (rounds * part)))
+    place = F.pmod("h", F.lit(rounds * parts))
+    dealt = encoded.select(F.pmod(place, F.lit(rounds)).alias("round"), F.floor(place / rounds).alias("part"), "h", "tokens")
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def train(batches: Iterator[pa.RecordBatch], shared=shared, rate=0.3 / (1 + k)) -> Iterator[pa.RecordBatch]:
-            parts: list[np.ndarray] = []
-            own, seen, held, number = None, 0, 0, 0
+            held: list[bytes] = []
+            own, seen, now, size = None, 0, None, 0
 
             def settle() -> None:
-                nonlocal own, held, seen
+                nonlocal own, seen, size
                 own = own or Model(shared.value.of_class, {n: v.copy() for n, v in shared.value.params.items()})
-                own.train(np.concatenate(parts), rate)
-                seen, held = seen + held, 0
-                parts.clear()
+                flat = np.frombuffer(b"".join(held), "<u2").astype(np.int64)
+                own.train(flat, rate)
+                seen, size = seen + len(flat), 0
+                held.clear()
+
+            def closed() -> pa.RecordBatch:
+                nonlocal own, seen
+                if held:
+                    settle()
+                flat = np.concatenate([own.params[n].ravel() for n in names]).astype("<f8") * seen
+                out = pa.RecordBatch.from_arrays([pa.array([now % 64], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "params"])
+                own, seen = None, 0
+                return out
 
             for batch in batches:
-                for raw in utf8_list(batch.column(0)):
-                    parts.append(_tokens(words.value.ranks(words_of(raw)), words.value.vocabulary))
-                    held += len(parts[-1])
-                    number = number or xxhash.xxh32_intdigest(raw)
-                    if held >= TOGETHER // 4:
+                for at, raw in zip(batch.column(0).to_pylist(), utf8_list(batch.column(1))):
+                    if now is not None and at != now:
+                        yield closed()
+                    now = at
+                    held.append(raw)
+                    size += len(raw) // 2
+                    if size >= TOGETHER:
                         settle()
-            if parts:
-                settle()
-            if own is not None:
-                flat = np.concatenate([own.params[n].ravel() for n in names]).astype("<f8") * seen
-                yield pa.RecordBatch.from_arrays([pa.array([number % 64], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["part", "n", "params"])
+            if now is not None:
+                yield closed()
 
         def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, total = 0, 0.0
@@ -300,7 +375,7 @@ def fit(df: DataFrame, text: str, lexicon: Lexicon, key: str, rounds: int = ROUN
                     n, total = n + m, total + np.frombuffer(flat.as_py(), "<f8")
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "params"])
 
-        chosen = df.where(F.pmod(F.xxhash64(F.col(quoted(key)), column), F.lit(rounds)) == k).select(column.alias("text"))
+        chosen = dealt.where(F.col("round") == k).repartition(min(parts, TASKS), "part").sortWithinPartitions("part", "h").select("part", "tokens")
         n, total = 0, 0.0
         for row in chosen.mapInArrow(train, "part int, n long, params binary").groupBy("part").applyInArrow(add, "n long, params binary").toLocalIterator():
             n, total = n + row["n"], total + np.frombuffer(bytes(row["params"]), "<f8")
@@ -333,9 +408,6 @@ def learn_lexicon(counts: DataFrame, ends: int, frequent: int = FREQUENT) -> Lex
     return Lexicon([w for _, w in rows], [n for n, _ in rows], total["n"] + ends, total["v"] + (ends > 0), ends)
 
 
-_SCORED = "digest binary, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:binary,n:int>>"
-
-
 def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """For each row its key, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -345,8 +417,8 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", frequent
     its end alone. A row for each row of df, repeated ones included; no other column is kept.
 
     Counts of the `frequent` most frequent words travel to the tasks; each text's other words are
-    joined to the table of all counts and their sums added. Three kinds of passes over the texts: the
-    counts, the rounds of training, the scores.
+    joined to the table of all counts and their sums added. Two passes over the texts, the counts and
+    the tokens; training and scoring read the stored tokens.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -354,55 +426,41 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", frequent
     training = keyed.where(trains(F.col("key")))
     counts = stored(count_words(training, "text"))
     lexicon = learn_lexicon(counts, training.count(), frequent)
-    model = fit(training, "text", lexicon, "key")
-    shared = spark.sparkContext.broadcast((lexicon, model))
+    encoded = stored(encode(keyed, lexicon))
+    shared = spark.sparkContext.broadcast(fit(encoded.where(trains(F.col("key"))), lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net = shared.value
-        plain, rest = known.log10(known.counts), known.log10_rest(known.counts)
-        end = float(known.log10(np.array([float(known.ends)]))[0])
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
-        held = 0
-        rows: list[tuple] = []
-        parts: list[np.ndarray] = []
-        keys: list[pa.Array] = []
+        held: list[pa.RecordBatch] = []
+        size = 0
 
         def settle() -> pa.RecordBatch:
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            raws = [raw for batch in held for raw in utf8_list(batch.column(0))]
+            sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 2
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            found = net.score(np.concatenate(parts), starts, sizes) / np.log(10)
-            digest, known_words, base, more, rare = zip(*rows)
-            out = [pa.concat_arrays(keys), pa.array(digest, pa.binary()), pa.array(sizes), pa.array(known_words, pa.int64()), pa.array(base, pa.float64()), pa.array(found + np.array(more)), pa.array(rare, kind)]
-            return pa.RecordBatch.from_arrays(out, ["key", *[f.split()[0] for f in _SCORED.split(", ")]])
+            found = shared.value.score(np.frombuffer(b"".join(raws), "<u2").astype(np.int32), starts, sizes) / np.log(10)
+            rest = [pa.concat_arrays([batch.column(k) for batch in held]) for k in range(1, 6)]
+            more = rest.pop().to_numpy()
+            return pa.RecordBatch.from_arrays([*rest, pa.array(sizes), pa.array(found + more)], ["key", "digest", "n_known", "base_score", "n_tokens", "score"])
 
         for batch in batches:
-            keys.append(batch.column(0))
-            for raw in utf8_list(batch.column(1)):
-                words = words_of(raw)
-                ranks = known.ranks(words)
-                parts.append(_tokens(ranks, known.vocabulary))
-                held += len(parts[-1])
-                often = ranks[ranks >= 0]
-                few = Counter([w for w, r in zip(words, ranks.tolist()) if r < 0]) if len(often) < len(words) else {}
-                outside = often[often >= known.vocabulary]
-                rows.append((xxhash.xxh3_128_digest(raw), len(often) + (known.ends > 0), float(plain[often].sum()) + end, float(rest[outside].sum()), [{"word": w, "n": n} for w, n in few.items()]))
-            if held >= TOGETHER:
+            held.append(batch)
+            size += sum(map(len, utf8_list(batch.column(0)))) // 2
+            if size >= TOGETHER:
                 yield settle()
-                held = 0
-                rows.clear(), parts.clear(), keys.clear()
-        if rows:
+                held, size = [], 0
+        if any(batch.num_rows for batch in held):
             yield settle()
 
     kind = keyed.schema["key"].dataType.simpleString()
-    scored = stored(keyed.mapInArrow(run, f"key {kind}, {_SCORED}"))
-    few = scored.select("digest", F.explode("rare").alias("r")).select("digest", "r.word", F.col("r.n").alias("times"))
+    scored = encoded.select("tokens", "key", "digest", "n_known", "base_score", "more").mapInArrow(run, f"key {kind}, digest binary, n_known long, base_score double, n_tokens long, score double")
+    few = encoded.select("digest", F.explode("rare").alias("r")).select("digest", "r.word", F.col("r.n").alias("times"))
     joined = few.join(counts.withColumnRenamed("n", "count"), "word", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     base = F.log10((F.col("count") + 0.5) / F.lit(float(lexicon.tokens + 0.5 * (lexicon.distinct + 1))))
     rest = F.log10((F.col("count") + 0.5) / F.lit(float(lexicon.rest_tokens + 0.5 * (lexicon.rest_distinct + 1))))
     sums = joined.groupBy("digest").agg(F.sum(F.when(F.col("count") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * base).alias("more_base"), F.sum(F.col("times") * rest).alias("more_score"))
-    copies = scored.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    copies = encoded.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
     sums = stored(sums.join(copies, "digest").select("digest", *[(F.col(c) / F.col("copies")).alias(c) for c in ("more_known", "more_base", "more_score")]))
-    out = scored.drop("rare").join(sums, "digest", "left")
+    out = scored.join(sums, "digest", "left")
 
     def plus(a: str, b: str) -> Column:
         return F.col(a) + F.coalesce(F.col(b), F.lit(0.0))

@@ -390,12 +390,46 @@ def test_model_trains_on_every_training_row(spark):
     for rows in (many, [(1, "a b c d")], [(2, "e f g h")]):
         df = spark.createDataFrame(rows, "key long, text string").repartition(3)
         lexicon = gru.learn_lexicon(gru.count_words(df, "text"), len(rows))
-        model = gru.fit(df, "text", lexicon, "key")
+        model = gru.fit(gru.encode(df, lexicon), lexicon, part=40)
         start = gru.Model.new([lexicon.ends, max(lexicon.rest_tokens, 0), *lexicon.counts[: lexicon.vocabulary].astype(int).tolist()])
         assert model.trained == sum(len(t.split()) + 1 for _, t in rows)
         assert any((model.params[k] != start.params[k]).any() for k in start.params)
 
 
+def test_scores_are_those_of_a_plain_loop_and_do_not_depend_on_partitions(spark):
+    """score: token by token through the gates in 64 bits, with "other" shared out by counts; the same rows dealt out otherwise score the same."""
+    draw = np.random.default_rng(6)
+    rows = [(k, " ".join(f"w{x}" for x in draw.zipf(1.3, 40) % 3000)) for k in range(300)] + [(900, None), (901, ""), (902, "unseen words only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({r["doc_id"]: r["score"] for r in gru.score_texts(df.repartition(n)).collect()} for n in (1, 7))
+    assert one == pytest.approx(two, rel=1e-5)
+    keyed = df.select(F.col("doc_id").alias("key"), "text")
+    training = keyed.where(gru.trains(F.col("key")))
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in (t or "").encode().split())
+    lexicon = gru.learn_lexicon(gru.count_words(training, "text"), training.count())
+    model = gru.fit(gru.encode(training, lexicon), lexicon)
+    p, n = {k: v.astype(float) for k, v in model.params.items()}, gru.STATE
+    place = {w: k + 2 for k, w in enumerate(lexicon.words[: lexicon.vocabulary])}
+
+    def plain(text):
+        h, total = np.zeros(n), 0.0
+        words = (text or "").encode().split()
+        for token, word in [*((place.get(w, gru.OTHER), w) for w in words), (gru.END, None)]:
+            kind = model.of_class[token]
+            scores = h @ p["class"] + p["class_bias"]
+            own = np.flatnonzero(model.of_class == kind)
+            inner = p["word"][own] @ h + p["word_bias"][own]
+            total += scores[kind] - np.log(np.exp(scores).sum()) + inner[own == token][0] - np.log(np.exp(inner).sum())
+            if token == gru.OTHER:
+                total += np.log((counts[word] + 0.5) / (lexicon.rest_tokens + 0.5 * (lexicon.rest_distinct + 1)))
+            a, b = p["input"][token], h @ p["state"]
+            z, r = 1 / (1 + np.exp(-(a[:n] + b[:n]))), 1 / (1 + np.exp(-(a[n : 2 * n] + b[n : 2 * n])))
+            h = z * h + (1 - z) * np.tanh(a[2 * n :] + r * b[2 * n :])
+        return total / np.log(10)
+
+    assert {i: plain(t) for i, t in rows} == pytest.approx(one, rel=1e-4)
+
+
 def test_model_learns_and_sums_to_one():
     import numpy as np
 
