@@ -1,10 +1,11 @@
 """Language identification by fusing evidence: the text, its declared markup language, its address, its host.
 
-Text likelihoods come from hashed letter trigrams, fitted on a bounded sample of labelled rows. The
-other evidence enters as likelihoods and priors: how often a declaration is true, which languages
-an address suffix stands for, and what the host's other rows are written in. Host priors are counts
-over all rows, smoothed towards the counts of the host's suffix, which are smoothed towards those
-of all rows. A background model, even over all trigrams, takes what is no language.
+Text likelihoods come from hashed letter trigrams, fitted on a bounded sample of labelled rows of
+each language. The other evidence enters as likelihoods and priors: how often a declaration is true
+(counted over rows outside that sample), which languages an address suffix stands for, and what the
+host's other rows are written in. Host priors are counts over all rows, smoothed towards the counts
+of the host's suffix, which are smoothed towards those of all rows. A background model, even over
+all trigrams, takes what is no language.
 """
 
 from __future__ import annotations
@@ -22,16 +23,16 @@ from .common import bounded_batches, free_name, list_array, quoted, stored, utf8
 
 #: Trigrams are hashed to this many buckets.
 BUCKETS = 1 << 15
-#: Expected number of labelled rows of each language that the text model is fitted on; languages at most.
-ROWS_EACH, LANGUAGES = 2000, 64
+#: Expected number of labelled rows of each language that the text model is fitted on.
+ROWS_EACH = 2000
 #: A text counts as this many trigrams at most, so that other evidence can weigh against it.
 LENGTH = 60
-#: Share of true declarations; weight of a suffix's own languages; prior of the background.
-DECLARED, SUFFIX, BACKGROUND = 0.9, 0.5, 0.02
+#: Share of true declarations to begin with, and the rows that this is worth; weight of a suffix's own languages; prior of the background.
+DECLARED, DECLARED_ROWS, SUFFIX, BACKGROUND = 0.9, 20.0, 0.5, 0.02
 #: Rows that a suffix's prior is worth for a host, and the prior of all rows for a suffix.
 HOST_SMOOTHING, SUFFIX_SMOOTHING = 20.0, 100.0
-#: Hosts whose priors may travel to every task in one piece; more of them are joined.
-BROADCAST_HOSTS = 20_000
+#: Hosts whose priors may travel to every task in one piece. Of more, those with over 1 / HOT of all rows travel, and the others are joined.
+BROADCAST_HOSTS, HOT = 20_000, 1000
 #: Least probability of an accepted language.
 ENOUGH = 0.5
 UNKNOWN = "und"
@@ -46,10 +47,11 @@ _MARKUP = re.compile(rb"<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNOR
 
 @dataclass
 class Profiles:
-    """Languages in order, and for each the log-probability of every bucket, times 256."""
+    """Languages in order, for each the log-probability of every bucket, times 256, and the share of its rows that it was fitted on."""
 
     names: list[str]
     table: np.ndarray
+    share: dict[str, float]
 
 
 def _buckets(raw: np.ndarray) -> np.ndarray:
@@ -81,26 +83,36 @@ def likelihoods(raw: np.ndarray, at: np.ndarray, profiles: Profiles) -> tuple[np
     return out, count
 
 
+def language_of(tag: Column) -> Column:
+    """The language of a tag such as en-US: its first two or three letters, lower-cased; null for what is no such tag."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(tag.cast("string"))), "^([a-z]{2,3})([-_].*)?$", 1), F.lit(""))
+
+
+def _draw(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(1 << 20)) / F.lit(float(1 << 20))
+
+
 def fit_profiles(df: DataFrame, label: str, text: str, rows_each: int = ROWS_EACH) -> Profiles:
-    """Profiles of the most frequent labels, from labelled rows chosen by the text's hash, rows_each of a language to be expected.
+    """Profiles of all languages that labels name, from labelled rows chosen by the text's hash, rows_each of a language to be expected.
 
-    Empty labels and empty texts are passed over. Without labelled rows there are no languages.
+    Tags count as their language (en-US as en); labels of another form and empty texts are passed over. There
+    are as many profiles, of BUCKETS numbers of two bytes, as language codes among the labels. Without labelled
+    rows there are no languages.
     """
-    labels, column = F.col(quoted(label)).cast("string"), F.col(quoted(text)).cast("string")
-    rows = df.select(labels.alias("label"), column.alias("text")).where("label is not null and label <> '' and text is not null and text <> ''")
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
-    share = {r["label"]: min(1.0, rows_each / r["count"]) for r in counts}
+    column = F.col(quoted(text)).cast("string")
+    rows = df.select(language_of(F.col(quoted(label))).alias("label"), column.alias("text")).where("label is not null and text is not null and text <> ''")
+    share = {r["label"]: min(1.0, rows_each / r["count"]) for r in rows.groupBy("label").count().collect()}
     names = sorted(share)
     if not names:
-        return Profiles([], np.full((1, BUCKETS + 1), 0, np.int32))
+        return Profiles([], np.full((1, BUCKETS + 1), 0, np.int16), {})
     limit = F.create_map(*[F.lit(x) for n in names for x in (n, float(share[n]))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = rows.where(draw < F.coalesce(limit[F.col("label")], F.lit(0.0)))
+    chosen = rows.where(_draw(F.col("text")) < F.coalesce(F.try_element_at(limit, F.col("label")), F.lit(0.0)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {n: np.zeros(BUCKETS + 1, np.int64) for n in names}
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), utf8_list(batch.column(1))):
+                total.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
                 total[name] += np.bincount(_buckets(np.frombuffer(raw, np.uint8)), minlength=BUCKETS + 1)
         for name, counts in total.items():
             at = np.flatnonzero(counts)
@@ -117,12 +129,12 @@ def fit_profiles(df: DataFrame, label: str, text: str, rows_each: int = ROWS_EAC
     summed = chosen.mapInArrow(count, "label string, at binary, n binary").groupBy("label").applyInArrow(add, "label string, n binary").collect()
     found = {r["label"]: np.frombuffer(bytes(r["n"]), "<i8")[:BUCKETS] for r in summed}
     names = [n for n in names if n in found]
-    table = np.zeros((len(names) + 1, BUCKETS + 1), np.int32)
+    table = np.zeros((len(names) + 1, BUCKETS + 1), np.int16)
     for k, n in enumerate(names):
         p = (found[n] + 0.1) / (found[n].sum() + 0.1 * BUCKETS)
         table[k, :BUCKETS] = np.round(np.log(p) * 256)
     table[-1, :BUCKETS] = round(-np.log(BUCKETS) * 256)
-    return Profiles(names, table)
+    return Profiles(names, table, share)
 
 
 def suffix_of(address: Column) -> Column:
@@ -136,24 +148,42 @@ def host_of(address: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(address.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), r"[/?#:].*$", ""))
 
 
-def host_priors(hosts: DataFrame, names: list[str]) -> tuple[DataFrame, list[float]]:
-    """Of rows (host, suffix, best): the log prior of each host as an array in the order of names, and that of all rows.
+def host_priors(counted: DataFrame, size: int) -> tuple[DataFrame, list[float]]:
+    """Of stored counts n of rows by (host, suffix, best): n and the log prior of each host as an array of `size` languages, and the log prior of all rows.
 
-    best is the number of a row's language by its text alone, or null; counts are added up by host,
-    suffix and all rows, each level smoothed towards the next.
+    best is the number of a row's language by its text alone; counts are added up by host, suffix and
+    all rows, each level smoothed towards the next.
     """
-    size = len(names)
-    counted = stored(hosts.where("best is not null").groupBy("host", "suffix", "best").agg(F.count(F.lit(1)).alias("n")))
     every = {r["best"]: r["n"] for r in counted.groupBy("best").agg(F.sum("n").alias("n")).collect()}
     total = sum(every.values())
     world = [(every.get(k, 0) + 1) / (total + size) for k in range(size)]
-    each = [F.sum(F.when(F.col("best") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(size)]
-    suffixes = counted.groupBy("suffix").agg(*each, F.sum("n").alias("n"))
-    level = F.array(*[(F.col(f"n{k}") + SUFFIX_SMOOTHING * world[k]) / (F.col("n") + SUFFIX_SMOOTHING) for k in range(size)])
-    suffixes = suffixes.select("suffix", level.alias("level"))
-    sites = counted.groupBy("host", "suffix").agg(*each, F.sum("n").alias("n")).join(suffixes, "suffix")
-    prior = F.array(*[F.log((F.col(f"n{k}") + HOST_SMOOTHING * F.col("level")[k]) / (F.col("n") + HOST_SMOOTHING)) for k in range(size)])
-    return sites.select("host", "suffix", prior.alias("prior")), [float(np.log(w)) for w in world]
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+
+    def summed(rows: DataFrame, *keys: str) -> DataFrame:
+        """By keys: their rows, and a map from language to its rows (no more entries than languages)."""
+        each = rows.groupBy(*keys, "best").agg(F.sum("n").alias("n"))
+        return each.groupBy(*keys).agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("by"))
+
+    def smoothed(above: Column, worth: float) -> Column:
+        return F.transform(places, lambda k: (F.coalesce(F.try_element_at(F.col("by"), k), F.lit(0)) + worth * F.element_at(above, k + 1)) / (F.col("n") + worth))
+
+    suffixes = summed(counted, "suffix").select("suffix", smoothed(F.array(*map(F.lit, world)), SUFFIX_SMOOTHING).alias("level"))
+    sites = summed(counted, "host", "suffix").join(suffixes, "suffix")
+    prior = F.transform(smoothed(F.col("level"), HOST_SMOOTHING), lambda p: F.log(p))
+    return sites.select("host", "suffix", "n", prior.alias("prior")), [float(np.log(w)) for w in world]
+
+
+def _with_priors(made: DataFrame, table: DataFrame, keys: list[str], prior: str, spread: Column, broadcast_hosts: int) -> DataFrame:
+    """made with each row's host prior, null for hosts without one."""
+    if table.count() <= broadcast_hosts:
+        return made.join(F.broadcast(table.drop("n")), keys, "left")
+    total = table.agg(F.sum("n")).scalar()
+    hot = table.where(F.col("n") * HOT > total).select(*keys, F.col(prior).alias(f"{prior}_hot"))
+    made = made.join(F.broadcast(hot), keys, "left")
+    rest = table.where(F.col("n") * HOT <= total).select(F.concat_ws("\n", *keys).alias(f"{prior}_key"), prior)
+    key = F.when(F.col(f"{prior}_hot").isNull(), F.concat_ws("\n", *keys)).otherwise(F.concat(F.lit("\n\n"), spread.cast("string")))
+    joined = made.withColumn(f"{prior}_key", key).join(rest, f"{prior}_key", "left")
+    return joined.withColumn(prior, F.coalesce(f"{prior}_hot", prior)).drop(f"{prior}_hot", f"{prior}_key")
 
 
 def identify_language(
@@ -165,8 +195,10 @@ def identify_language(
 
     declared: column of declared languages (a lang attribute of an html element in the text goes
     before it); address: column of addresses or host names; label: column of labels that the text
-    model is fitted on, declared if not given. Declarations outside the fitted languages count as
-    none. A text without trigrams that hold a letter (null and empty ones too) is "und" with
+    model is fitted on, declared if not given. Tags stand for their language (en-US for en);
+    declarations outside the fitted languages count as none. A declaration is as reliable as
+    declarations agree with the texts of rows that the model was not fitted on; hosts with a large
+    share of all rows are not gathered. A text without trigrams that hold a letter (null and empty ones too) is "und" with
     probability 0, and so, with its probability, is one that the background explains best; ties go
     to the alphabet's first. Rows stay as they are, repeated ones included; old columns named like
     the new ones give way. Three passes over the texts: the sample, the hosts, the result.
@@ -190,33 +222,47 @@ def identify_language(
         return pa.StructArray.from_arrays([evidence, pa.array(best, pa.int32(), mask=best < 0), pa.array(marks, pa.string())], ["evidence", "best", "markup"])
 
     where = F.col(quoted(address)) if address else F.lit(None)
-    sites = df.select(host_of(where).alias("host"), suffix_of(where).alias("suffix"), weigh(column)["best"].alias("best"))
-    table, world = host_priors(sites, names) if size else (None, [])
     mark, host, suffix, prior = (free_name(df, n) for n in ("weighed", "host_key", "suffix_key", "host_prior"))
     made = df.withColumns({mark: weigh(column), host: host_of(where), suffix: suffix_of(where)})
+    claim = F.coalesce(language_of(F.col(mark)["markup"]), language_of(F.col(quoted(declared))) if declared else F.lit(None).cast("string"))
+    numbers = F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k)]) if size else None
+    world, true = [], DECLARED
     if size:
-        table = stored(table.select(F.col("host").alias(host), F.col("suffix").alias(suffix), F.col("prior").alias(prior)))
-        small = table.count() <= broadcast_hosts
-        made = made.join(F.broadcast(table) if small else table, [host, suffix], "left")
+        of_label = language_of(F.col(quoted(label or declared or "lang"))) if profiles is None else F.lit(None).cast("string")
+        fitted = F.coalesce(_draw(column) < F.try_element_at(F.create_map(*[F.lit(x) for n in names for x in (n, float(shared_profiles.share.get(n, 0.0)))]), of_label), F.lit(False))
+        best, said = F.col(mark)["best"], F.try_element_at(numbers, claim)
+        sites = made.where(best.isNotNull()).select(F.col(host).alias("host"), F.col(suffix).alias("suffix"), best.alias("best"), F.when(~fitted, (said == best).cast("int")).alias("agrees"))
+        counted = stored(sites.groupBy("host", "suffix", "best").agg(F.count(F.lit(1)).alias("n"), F.sum("agrees").alias("agree"), F.count("agrees").alias("asked")))
+        asked = counted.agg(F.coalesce(F.sum("agree"), F.lit(0)).alias("agree"), F.coalesce(F.sum("asked"), F.lit(0)).alias("asked")).first()
+        true = min(0.99, max(1.0 / size, (asked["agree"] + DECLARED * DECLARED_ROWS) / (asked["asked"] + DECLARED_ROWS)))
+        table, world = host_priors(counted, size)
+        table = stored(table.select(F.col("host").alias(host), F.col("suffix").alias(suffix), "n", F.col("prior").alias(prior)))
+        made = _with_priors(made, table, [host, suffix], prior, F.xxhash64(column), broadcast_hosts)
     else:
         made = made.withColumn(prior, F.lit(None).cast("array<double>"))
-    claim = F.coalesce(F.col(mark)["markup"], F.lower(F.col(quoted(declared)).cast("string")) if declared else F.lit(None).cast("string"))
-    terms = []
-    for k, name in enumerate(names):
-        term = F.col(mark)["evidence"][k] + F.coalesce(F.get(F.col(prior), F.lit(k)), F.lit(world[k])) + float(np.log(1 - BACKGROUND))
-        other = (1 - DECLARED) / max(1, size - 1)
-        term = term + F.when(claim == name, float(np.log(DECLARED))).when(claim.isin(names), float(np.log(other))).otherwise(0.0)
-        own = [s for s, n in SUFFIXES.items() if n == name]
-        term = term + F.when(F.col(suffix).isin(own), float(np.log(SUFFIX + (1 - SUFFIX) / size))).when(F.col(suffix).isin([s for s, n in SUFFIXES.items() if n in names]), float(np.log((1 - SUFFIX) / size))).otherwise(0.0)
-        terms.append(term)
-    none = F.col(mark)["evidence"][size] + float(np.log(BACKGROUND))
+    said, own = (free_name(made, n) for n in ("claimed", "suffix_language"))
     weights, known = free_name(df, "weights"), F.size(F.col(mark)["evidence"]) > 0
-    made = made.withColumn(weights, F.when(known, F.array(*terms, none)))
+    if size:
+        stands = {s: names.index(n) for s, n in SUFFIXES.items() if n in names}
+        lands = F.create_map(*[F.lit(x) for item in stands.items() for x in item]) if stands else F.create_map().cast("map<string,int>")
+        made = made.withColumns({said: F.try_element_at(numbers, claim), own: F.try_element_at(lands, F.col(suffix))})
+        base, other = F.array(*map(F.lit, world)), (1 - true) / max(1, size - 1)
+
+        def fused(e: Column, k: Column) -> Column:
+            by_claim = F.when(F.col(said) == k, float(np.log(true))).when(F.col(said).isNotNull(), float(np.log(max(other, 1e-9)))).otherwise(0.0)
+            by_land = F.when(F.col(own) == k, float(np.log(SUFFIX + (1 - SUFFIX) / size))).when(F.col(own).isNotNull(), float(np.log((1 - SUFFIX) / size))).otherwise(0.0)
+            return e + F.coalesce(F.get(F.col(prior), k), F.get(base, k)) + float(np.log(1 - BACKGROUND)) + by_claim + by_land
+
+        evidence = F.col(mark)["evidence"]
+        none = F.get(evidence, F.lit(size)) + float(np.log(BACKGROUND))
+        made = made.withColumn(weights, F.when(known, F.concat(F.transform(F.slice(evidence, 1, size), fused), F.array(none))))
+    else:
+        made = made.withColumns({weights: F.when(known, F.array(F.lit(float(np.log(BACKGROUND))))), said: F.lit(None), own: F.lit(None)})
     top = F.array_max(weights)
-    place = F.array_position(weights, top)
+    spoken = F.array(*map(F.lit, [*names, UNKNOWN]))
     out = {
-        language: F.when(known, F.element_at(F.array(*map(F.lit, [*names, UNKNOWN])), place.cast("int"))).otherwise(UNKNOWN),
+        language: F.when(known, F.element_at(spoken, F.array_position(weights, top).cast("int"))).otherwise(UNKNOWN),
         probability: F.when(known, 1 / F.aggregate(F.transform(weights, lambda w: F.exp(w - top)), F.lit(0.0), lambda a, x: a + x)).otherwise(0.0),
-        text_language: F.coalesce(F.element_at(F.array(*map(F.lit, [*names, UNKNOWN])), (F.col(mark)["best"] + 1)), F.lit(UNKNOWN)),
+        text_language: F.coalesce(F.element_at(spoken, (F.col(mark)["best"] + 1)), F.lit(UNKNOWN)),
     }
-    return with_columns(made, out).drop(mark, host, suffix, prior, weights)
+    return with_columns(made, out).drop(mark, host, suffix, prior, weights, said, own)

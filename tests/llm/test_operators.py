@@ -457,6 +457,78 @@ def test_language(spark, docs):
     assert langid.identify_language(docs.limit(0)).count() == 0
 
 
+def plain_languages(rows, profiles, fitted):
+    """Language and probability of rows (id, text, tag, source) by plain loops over the same evidence."""
+    names, size = profiles.names, len(profiles.names)
+
+    def tag(x):
+        m = re.match("([a-z]{2,3})([-_].*)?$", (x or "").strip().lower())
+        return m[1] if m and m[1] in names else None
+
+    def parts(source):
+        host = re.sub("[/?#:].*$", "", re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*://", "", source or "")).lower()
+        return host, host.rsplit(".", 1)[-1] if "." in host else ""
+
+    seen = []
+    for _, text, said, source in rows:
+        raw, total, count = (text or "").encode(), np.zeros(size + 1), 0
+        for k in range(len(raw) - 2):
+            c = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in raw[k : k + 3]]
+            if any(c):
+                total += profiles.table[:, ((c[0] << 16 | c[1] << 8 | c[2]) * 2654435761 % 2**32) >> 17]
+                count += 1
+        total = total / 256 * min(1, langid.LENGTH / max(count, 1))
+        best = int(total[:-1].argmax()) if count and total[:-1].max() > total[-1] else None
+        markup = re.search(r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", text or "") if (text or "").lstrip().startswith("<") else None
+        seen.append((total, count, best, tag(markup[1]) if markup else tag(said), *parts(source)))
+    asked = [names[best] == claim for (_, _, best, claim, _, _), f in zip(seen, fitted) if best is not None and claim and not f]
+    true = min(0.99, max(1 / size, (sum(asked) + langid.DECLARED * langid.DECLARED_ROWS) / (len(asked) + langid.DECLARED_ROWS)))
+
+    def level(rows, above, worth):
+        n = Counter(b for b in rows if b is not None)
+        return [(n[k] + worth * above[k]) / (sum(n.values()) + worth) for k in range(size)]
+
+    every = [x[2] for x in seen]
+    world = [(Counter(every)[k] + 1) / (sum(b is not None for b in every) + size) for k in range(size)]
+    out = []
+    for (i, *_), (total, count, _, claim, host, suffix) in zip(rows, seen):
+        own = [x[2] for x in seen if x[4] == host and x[2] is not None]
+        land = level([x[2] for x in seen if x[5] == suffix], world, langid.SUFFIX_SMOOTHING)
+        prior = level(own, land, langid.HOST_SMOOTHING) if own else world
+        stands = langid.SUFFIXES.get(suffix)
+        weights = [total[-1] + np.log(langid.BACKGROUND)]
+        for k, n in enumerate(names):
+            w = total[k] + np.log(prior[k]) + np.log(1 - langid.BACKGROUND)
+            w += 0 if claim is None else np.log(true if claim == n else max((1 - true) / max(1, size - 1), 1e-9))
+            w += 0 if stands not in names else np.log(langid.SUFFIX * (stands == n) + (1 - langid.SUFFIX) / size)
+            weights.append(w)
+        p = np.exp(np.array(weights) - max(weights))
+        place = int(np.argmax(weights[1:])) if max(weights[1:]) >= weights[0] else -1
+        out.append((i, langid.UNKNOWN if not count or place < 0 else names[place], 0.0 if not count else 1 / p.sum()))
+    return out
+
+
+@pytest.mark.parametrize("broadcast_hosts", [langid.BROADCAST_HOSTS, 0])
+def test_language_id_against_brute_force(spark, monkeypatch, broadcast_hosts):
+    monkeypatch.setattr(langid, "HOT", 20)
+    table = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").where("length(text) < 3000").collect()]
+    langs = sorted({r[2] for r in table})
+    rows = [(i, t, (lang.upper() + "-xx", lang, None, langs[i % len(langs)], "no tag")[i % 5], f"https://{s}.{('fr', 'org', 'com')[i % 3]}/p") for i, t, lang, s in table]
+    rows += [(9001, "<html lang='en'> hello there", "de", "x.de"), (9002, None, "en", None), (9003, "1 2 3", "en", "a.fr"), (9004, "ab", None, ""), (9005, rows[0][1], None, None), (9005, rows[0][1], None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    profiles = langid.fit_profiles(df, "lang", "text", 10)
+    drawn = {(r["doc_id"], r["text"]): r["d"] for r in df.select("doc_id", "text", langid._draw(F.col("text")).alias("d")).collect()}
+    found = sorted((r["doc_id"], r["language"], round(r["probability"], 6)) for r in langid.identify_language(df, rows_each=10, broadcast_hosts=broadcast_hosts).collect())
+
+    def sampled(i, t, tag):
+        m = re.match("([a-z]{2,3})([-_].*)?$", (tag or "").strip().lower())
+        return bool(t and m and drawn[i, t] < profiles.share.get(m[1], 0))
+
+    want = sorted((i, n, round(float(p), 6)) for i, n, p in plain_languages(rows, profiles, [sampled(i, t, tag) for i, t, tag, _ in rows]))
+    assert [r[:2] for r in found] == [r[:2] for r in want]
+    assert [r[2] for r in found] == pytest.approx([r[2] for r in want], abs=2e-6)
+
+
 @pytest.mark.parametrize("broadcast_hosts", [langid.BROADCAST_HOSTS, 0])
 def test_evidence_is_fused(spark, broadcast_hosts):
     made = [("le la les des une et que pour dans avec sur ce zz " * 4, "fr"), ("the and of to in that is was for with his they zz " * 4, "en")]
