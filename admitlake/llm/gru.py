@@ -116,16 +116,14 @@ class Model:
     def log_probabilities(self, h: np.ndarray, y: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
         """Natural logs of the probability of each y after state h."""
         p = self.params
-        scores = _times(h, p["class"]) + p["class_bias"]
         c = self.of_class[y]
-        out = scores[np.arange(len(y)), c] - _log_sums(scores)
+        out = _log_softmax(h, p["class"].T, p["class_bias"], c)
         order = np.argsort(c, kind="stable")
         borders = np.searchsorted(c[order], np.arange(len(members) + 1))
         for k, own in enumerate(members):
             rows = order[borders[k] : borders[k + 1]]
             if len(own) > 1 and len(rows):
-                inner = _times(h[rows], p["word"][own].T) + p["word_bias"][own]
-                out[rows] += inner[np.arange(len(rows)), np.searchsorted(own, y[rows])] - _log_sums(inner)
+                out[rows] += _log_softmax(h[rows], p["word"][own], p["word_bias"][own], np.searchsorted(own, y[rows]))
         return out
 
     def score(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -179,17 +177,20 @@ class Model:
             every, y = np.concatenate(states), part.T.ravel()
             grads, to_h = self._output_gradients(every, y, members)
             to_h = to_h.reshape(part.shape[1], lanes, n)
-            to_state, carry = np.zeros_like(p["state"]), np.zeros((lanes, n), np.float32)
-            to_input = np.zeros((part.shape[1], lanes, 3 * n), np.float32)
+            carry, turned = np.zeros((lanes, n), np.float32), p["state"].T
+            to_input, to_gates = np.empty((part.shape[1], lanes, 3 * n), np.float32), np.empty((part.shape[1], lanes, 3 * n), np.float32)
             for t in reversed(range(part.shape[1])):
                 old, going, z, r, new, inner = saved[t]
-                g = carry * going
-                to_new = g * (1 - z) * (1 - new * new)
-                to_z, to_r = g * (old - new) * z * (1 - z), to_new * inner * r * (1 - r)
-                to_input[t] = np.concatenate([to_z, to_r, to_new], 1)
-                to_b = np.concatenate([to_z, to_r, to_new * r], 1)
-                to_state += _across(old, to_b)
-                carry = g * z + _times(to_b, p["state"].T) + to_h[t]
+                g, own = carry * going, to_input[t]
+                gz = g * z
+                to_new = (g - gz) * (1 - new * new)
+                own[:, :n] = gz * (old - new) * (1 - z)
+                own[:, n : 2 * n] = to_new * inner * r * (1 - r)
+                own[:, 2 * n :] = to_new
+                to_gates[t] = own
+                to_gates[t, :, 2 * n :] *= r
+                carry = gz + _times(to_gates[t], turned) + to_h[t]
+            to_state = _across(every, to_gates.reshape(-1, 3 * n))
             grads["state"] = to_state
             flat_input = np.zeros_like(p["input"])
             order = np.argsort(y, kind="stable")
@@ -241,9 +242,16 @@ def _across(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.matmul(left.transpose(0, 2, 1), right).sum(0) + a[n:].T @ b[n:]
 
 
-def _log_sums(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]).sum(1))
+def _log_softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural logs of the softmax of weights @ h + bias at y for each row of h: some rows at a time, each a column, so that sums run along memory."""
+    out, each = np.empty(len(h), np.float32), max(1, SINGLE // weights.size)
+    column = bias[:, None]
+    for k in range(0, len(h), each):
+        x = weights @ h[k : k + each].T + column
+        at, top = x[y[k : k + each], np.arange(x.shape[1])], x.max(0)
+        x -= top
+        out[k : k + each] = at - top - np.log(np.exp(x, out=x).sum(0))
+    return out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
