@@ -48,10 +48,8 @@ def act_to_sat(act: Column) -> Column:
 def sat_to_act(sat: Column) -> Column:
     """Rounded half to even to tens, held to 590..1600, then the highest ACT whose SAT is not above it."""
     x = clamp(F.bround(sat / 10) * 10, 590.0, 1600.0)
-    out = F.when(x == 1600, 36.0)
-    for act, floor in ACT_TO_SAT.items():
-        out = out.when(x >= floor, float(act))
-    return F.when(x.isNotNull(), out)
+    steps = [36.0 if s == 1600 else float(max(a for a, floor in ACT_TO_SAT.items() if s >= floor)) for s in range(590, 1601, 10)]
+    return F.element_at(F.array(*map(F.lit, steps)), ((x - 590) / 10 + 1).cast("int"))
 
 
 def filled_scores(sat: Column, act: Column) -> tuple[Column, Column]:

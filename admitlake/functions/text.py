@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +22,10 @@ GREETING = (
     r"^(hi|hello|hey|howdy|yo|sup)\b", r"^good (morning|afternoon|evening|night)\b", r"^(thanks|thank you|thx|ty)\b", r"^(bye|goodbye|see you|later)\b", r"^how are you",
     r"^what'?s up\b", r"^nice to meet you",
 )
-#: Entities that are unescaped; the ampersand comes last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: Names of HTML entities that count without a semicolon too, longest first, as a pattern.
+_OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+#: Numbers that stand for other characters than their own: those of Windows-1252, and 0.
+_NUMBERS = {n: bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(0x80, 0xA0)} | {0: "\ufffd", 0x0D: "\r"}
 
 
 def squeezed(text: Column) -> Column:
@@ -28,9 +33,32 @@ def squeezed(text: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    for entity, plain in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    """text with its HTML entities as characters: each ampersand's reference on its own, by number or by name, unknown names kept.
+
+    A name without its semicolon counts if it is one of the old ones, by its longest known beginning.
+    Numbers beyond Unicode, and surrogates, become U+FFFD.
+    """
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    numbers = F.from_json(F.lit(json.dumps({str(k): v for k, v in _NUMBERS.items()})), "map<string,string>")
+
+    def reference(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0)
+        start = F.regexp_extract(part, f"^(?:{_OPEN_NAMES})", 0)
+        known = F.try_element_at(names, name)
+        by_name = F.when(known.isNotNull(), F.concat(known, F.substring(part, F.length(name) + 1, F.length(part))))
+        by_name = by_name.when(start != "", F.concat(F.try_element_at(names, start), F.substring(part, F.length(start) + 1, F.length(part)))).otherwise(F.concat(F.lit("&"), part))
+        sign = F.regexp_extract(part, "^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+        digits = F.regexp_replace(sign, "^#[xX]?0*|;", "")
+        value = F.when(F.length(digits) > 8, F.lit(1 << 24)).when(sign.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("int")).otherwise(digits.try_cast("int"))
+        value = F.coalesce(value, F.lit(0))
+        wide = F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")
+        char = F.coalesce(F.try_element_at(numbers, value.cast("string")), F.when((value > 0x10FFFF) | value.between(0xD800, 0xDFFF), "\ufffd").otherwise(wide))
+        by_number = F.concat(char, F.substring(part, F.length(sign) + 1, F.length(part)))
+        return F.when(sign != "", by_number).otherwise(by_name)
+
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), reference)
+    return F.when(text.contains("&"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
 
 
 def clean_text(text: Column, most: int | None = None) -> Column:
@@ -39,9 +67,13 @@ def clean_text(text: Column, most: int | None = None) -> Column:
     Null gives an empty text. most: cut to so many characters at a word's end, with "..." behind.
     """
     out = unescaped(F.coalesce(text, F.lit("")))
+    marked = out
+    for pattern in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"<[^>]+>"):
+        marked = F.regexp_replace(marked, pattern, "")
+    out = F.when(out.contains("<"), marked).otherwise(out)
     for pattern, put in (
-        (r"(?is)<script.*?</script>", ""), (r"(?is)<style.*?</style>", ""), (r"<[^>]+>", ""), (r"[\s ]+", " "), (r"[^\p{L}\p{N}_\s.,!?;:()\[\]\"'-]+", " "),
-        (r"(?<![\p{L}\p{N}_])\d{3}[-.]?\d{3}[-.]?\d{4}(?![\p{L}\p{N}_])", ""), (r"[.]{3,}", "..."), (r"[!]{2,}", "!"), (r"[?]{2,}", "?"), (r"\s+", " "),
+        (r"(?:[\s ]|[^\p{L}\p{N}_\s.,!?;:()\[\]\"'-])+", " "), (r"(?<![\p{L}\p{N}_])\d{3}[-.]?\d{3}[-.]?\d{4}(?![\p{L}\p{N}_])", ""),
+        (r"[.]{3,}", "..."), (r"([!?])\1+", "$1"), (r"\s+", " "),
     ):
         out = F.regexp_replace(out, pattern, put)
     out = F.trim(out)

@@ -6,6 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows whose weights in a moving average of up to 0.8 of the old value are not nothing.
+MEMORY = 3400
+
+
+def kept_best(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of each group of rows with equal keys the one with the largest values of `order`, the first of them deciding."""
+    rest = [c for c in df.columns if c not in (*keys, *order)]
+    best = F.max(F.struct(*order, *rest)).alias("_best")
+    return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_best")[c].alias(c) for c in (*order, *rest)])
+
+
+def resumed(work: DataFrame, done: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """What of the work the sink has not yet by key, and what it has."""
+    return work.join(done, key, "left_anti"), work.join(done, key, "left_semi")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of new, and rows of old whose key new lacks."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
@@ -54,8 +70,15 @@ def failure_runs(log: DataFrame, key: str, order: str, failed: Column) -> DataFr
 
 
 def moving_average(log: DataFrame, key: str, order: list[str], value: str, old: float = 0.8) -> DataFrame:
-    """Per key the exponential moving average after the last row, seeded by the first."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, value)))
-    seed = F.col("s")[0][value]
-    rest = F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0)))
-    return log.groupBy(key).agg(ordered.alias("s")).select(key, F.size("s").alias("n"), F.aggregate(rest, seed, lambda a, x: a * old + x[value] * (1 - old)).alias("ema"))
+    """Per key the exponential moving average after the last row, seeded by the first.
+
+    As a weighted sum: a value `back` rows before the last counts (1 - old) * old ** back, the first one old ** (n - 1).
+    Weights beyond MEMORY rows are nothing in 64 bits, so each key keeps that many rows, before they are shuffled too.
+    """
+    weight = F.pow(F.lit(old), F.col("_back"))
+    back = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])) - 1
+    last = log.select(key, *order, value).withColumn("_back", back).where(F.col("_back") < MEMORY)
+    late = last.groupBy(key).agg(F.sum(F.col(value) * weight * (1 - old)).alias("late"), F.max("_back").alias("reach"))
+    every = log.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min_by(value, F.struct(*order)).alias("first"))
+    seed = F.when(F.col("n") <= MEMORY, F.col("first") * F.pow(F.lit(old), F.col("n") - 1) * old).otherwise(0.0)
+    return every.join(late, key).select(key, "n", (F.col("late") + seed).alias("ema"))

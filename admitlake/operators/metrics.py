@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .placing import exact_median
+
+#: Ranges of probability in which ranks are counted on their own.
+RANGES = 10_000
+
 
 def calibration_bins(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """Per half-open bin of probability: rows, mean probability, share of positives. A probability of 1 is in no bin."""
@@ -23,10 +28,13 @@ def losses(df: DataFrame, p: str, y: str, *keys: str) -> DataFrame:
 
 
 def auc(df: DataFrame, p: str, y: str) -> DataFrame:
-    """The area under the ROC curve by mid-ranks. Ranks run over distinct probabilities, already counted."""
+    """The area under the ROC curve by mid-ranks. Ranks run over distinct probabilities (0 to 1), already counted, range by range."""
     at = df.groupBy(p).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = at.select("pos", "n", (F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
+    at = at.withColumn("range", F.floor(F.col(p) * RANGES))
+    sizes = at.groupBy("range").agg(F.sum("n").alias("size"))
+    first = sizes.select("range", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    before = F.sum("n").over(Window.partitionBy("range").orderBy(p).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = at.join(F.broadcast(first), "range").select("pos", "n", (F.col("first") + F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
     sums = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     return sums.select("n", F.col("pos").alias("positives"), F.try_divide(F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("n") - F.col("pos"))).alias("auc"))
 
@@ -37,5 +45,4 @@ def confusion(df: DataFrame, p: str, y: str, threshold: float = 0.5) -> DataFram
 
 def pareto_pick(df: DataFrame, limit: str, value: str, key: str) -> DataFrame:
     """The key with the least value among rows whose limit is not above the median; of equals the smallest key."""
-    median = df.agg(F.median(limit)).scalar()
-    return df.where(F.col(limit) <= median).agg(F.min_by(key, F.struct(value, key)).alias(key), F.min(value).alias(value))
+    return df.where(F.col(limit) <= exact_median(df, limit)).agg(F.min_by(key, F.struct(value, key)).alias(key), F.min(value).alias(value))

@@ -2,33 +2,89 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import in_blocks
+from ..storage import written
 
 K1, B = 1.2, 0.75
+#: Bytes of query vectors that travel at a time; queries that meet a batch at a time; terms that are looked up without a join.
+BLOCK_BYTES, TILE, TERMS = 64 << 20, 256, 50_000
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 9, where: Column | None = None) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 9, match: tuple[str, str] | None = None) -> DataFrame:
     """For each query (query_id, vector) the k rows (id, embedding) of highest cosine, rounded; of equals the smallest ids.
 
-    where: a condition on columns of both sides that a hit must meet. The queries travel to every task
-    in blocks of bounded size; the ranking keeps k rows for each query and task before it shuffles.
+    match: a column of the rows and one of the queries that must be equal for a hit. Queries travel to
+    every task in blocks of BLOCK_BYTES, scaled to length 1; a task multiplies each Arrow batch with the
+    block, tile by tile, and hands on the candidates for each query's k best of the batch, which are
+    ranked. Null vectors, vectors of another size or of length 0, and null values of match give no hits.
     """
-
-    def ranked(block: DataFrame) -> DataFrame:
-        pairs = vectors.join(block, F.lit(True) if where is None else where).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("vector")), digits).alias("score"))
-        return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-
-    return in_blocks(queries, "query_id", ranked)
+    own, wanted = (F.xxhash64(F.col(c).cast("string")) if c else F.lit(0).cast("long") for c in (match or (None, None)))
+    asked = queries.where(F.col(match[1]).isNotNull()) if match else queries
+    asked = asked.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"), wanted.alias("wanted"))
+    rows = vectors.where(F.col(match[0]).isNotNull()) if match else vectors
+    rows = rows.select("id", F.col("embedding").cast("array<double>").alias("embedding"), own.alias("own"))
+    kinds = {c: t.simpleString() for c, t in ((f.name, f.dataType) for f in (queries.schema["query_id"], vectors.schema["id"]))}
+    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, score double"
+    found = None
+    for ids, matrix, groups in _blocks(asked):
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, groups))
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, block, groups = shared.value
+            for batch in batches:
+                scaled, real = _scaled(batch.column(1), block.shape[1])
+                kept, mine = batch.column(0).filter(pa.array(real)), batch.column(2).to_numpy()[real]
+                for begin in range(0, len(block), TILE):
+                    scores = np.round(block[begin : begin + TILE] @ scaled.T, digits)
+                    if match:
+                        scores[groups[begin : begin + TILE, None] != mine] = -np.inf
+                    if not scores.size:
+                        continue
+                    least = np.partition(scores, -k, axis=1)[:, -k, None] if scores.shape[1] > k else -np.inf
+                    at, of = np.nonzero((scores >= least) & (scores > -np.inf))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(at + begin)), kept.take(pa.array(of)), pa.array(scores[at, of])], ["query_id", "id", "score"])
+
+        part = rows.where(F.size("embedding") == matrix.shape[1]).mapInArrow(best, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], schema)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def _blocks(queries: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Queries in blocks of bounded size: ids, scaled vectors, groups. All vectors are as long as the first one; others are passed over."""
+    first = queries.where("size(vector) > 0").select(F.size("vector").alias("n")).first()
+    if first is None:
+        return
+    size, kind = first["n"], queries.select("query_id").schema
+    ids, vectors, groups = [], [], []
+
+    def block() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        scaled, real = _scaled(pa.array(vectors, pa.list_(pa.float64())), size)
+        return pa.array(ids, to_arrow_type(kind[0].dataType)).filter(pa.array(real)), scaled, np.array(groups, np.int64)[real]
+
+    for row in queries.where(F.size("vector") == size).toLocalIterator():
+        ids.append(row["query_id"]), vectors.append(row["vector"]), groups.append(row["wanted"])
+        if len(ids) * size * 8 >= BLOCK_BYTES:
+            yield block()
+            ids, vectors, groups = [], [], []
+    if ids:
+        yield block()
+
+
+def _scaled(vectors: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1, and which of the given ones are not of length 0."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    norms = np.sqrt((flat * flat).sum(1))
+    real = norms > 0
+    return flat[real] / norms[real, None], real
 
 
 def filtered_or_global(filtered: DataFrame, everywhere: DataFrame, queries: DataFrame, boost: Column, each: int = 4) -> DataFrame:
@@ -50,14 +106,22 @@ def tokens(text: Column) -> Column:
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """For each query (query_id, text) the k documents (id, text) of highest BM25 score over the query's distinct terms.
 
-    Postings are kept for the queries' terms only; document counts and mean length cover all documents.
+    One pass over the texts: each document's size and those of its words that queries ask for, written
+    once. Postings, frequencies and the mean size come from there and cover all documents. Up to TERMS
+    terms are looked up as the words pass; more of them are joined.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = terms.select("term").distinct()
+    few = [r["term"] for r in wanted.limit(TERMS + 1).collect()]
     cut = docs.select("id", tokens(F.col("text")).alias("words")).withColumn("size", F.size("words"))
-    sizes = cut.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-    n, mean = sizes.select("n").scalar(), sizes.select("mean").scalar()
-    postings = cut.select("id", "size", F.explode("words").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "size").agg(F.count(F.lit(1)).alias("tf"))
+    if len(few) <= TERMS:
+        cut = written(cut.select("id", "size", F.filter("words", lambda w: w.isin(few)).alias("words")))
+    else:
+        kept = cut.select("id", F.explode("words").alias("term")).join(wanted, "term", "left_semi").groupBy("id").agg(F.collect_list("term").alias("words"))
+        cut = written(cut.drop("words").join(kept, "id", "left"))
+    about = cut.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).first()
+    n, mean = about["n"], about["mean"] or 1.0
+    postings = written(cut.select("id", "size", F.explode("words").alias("term")).groupBy("term", "id", "size").agg(F.count(F.lit(1)).alias("tf")))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))

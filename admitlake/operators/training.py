@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import catalogue
 from ..functions.scores import capped_gpa, filled_scores
+from .placing import exact_median, placed
 
 
 def joined_points(points: DataFrame, schools: DataFrame, grades: DataFrame) -> DataFrame:
@@ -22,13 +23,13 @@ def decided(points: DataFrame) -> DataFrame:
 def with_scores(points: DataFrame) -> DataFrame:
     """SAT and ACT filled from each other; points with neither go."""
     sat, act = filled_scores(F.col("sat_score"), F.col("act_score"))
-    return points.withColumns({"sat_score": sat, "act_score": act}).where(F.col("sat_score").isNotNull() | F.col("act_score").isNotNull())
+    return points.where(F.col("sat_score").isNotNull() | F.col("act_score").isNotNull()).withColumns({"sat_score": sat, "act_score": act})
 
 
 def with_gpa(points: DataFrame) -> DataFrame:
     """gpa_original kept, is_weighted above 4, gpa held to 4; points outside 0 < gpa go."""
     gpa = F.col("gpa")
-    return points.withColumns({"gpa_original": gpa, "is_weighted": gpa > 4, "gpa": capped_gpa(gpa)}).where((F.col("gpa") > 0) & (F.col("gpa") <= 4))
+    return points.where(gpa > 0).withColumns({"gpa_original": gpa, "is_weighted": gpa > 4, "gpa": capped_gpa(gpa)})
 
 
 def school_means(points: DataFrame) -> DataFrame:
@@ -76,6 +77,29 @@ def sample_weights(df: DataFrame, key: str) -> DataFrame:
     return df.join(counts, key).withColumn("weight", 1 / F.sqrt("n") / mean).drop("n")
 
 
+def stratified_split(df: DataFrame, key: str, label: Column, strata: int = 5) -> DataFrame:
+    """df with `part` like grouped_split, but dealt out evenly within strata of the groups' share of positive labels.
+
+    Within each stratum, groups in an order by hash go to the parts by turns of ten: 6, 2, 2.
+    """
+    groups = df.groupBy(key).agg(F.avg(label).alias("rate")).withColumn("stratum", F.least(F.floor(F.coalesce("rate", F.lit(0.0)) * strata), F.lit(strata - 1)))
+    turn = F.pmod(F.col("place"), F.lit(10))
+    dealt = placed(groups.withColumn("_h", F.xxhash64(key)), "stratum", "_h", key).select(key, F.when(turn < 6, "train").when(turn < 8, "calibrate").otherwise("test").alias("part"))
+    return df.join(dealt, key)
+
+
+def median_imputed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with missing values of the columns filled by each column's exact median."""
+    medians = {c: exact_median(df, c) for c in columns}
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(m).cast("double")) for c, m in medians.items()})
+
+
+def category_codes(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df with a column's place among its distinct values in order, from 0; null gets -1."""
+    kinds = placed(df.select(column).where(F.col(column).isNotNull()).distinct(), column, name=out).withColumn(out, F.col(out) - 1)
+    return df.join(kinds, column, "left").withColumn(out, F.coalesce(out, F.lit(-1).cast("long")))
+
+
 def grouped_split(df: DataFrame, key: str) -> DataFrame:
     """df with `part`: whole groups go to train (60 %), calibrate (20 %) or test (20 %), by the key's hash."""
     draw = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(10))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import maintenance, matching, retrieval
+from ..operators.placing import placed
 from ..sources import files
+from ..storage import written
 from .registry import query, table
 
 _HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), ':[0-9]+$', ''), '^www\.', '')"
@@ -109,21 +111,20 @@ def js_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CLEAN = "coalesce(text, '')"
-for _entity, _plain in text.ENTITIES.items():
-    _put = _plain.replace("'", "''")
+for _entity, _put in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&apos;": "''", "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·", "&amp;": "&"}.items():
     _CLEAN = f"replace({_CLEAN}, '{_entity}', '{_put}')"
 for _pattern, _put in (
-    (r"(?is)<script.*?</script>", ""), (r"(?is)<style.*?</style>", ""), (r"<[^>]+>", ""), (r"[\s\x{00a0}]+", " "), (r"[^\p{L}\p{N}_\s.,!?;:()\[\]""''-]+", " "),
+    (r"(?is)<script.*?</script>", ""), (r"(?is)<style.*?</style>", ""), (r"<[^>]+>", ""), (r"[\s\x{00a0}]+", " "), (r"[^\p{L}\p{N}_\s.,!?;:()\[\]\x22''-]+", " "),
     (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", ""), (r"[.]{3,}", "..."), (r"[!]{2,}", "!"), (r"[?]{2,}", "?"), (r"\s+", " "),
 ):
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern.replace(chr(34) * 2, chr(34)) if chr(34) in _pattern else _pattern}', '{_put}', 'g')"
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', '{_put}', 'g')"
 _CLEAN = f"trim({_CLEAN})"
 
 
 @query("clean_text", f"select doc_id, sha256({_CLEAN}) as digest, length({_CLEAN}) as size from documents")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = text.clean_text(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", F.sha2(clean, 256).alias("digest"), F.length(clean).cast("long").alias("size"))
+    clean = _docs(spark, sf_dir).select("doc_id", text.clean_text(F.col("text")).alias("clean"))
+    return clean.select("doc_id", F.sha2("clean", 256).alias("digest"), F.length("clean").cast("long").alias("size"))
 
 
 @query("valid_content", rf"select doc_id, length(c) >= 50 and len(list_filter(regexp_extract_all(c, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{{3,}}'))) >= 5 as valid from (select doc_id, {_CLEAN} as c from documents)")
@@ -177,10 +178,11 @@ def dup_count_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.duplicate_counts(_docs(spark, sf_dir).select("source", F.sha2("text", 256).alias("h")), "source", "h")
 
 
-@query("dup_keep_best", "select doc_id from (select doc_id, row_number() over (partition by source, left(text, 40) order by n_chars desc, doc_id desc) as r from documents) where r = 1")
+@query("dup_keep_best", "select doc_id from (select doc_id, row_number() over (partition by source, sha256(trim(text)) order by n_chars desc, doc_id desc) as r from documents) where r = 1")
 def dup_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).select("doc_id", "source", "n_chars", F.substring("text", 1, 40).alias("head"))
-    return rows.groupBy("source", "head").agg(F.max(F.struct("n_chars", "doc_id"))["doc_id"].alias("doc_id")).select("doc_id")
+    """Of each source's documents with one trimmed text the longest, of equals the one with the highest id."""
+    rows = _docs(spark, sf_dir).select("doc_id", "source", "n_chars", F.sha2(F.trim("text"), 256).alias("hash"))
+    return maintenance.kept_best(rows, ["source", "hash"], ["n_chars", "doc_id"]).select("doc_id")
 
 
 @query("dup_keep_recent", "select max(doc_id) as doc_id, count(*) as n from documents group by sha256(text)")
@@ -248,15 +250,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OTHER = "other as (select query_id, id, score, row_number() over (partition by query_id order by (id * 7919 + query_id) % 1009, id) as rank from dense)"
 
 
-def _other(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _other(hits: DataFrame) -> DataFrame:
     """A second ranking of the same hits, shuffled by a rule."""
     order = Window.partitionBy("query_id").orderBy((F.col("id") * 7919 + F.col("query_id")) % 1009, "id")
-    return _dense(spark, sf_dir).select("query_id", "id", "score", F.row_number().over(order).alias("rank"))
+    return hits.select("query_id", "id", "score", F.row_number().over(order).alias("rank"))
 
 
 @query("rrf_fusion", f"with {_DENSE}, {_OTHER} select query_id, id, round(coalesce(1.0::double / (60 + d.rank), 0) + coalesce(1.0::double / (60 + o.rank), 0), 9) as score from (select * from dense where rank <= 30) d full join (select * from other where rank <= 30) o using (query_id, id)")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _dense(spark, sf_dir).where("rank <= 30"), _other(spark, sf_dir).where("rank <= 30")
+    hits = written(_dense(spark, sf_dir))
+    a, b = hits.where("rank <= 30"), _other(hits).where("rank <= 30")
     return retrieval.reciprocal_fusion(a, b).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
@@ -310,10 +313,12 @@ def replace_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.replaced(old, new, ["o_custkey"], F.col("o_orderstatus") == "F")
 
 
-@query("resume_anti", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("resume_anti", "select c_custkey, c_custkey in (select o_custkey from orders where o_orderstatus = 'P') as done from customer")
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(done, "c_custkey", "left_anti").select("c_custkey")
+    """Customers split by whether the sink (pending orders) has them: what is left to do, and what is skipped."""
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    left, skipped = maintenance.resumed(table(spark, sf_dir, "customer").select("c_custkey"), done, "c_custkey")
+    return left.withColumn("done", F.lit(False)).unionByName(skipped.withColumn("done", F.lit(True)))
 
 
 @query("orphan_anti", "select l_orderkey, l_linenumber from lineitem where l_suppkey not in (select s_suppkey from supplier where s_acctbal >= 0)")
@@ -387,9 +392,11 @@ def citations_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("snippets", """select doc_id, '[' || r || '] ' || source || chr(10) || left(text, case when n <= 3 then 2500 when n <= 6 then 1800 else 1500 end) as snippet
     from (select *, row_number() over (partition by source order by doc_id) as r, count(*) over (partition by source) as n from documents)""")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbered snippets of each source's documents."""
-    w = Window.partitionBy("source")
-    rows = _docs(spark, sf_dir).withColumns({"r": F.row_number().over(w.orderBy("doc_id")), "n": F.count(F.lit(1)).over(w)})
+    """The numbered snippets of each source's documents: ids alone are numbered, over all sources, and texts joined to them by id."""
+    numbered = placed(_docs(spark, sf_dir).select("source", "doc_id"), "source", "doc_id")
+    first = numbered.groupBy("source").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    places = numbered.join(F.broadcast(first), "source").select("doc_id", (F.col("place") - F.col("first") + 1).alias("r"), "n")
+    rows = _docs(spark, sf_dir).select("doc_id", "source", F.substring("text", 1, 2500).alias("text")).join(places, "doc_id")
     most = F.when(F.col("n") <= 3, 2500).when(F.col("n") <= 6, 1800).otherwise(1500)
     return rows.select("doc_id", F.concat(F.lit("["), F.col("r").cast("string"), F.lit("] "), F.col("source"), F.lit("\n"), F.substring(F.col("text"), F.lit(1), most)).alias("snippet"))
 
@@ -430,7 +437,8 @@ def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", (F.col("ts") - before).alias("gap")).where("gap <= interval 300 seconds").groupBy("user_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query("ema_latency")
+@query("ema_latency", """with r as (select user_id, value, row_number() over (partition by user_id order by event_id desc) as r, count(*) over (partition by user_id) as n from events)
+    select user_id, max(n) as n, round(sum(case when r = n then value * 0.8::double ** (n - 1) else value * 0.2::double * 0.8::double ** (r - 1) end), 6) as ema from r group by user_id""")
 def ema_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.moving_average(table(spark, sf_dir, "events"), "user_id", ["event_id"], "value").withColumn("ema", F.round("ema", 6))
 
@@ -463,7 +471,8 @@ def family_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     b as (select query_id, id, coalesce((score - min(score) over w) / nullif(max(score) over w - min(score) over w, 0), 1) as s from other where rank <= 30 window w as (partition by query_id))
     select query_id, id, round(0.7::double * coalesce(a.s, 0) + 0.3::double * coalesce(b.s, 0), 6) as score from a full join b using (query_id, id)""")
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _dense(spark, sf_dir).where("rank <= 30"), _other(spark, sf_dir).where("rank <= 30")
+    hits = written(_dense(spark, sf_dir))
+    a, b = hits.where("rank <= 30"), _other(hits).where("rank <= 30")
     return retrieval.weighted_fusion(a, b).withColumn("score", F.round("score", 6))
 
 
@@ -475,7 +484,7 @@ def filter_or_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     wanted = F.col("label") + F.when(F.col("id") % 40 == 0, 1000).otherwise(0)
     queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), wanted.alias("wanted"), F.lit(1).alias("n_schools"))
-    own = retrieval.dense_topk(rows, queries, 30, where=F.col("label") == F.col("wanted"))
+    own = retrieval.dense_topk(rows, queries, 30, match=("label", "wanted"))
     everywhere = _dense(spark, sf_dir, 30).join(rows.select("id", "label"), "id")
     return retrieval.filtered_or_global(own, everywhere, queries, F.when(F.col("label") == 3, 0.15).otherwise(0.0)).withColumn("score", F.round("score", 9))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import metrics, training
+from ..operators.placing import placed
 from .fixtures import CTES, grades, points, schools
 from .registry import query, table
 
@@ -149,15 +150,13 @@ def target_encoding_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("median_impute", f"""with {CTES} select order_id, line_no, coalesce(sat_score, (select median(sat_score) from points)) as sat_score, coalesce(act_score, (select median(act_score) from points)) as act_score from points""")
 def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = points(spark, sf_dir)
-    medians = rows.agg(F.median("sat_score").alias("sat"), F.median("act_score").alias("act"))
-    return rows.select("order_id", "line_no", F.coalesce("sat_score", medians.select("sat").scalar()).alias("sat_score"), F.coalesce("act_score", medians.select("act").scalar()).alias("act_score"))
+    return training.median_imputed(rows, ["sat_score", "act_score"]).select("order_id", "line_no", "sat_score", "act_score")
 
 
 @query("category_codes", "select p_partkey as school_id, (select count(distinct p_type) from part q where q.p_type < p.p_type) as code from part p")
 def category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = schools(spark, sf_dir).select("school_id", "kind")
-    codes = rows.select("kind").distinct().withColumn("code", (F.row_number().over(Window.orderBy("kind")) - 1).cast("long"))
-    return rows.join(codes, "kind").select("school_id", "code")
+    return training.category_codes(rows, "kind", "code").select("school_id", "code")
 
 
 @query("sample_weights", f"""with {CTES}, n as (select school_id, count(*) as n from base group by school_id), w as (select sum(sqrt(n)) / sum(n) as m from n)
@@ -228,20 +227,23 @@ def focal_grad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.round(loss, 6).alias("loss"), F.round(gradient, 6).alias("gradient"))
 
 
-@query("compare_schools", f"""with {CTES}, x as (select school_id, name, acceptance, sat25, sat75, greatest(0.01, least(0.99, coalesce(acceptance, 0.5) * 0.8 + 0.1)) as p from schools where school_id < 40)
+@query("compare_schools", f"""with {CTES}, x as (select school_id, name, acceptance, sat25, sat75, greatest(0.01, least(0.99, coalesce(acceptance, 0.5) * 0.8 + 0.1)) as p from schools)
     select school_id, name, round(p, 4) as probability, case when p >= 0.6 then 'safety' when p >= 0.3 then 'match' else 'reach' end as class, row_number() over (order by p desc, school_id) as place,
         case when sat75 > sat25 and (1250 - sat25) / (sat75 - sat25) > 0.75 then 'sat above most admitted' when sat75 > sat25 and (1250 - sat25) / (sat75 - sat25) < 0.25 then 'sat below most admitted' end as factor from x""")
 def compare_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One applicant (SAT 1250) against the first forty schools, by chance."""
+    """One applicant (SAT 1250) against all schools, by chance."""
     p = scores.clamp(F.coalesce("acceptance", F.lit(0.5)) * 0.8 + 0.1, 0.01, 0.99)
     at = F.try_divide(1250 - F.col("sat25"), F.col("sat75") - F.col("sat25"))
-    rows = schools(spark, sf_dir).where("school_id < 40").withColumn("p", p)
+    rows = placed(schools(spark, sf_dir).withColumn("p", p), F.desc("p"), "school_id")
     factor = F.when(at > 0.75, "sat above most admitted").when(at < 0.25, "sat below most admitted")
-    return rows.select("school_id", "name", F.round("p", 4).alias("probability"), scores.chance_class(F.col("p")).alias("class"), F.row_number().over(Window.orderBy(F.desc("p"), "school_id")).cast("long").alias("place"), factor.alias("factor"))
+    return rows.select("school_id", "name", F.round("p", 4).alias("probability"), scores.chance_class(F.col("p")).alias("class"), "place", factor.alias("factor"))
 
 
-@query("leakage_check", "select 0::bigint as shared")
+@query("leakage_check", f"with {CTES} select count(distinct school_id) as schools, count(*) as points, 0::bigint as shared, true as strata_even from points")
 def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schools that are in two parts of the grouped split."""
-    split = training.grouped_split(points(spark, sf_dir), "school_id").select("school_id", "part").distinct()
-    return split.groupBy("school_id").count().where("count > 1").agg(F.count(F.lit(1)).alias("shared"))
+    """Of the grouped, stratified split: schools, points, schools in two parts, and whether each part's share of accepted points is within a tenth of the whole's."""
+    split = training.stratified_split(points(spark, sf_dir), "school_id", (F.col("outcome") == "accepted").cast("int"))
+    sides = split.groupBy("school_id").agg(F.countDistinct("part").alias("parts"), F.count(F.lit(1)).alias("n"))
+    parts = split.groupBy("part").agg(F.avg((F.col("outcome") == "accepted").cast("int")).alias("rate"), F.count(F.lit(1)).alias("n"))
+    even = parts.agg(F.max(F.col("rate")) - F.min(F.col("rate")) < 0.1)
+    return sides.agg(F.count(F.lit(1)).alias("schools"), F.sum("n").alias("points"), F.sum((F.col("parts") > 1).cast("long")).alias("shared")).withColumn("strata_even", even.scalar())

@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -21,11 +21,20 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(scope="session")
-def duck():
+def connected(folder):
     import duckdb
 
     con = duckdb.connect()
     for name in TABLES:
-        con.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
+        con.sql(f"create view {name} as select * from '{folder}/{name}.parquet'")
     return con
+
+
+@pytest.fixture(scope="session")
+def duck():
+    return connected(SF)
+
+
+@pytest.fixture(scope="session")
+def larger_duck():
+    return connected(LARGER)

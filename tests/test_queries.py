@@ -6,7 +6,7 @@ import math
 
 import pandas as pd
 import pytest
-from conftest import SF
+from conftest import LARGER, SF
 
 from admitlake.plans import QUERIES, SQL
 
@@ -29,6 +29,12 @@ def test_same_rows_as_sql(name, spark, duck):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["clean_text", "valid_content", "dup_keep_best", "compare_schools", "snippets", "features_fit", "dense_topk", "bm25_topk", "ema_latency"])
+def test_same_rows_as_sql_on_larger_tables(name, spark, larger_duck):
+    got, want = QUERIES[name](spark, LARGER).toPandas(), larger_duck.sql(SQL[name]).df()
+    assert rows(got) == rows(want)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_runs(name, spark):
     assert QUERIES[name](spark, SF).columns
