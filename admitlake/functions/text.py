@@ -265,7 +265,7 @@ def slug(name: Column) -> Column:
 
 
 def as_percent(x: Column) -> Column:
-    return F.format_string("%.1f%%", x * 100)
+    return F.when(x.isNotNull(), F.format_string("%.1f%%", x * 100))
 
 
 def as_money(x: Column) -> Column:

@@ -10,7 +10,7 @@ from ..operators import maintenance, matching, retrieval
 from ..operators.placing import placed
 from ..sources import files
 from ..storage import written
-from .registry import query, table
+from .registry import query, spread, table
 
 _HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), ':[0-9]+$', ''), '^www\.', '')"
 _PATH = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
@@ -19,11 +19,11 @@ _KEY = f"{_HOST} || regexp_replace({_PATH}, '/+$', '') || case when {_QUERY} <>
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"), "page_id")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query("url_canonical", f"select page_id, {_KEY} as key, {_HOST} as host from pages")
@@ -383,12 +383,6 @@ def length_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.length_budget(q, F.expr("case item_id % 7 when 0 then 'XS' when 1 then 'XL' when 2 then 'M' end")).alias("budget"))
 
 
-@query("citations_verify")
-def citations_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = F.concat(F.substring("text", 1, 60), F.expr("case item_id % 4 when 0 then ' [1] and [9].' when 1 then ' [N] [sd].' when 2 then ' [SCHOOL DATA] x' else '' end"))
-    return table(spark, sf_dir, "benchmark").select("item_id", text.verified_citations(answer, (F.col("item_id") % 3).cast("int")).alias("answer"))
-
-
 @query("snippets", """select doc_id, '[' || r || '] ' || source || chr(10) || left(text, case when n <= 3 then 2500 when n <= 6 then 1800 else 1500 end) as snippet
     from (select *, row_number() over (partition by source order by doc_id) as r, count(*) over (partition by source) as n from documents)""")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:

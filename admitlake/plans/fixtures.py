@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import table
+from .registry import spread, table
 
 _MAJORS = ("Computer Science", "Biology", "Economics", "History", "Basket Weaving", "", None)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applicant points out of lineitem."""
-    t = table(spark, sf_dir, "lineitem")
+    t = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     c = F.col
     major = F.when(c("l_suppkey") % 7 == 0, _MAJORS[0])
     for k, m in enumerate(_MAJORS[1:-1], 1):

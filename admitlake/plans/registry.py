@@ -22,5 +22,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: What one task reads of a file, unless the session says otherwise.
+SPLIT = 128 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small table, which fewer tasks than cores would read, dealt out by key; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * SPLIT else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
