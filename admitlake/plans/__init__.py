@@ -1,6 +1,6 @@
 """All queries of the library but those of the training-data subpackage."""
 
-from . import assistant, corpus, training
+from . import assistant, corpus, predicting, training, upkeep
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "assistant", "corpus", "training"]
+__all__ = ["QUERIES", "SQL", "assistant", "corpus", "predicting", "training", "upkeep"]
