@@ -3,12 +3,14 @@
 A payload is cut into frames of 24 x 24 samples. Each frame is a lossless JPEG (SOF3, one 8-bit
 component, left prediction), each film a RIFF AVI file with an idx1 index. The Huffman table
 gives difference category s a code of 9 - s bits; with its s extra bits every sample then takes
-9 bits, so a whole batch of frames is packed and unpacked with array operations. Frames with
-other sizes, predictors or tables decode too, sample by sample.
+9 bits, so a whole batch of frames is packed and unpacked with array operations. Lossless frames
+with other sizes, predictors or tables decode too, sample by sample, and so do baseline frames:
+Huffman codes, dequantisation and the inverse cosine transform, of which the luminance is kept.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass
 
@@ -62,6 +64,7 @@ _HEAD = (
     + b"\xff\xda" + struct.pack(">HBBBBBB", 8, 1, 1, 0, 1, 0, 0)
 )
 _END = b"\xff\xd9"
+_RESTARTS = re.compile(rb"\xff[\xd0-\xd7]")
 
 
 def padded(payload: bytes) -> bytes:
@@ -147,8 +150,6 @@ def read_headers(jpeg: bytes) -> Frame:
             if bits != 8 or parts != 1:
                 raise ValueError("only frames of one 8-bit component")
             size = width, height
-        elif mark in (0xC0, 0xC1, 0xC2):
-            raise ValueError("a frame that is not lossless")
         elif mark == 0xC4:
             codes = tuple(_canonical(list(body[1:17]), list(body[17:])).items())
         elif mark == 0xDA:
@@ -191,7 +192,132 @@ def _stepwise(head: Frame, coded: bytes) -> np.ndarray:
     return x.astype(np.uint8)
 
 
-_PLAIN = read_headers(_HEAD)
+#: Places of a block's coefficients in the order of the file: diagonal by diagonal, up and down by turns.
+_ZIGZAG = [r * 8 + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))]
+_COSINES = np.array([[np.sqrt((1 if u else 0.5) / 4) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+class _Bits:
+    """Bits of an entropy-coded segment, from the top."""
+
+    def __init__(self, raw: bytes) -> None:
+        self.raw, self.at, self.held, self.n = raw.replace(b"\xff\x00", b"\xff"), 0, 0, 0
+
+    def take(self, n: int) -> int:
+        while self.n < n:
+            if self.at >= len(self.raw):
+                raise ValueError("a frame that ends too soon")
+            self.held, self.n, self.at = (self.held << 8 | self.raw[self.at]) & 0xFFFFFFFF, self.n + 8, self.at + 1
+        self.n -= n
+        return self.held >> self.n & (1 << n) - 1
+
+    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for n in range(1, 17):
+            code = code << 1 | self.take(1)
+            if (n, code) in codes:
+                return codes[n, code]
+        raise ValueError("no such code")
+
+    def number(self, size: int) -> int:
+        x = self.take(size) if size else 0
+        return x if not size or x >> (size - 1) else x - (1 << size) + 1
+
+
+def _baseline(jpeg: bytes) -> np.ndarray:
+    """The luminance samples of a baseline frame with its own Huffman tables."""
+    tables: dict[int, dict] = {}
+    quantisers: dict[int, np.ndarray] = {}
+    parts: list[tuple[int, int, int, int]] = []
+    width = height = every = start = 0
+    at, scan = 2, {}
+    while not start:
+        if at + 4 > len(jpeg):
+            raise ValueError("a frame without a scan")
+        mark, n = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
+        body, k = jpeg[at + 4 : at + 2 + n], 0
+        if mark == 0xDB:
+            while k < len(body):
+                wide = body[k] >> 4
+                quantisers[body[k] & 15] = np.frombuffer(body, ">u2" if wide else "u1", 64, k + 1).astype(np.int64)
+                k += 129 if wide else 65
+        elif mark == 0xC4:
+            while k < len(body):
+                lengths = list(body[k + 1 : k + 17])
+                tables[body[k]] = _canonical(lengths, list(body[k + 17 : k + 17 + sum(lengths)]))
+                k += 17 + sum(lengths)
+        elif mark in (0xC0, 0xC1):
+            bits, height, width, count = struct.unpack_from(">BHHB", body)
+            if bits != 8 or not width or not height:
+                raise ValueError("only 8-bit frames of known size")
+            parts = [(body[6 + 3 * j], body[7 + 3 * j] >> 4, body[7 + 3 * j] & 15, body[8 + 3 * j]) for j in range(count)]
+        elif mark == 0xDD:
+            every = struct.unpack(">H", body[:2])[0]
+        elif mark == 0xDA:
+            scan = {body[1 + 2 * j]: (tables.get(body[2 + 2 * j] >> 4), tables.get(16 + (body[2 + 2 * j] & 15))) for j in range(body[0])}
+            start = at + 2 + n
+        at += 2 + n
+    if not parts or set(scan) != {p[0] for p in parts} or any(t is None for pair in scan.values() for t in pair) or any(p[3] not in quantisers for p in parts):
+        raise ValueError("a scan without its headers")
+    if len(parts) == 1:
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+    across, down = max(p[1] for p in parts), max(p[2] for p in parts)
+    columns, rows = -(-width // (8 * across)), -(-height // (8 * down))
+    first = np.zeros((rows * parts[0][2], columns * parts[0][1], 64), np.int64)
+    segments = _RESTARTS.split(jpeg[start : jpeg.rindex(_END)])
+    reader, last, units = _Bits(segments[0]), [0] * len(parts), 0
+    for y in range(rows):
+        for x in range(columns):
+            if every and units and units % every == 0:
+                if units // every >= len(segments):
+                    raise ValueError("a frame that ends too soon")
+                reader, last = _Bits(segments[units // every]), [0] * len(parts)
+            units += 1
+            for j, (name, h, v, _) in enumerate(parts):
+                for block in range(h * v):
+                    found = _block(reader, *scan[name])
+                    last[j] = found[0] = found[0] + last[j]
+                    if not j:
+                        first[y * v + block // h, x * h + block % h] = found
+    spread = np.zeros_like(first)
+    spread[:, :, _ZIGZAG] = first * quantisers[parts[0][3]]
+    samples = np.einsum("ux,yzuv,vw->yxzw", _COSINES, spread.reshape(*first.shape[:2], 8, 8), _COSINES) + 128
+    plane = np.clip(np.rint(samples), 0, 255).astype(np.uint8).reshape(first.shape[0] * 8, -1)
+    return plane[: -(-height * parts[0][2] // down), : -(-width * parts[0][1] // across)]
+
+
+def _block(reader: _Bits, direct: dict, others: dict) -> list[int]:
+    """A block's coefficients in the order of the file; the first as a difference."""
+    out, k = [0] * 64, 1
+    out[0] = reader.number(reader.symbol(direct))
+    while k < 64:
+        zeros, size = divmod(reader.symbol(others), 16)
+        if not size:
+            if zeros != 15:
+                break
+            k += 16
+            continue
+        k += zeros
+        if k > 63:
+            raise ValueError("a block that is too long")
+        out[k] = reader.number(size)
+        k += 1
+    return out
+
+
+def decode_frame(jpeg: bytes) -> np.ndarray:
+    """The samples of a lossless or baseline frame; a ValueError for others."""
+    if jpeg[:2] != b"\xff\xd8" or _END not in jpeg:
+        raise ValueError("not a JPEG frame")
+    at = 2
+    while at + 4 <= len(jpeg) and jpeg[at] == 255 and jpeg[at + 1] != 0xDA:
+        if jpeg[at + 1] in (0xC0, 0xC1):
+            return _baseline(jpeg)
+        if jpeg[at + 1] == 0xC3:
+            head = read_headers(jpeg)
+            return _stepwise(head, jpeg[head.start : jpeg.rindex(_END)])
+        at += 2 + struct.unpack_from(">H", jpeg, at + 2)[0]
+    raise ValueError("neither a lossless nor a baseline frame")
 
 
 def _together(coded: list[bytes]) -> np.ndarray:
@@ -255,18 +381,22 @@ def read_film(media: bytes) -> Film:
     return Film(rate, frames)
 
 
-def decode_films(media: list[bytes]) -> tuple[list[Film], list[list[np.ndarray] | np.ndarray]]:
-    """The films and, for each, its decoded frames."""
-    parsed = [read_film(m) for m in media]
-    plain, where, out = [], [], []
-    for i, film in enumerate(parsed):
-        if all(f.startswith(_HEAD) and f.endswith(_END) for f in film.frames):
+def decode_films(media: list[bytes]) -> tuple[list[Film], list[list[np.ndarray] | np.ndarray | str]]:
+    """The films and, for each, its decoded frames, or what is wrong with it."""
+    parsed, plain, where, out = [], [], [], []
+    for i, raw in enumerate(media):
+        try:
+            film, images = read_film(raw), None
+            own = all(f.startswith(_HEAD) and f.endswith(_END) and len(f) - f.count(b"\xff\x00", len(_HEAD)) == len(_HEAD) + _CODED + 2 for f in film.frames)
+            if not own:
+                images = [decode_frame(f) for f in film.frames]
+        except (ValueError, IndexError, KeyError, struct.error) as wrong:
+            film, own, images = Film(float(RATE), []), False, f"{wrong}"
+        parsed.append(film)
+        if own and film.frames:
             plain += [f[len(_HEAD) : -2] for f in film.frames]
             where.append(i)
-            out.append(None)
-        else:
-            heads = [read_headers(f) for f in film.frames]
-            out.append([_stepwise(h, f[h.start : f.rindex(_END)]) for h, f in zip(heads, film.frames)])
+        out.append(None if own and film.frames else images if images is not None else [])
     if plain:
         samples, k = _together(plain), 0
         for i in where:
@@ -327,14 +457,15 @@ def store_as_film(df: DataFrame, text: str = "text", media: str = "media") -> Da
     return with_columns(df, {media: run(F.col(quoted(text)).cast("string"))})
 
 
-def read_films(df: DataFrame, media: str = "media", payload: str = "payload", clips: str = "clips") -> DataFrame:
+def read_films(df: DataFrame, media: str = "media", payload: str = "payload", clips: str = "clips", error: str = "film_error") -> DataFrame:
     """df with the decoded samples of each film (row by row of its frames) and its timed clips.
 
-    A null film gives an empty payload and no clips; bytes that are no such film raise an error.
-    Rows stay as they are; old columns named like the new ones give way.
+    A null film gives an empty payload and no clips. Bytes that are no film of lossless or baseline
+    frames give a null payload, no clips, and in `error` what is wrong with them (null in other rows).
+    Of a baseline frame the luminance is kept. Rows stay as they are; old columns named like the new ones give way.
     """
     bounded_batches(df.sparkSession)
-    kind = "struct<payload:binary,clips:array<struct<clip:int,first_frame:int,n_frames:int,start_s:double,end_s:double,mean_sample:double>>>"
+    kind = "struct<payload:binary,clips:array<struct<clip:int,first_frame:int,n_frames:int,start_s:double,end_s:double,mean_sample:double>>,error:string>"
 
     @F.arrow_udf(kind)
     def run(media: pa.Array) -> pa.Array:
@@ -342,13 +473,20 @@ def read_films(df: DataFrame, media: str = "media", payload: str = "payload", cl
         some = [m for m in raw if m is not None]
         parsed, frames = decode_films(some)
         made = iter(zip(parsed, frames))
-        payloads, rows, sizes = [], [], []
+        payloads, rows, sizes, errors = [], [], [], []
         for m in raw:
             if m is None:
                 payloads.append(b"")
                 sizes.append(0)
+                errors.append(None)
                 continue
             film, images = next(made)
+            if isinstance(images, str):
+                payloads.append(None)
+                sizes.append(0)
+                errors.append(images)
+                continue
+            errors.append(None)
             payloads.append(images.tobytes() if isinstance(images, np.ndarray) else b"".join(x.tobytes() for x in images))
             firsts, means = shots(images)
             ends = [*firsts[1:], len(images)] if firsts else []
@@ -357,14 +495,17 @@ def read_films(df: DataFrame, media: str = "media", payload: str = "payload", cl
         columns = list(zip(*rows)) if rows else [[]] * 6
         flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CLIP)], fields=list(_CLIP))
         at = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-        return pa.StructArray.from_arrays([pa.array(payloads, pa.binary()), pa.ListArray.from_arrays(at, flat)], ["payload", "clips"])
+        return pa.StructArray.from_arrays([pa.array(payloads, pa.binary()), pa.ListArray.from_arrays(at, flat), pa.array(errors, pa.string())], ["payload", "clips", "error"])
 
     both = run(F.col(quoted(media)))
-    return with_columns(df, {payload: both["payload"], clips: both["clips"]})
+    return with_columns(df, {payload: both["payload"], clips: both["clips"], error: both["error"]})
 
 
 def clip_rows(df: DataFrame, clips: str = "clips") -> DataFrame:
-    """One row for each clip of each row of df, with the clip's number, frames and times."""
+    """One row for each clip of each row of df, with the clip's number, frames and times.
+
+    Rows without clips (null or none) give no row; columns of df named like a clip's give way to them.
+    """
     exploded = df.select(*[F.col(quoted(c)) for c in df.columns if c.lower() != clips.lower()], F.explode(quoted(clips)).alias("clip"))
     rest = [F.col(quoted(c)) for c in df.columns if c.lower() not in {clips.lower(), *(f.name for f in _CLIP)}]
     return exploded.select(*rest, *[F.col("clip")[f.name].alias(f.name) for f in _CLIP])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: Bytes of text that one Arrow batch carries to a Python worker; a longer text travels alone.
 BATCH_BYTES = "4m"
 
@@ -22,25 +23,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="admitlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in the shared folder: it outlives the executors that computed it."""
-    spark = df.sparkSession
-    found = shared_dir(spark)
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read back, so that later branches reuse it and prune columns."""
     spark = df.sparkSession

@@ -66,7 +66,7 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.find_personal_data(_documents(spark, sf_dir).select("doc_id", "text"))
     counts = [spans.count_of("personal_data", k).alias(f"n_{k}") for k in pii.KINDS[: pii.BASE]]
-    return docs.select("doc_id", *counts, F.sha2(spans.joined(spans.base_only("personal_data")), 256).alias("base_sha256"), spans.joined(F.col("personal_data")).alias("spans"))
+    return docs.select("doc_id", *counts, F.sha2(spans.joined(spans.base_only("personal_data")), 256).alias("base_sha256"), spans.joined(F.col("personal_data")).alias("spans"), spans.scores("personal_data").alias("scores"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

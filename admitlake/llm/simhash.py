@@ -28,8 +28,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, free_name, quoted, stored, utf8_list, with_columns
 
 SEED = 42
+#: A print that more than 1 / HOT of all rows have is not gathered: there are at most HOT of them, and their classes travel to every task.
+HOT = 1000
 #: Node pairs that are walked at a time, so that memory is bounded.
 PAIRS = 1 << 20
+#: Prints that are held at a time.
+BLOCK = 100_000
 
 
 def fingerprint(raw: bytes, shingle: int = 3) -> int:
@@ -147,7 +151,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def links(prints: DataFrame, most: int) -> DataFrame:
     """Links (a > b) that join the distinct 64-bit numbers of column `print` that differ in at most `most` bits.
 
-    Not every pair: a forest of each task's, from which all components follow.
+    Not every pair: a forest of each block's, from which all components follow. Tasks read the numbers sorted by band
+    value and hold a block of about BLOCK of them, cut between values; numbers of one value are walked together.
     """
     cut = bands(most)
 
@@ -155,14 +160,26 @@ def links(prints: DataFrame, most: int) -> DataFrame:
         return F.shiftrightunsigned("print", first).bitwiseAND(F.lit((1 << n) - 1))
 
     dealt = prints.select("print", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), split(*c).alias("value")) for k, c in enumerate(cut)])).alias("of"))
-    dealt = dealt.select("print", F.col("of.band").alias("band"), F.col("of.value").alias("value")).repartition("band", "value").select("print", "band")
+    dealt = dealt.select("print", F.col("of.band").alias("band"), F.col("of.value").cast("long").alias("value")).repartition("band", "value").sortWithinPartitions("band", "value")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        if not columns:
-            return
-        numbers, kinds = (np.concatenate(c) for c in zip(*columns))
-        for k, (first, n) in enumerate(cut):
+        held, fresh = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
+                fresh += batch.num_rows
+            if fresh >= BLOCK:
+                numbers, kinds, values = (np.concatenate(c) for c in zip(*held))
+                end = int(np.flatnonzero((kinds == kinds[-1]) & (values == values[-1]))[0])
+                yield from walked(numbers[:end], kinds[:end])
+                held, fresh = [(numbers[end:], kinds[end:], values[end:])], 0
+        if held:
+            numbers, kinds, _ = (np.concatenate(c) for c in zip(*held))
+            yield from walked(numbers, kinds)
+
+    def walked(numbers: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in np.unique(kinds).tolist():
+            first, n = cut[k]
             own = np.unique(numbers[kinds == k]).view(np.uint64)
             turned = _turned(own, first, n)
             order = np.argsort(turned)
@@ -208,14 +225,17 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     linked = single.join(joined, "print", "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     smallest = stored(linked.join(joined.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("smallest")))
     classes = stored(linked.join(smallest, "root", "left").select("print", F.coalesce("smallest", "first").alias("component_id")))
-    out = prints.join(classes, "print")
+    total = prints.count()
+    often = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT > total).select("print")
+    hot = classes.join(F.broadcast(often), "print").withColumnRenamed("component_id", "hot_id")
+    out = prints.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "print", "left")
+    rest = out.where("hot is null").select("key", "print").join(classes, "print")
+    out = out.where("hot").select("key", "print", F.col("hot_id").alias("component_id")).union(rest.select("key", "print", "component_id"))
     return out.select(F.col("key").alias(key), F.col("print").alias("fingerprint"), "component_id")
 
 
 #: Fingerprints of the similarity form: bits, tables, and the bits that two prints share in a table to be compared.
 WIDE, TABLES, SHARED = 256, 64, 20
-#: Prints of one bucket that are held at a time.
-BLOCK = 100_000
 
 
 def wide_fingerprint(raw: bytes, shingle: int = 5) -> bytes:

@@ -31,5 +31,10 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scores(spans: str) -> Column:
+    """The scores of the spans, comma-joined, in the order the column has."""
+    return F.array_join(F.transform(F.col(spans), lambda s: F.format_string("%.4f", s["score"])), ",")
+
+
 def base_only(spans: str) -> Column:
     return F.filter(F.col(spans), lambda s: s["base"])

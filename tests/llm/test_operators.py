@@ -62,6 +62,78 @@ def test_films_round_trip(spark, docs):
     assert avi._stepwise(head, frame[head.start : -2]).tobytes() == avi.padded(b"some bytes")
 
 
+def baseline(planes, sampling, quality=3, every=0):
+    """A baseline JPEG of planes of samples: blocks, cosine transform, flat codes of eight bits for every symbol, restarts after `every` units."""
+    order = [r * 8 + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))]
+    symbols = [16 * r + s for r in range(16) for s in range(11) if s or r in (0, 15)]
+    bits, out, last, units = "", b"", [0] * len(planes), 0
+    height, width = planes[0].shape
+    h, v = max(x for x, _ in sampling), max(y for _, y in sampling)
+
+    def number(x):
+        n = abs(x).bit_length()
+        return n, format(x if x > 0 else x + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def flush():
+        nonlocal bits
+        whole = bits + "1" * (-len(bits) % 8)
+        bits = ""
+        return bytes(int(whole[k : k + 8], 2) for k in range(0, len(whole), 8)).replace(b"\xff", b"\xff\x00")
+
+    for y in range(-(-height // (8 * v))):
+        for x in range(-(-width // (8 * h))):
+            if every and units and units % every == 0:
+                out += flush() + bytes([255, 0xD0 + (units // every - 1) % 8])
+                last = [0] * len(planes)
+            units += 1
+            for j, (plane, (sx, sy)) in enumerate(zip(planes, sampling)):
+                wide = np.pad(plane, ((0, 64), (0, 64)), mode="edge")
+                for b in range(sx * sy):
+                    top, left = (y * sy + b // sx) * 8, (x * sx + b % sx) * 8
+                    block = wide[top : top + 8, left : left + 8].astype(float) - 128
+                    f = [[sum(block[i, k] * np.cos((2 * i + 1) * u * np.pi / 16) * np.cos((2 * k + 1) * w * np.pi / 16) for i in range(8) for k in range(8)) / 4 * (1 if u else 2**-0.5) * (1 if w else 2**-0.5) for w in range(8)] for u in range(8)]
+                    z = [round(f[o // 8][o % 8] / quality) for o in order]
+                    n, tail = number(z[0] - last[j])
+                    last[j] = z[0]
+                    bits += format(n, "08b") + tail
+                    run = 0
+                    end = max((k for k in range(1, 64) if z[k]), default=0)
+                    for k in range(1, end + 1):
+                        if z[k]:
+                            n, tail = number(z[k])
+                            bits += format(symbols.index(15 * 16), "08b") * (run // 16) + format(symbols.index(run % 16 * 16 + n), "08b") + tail
+                            run = 0
+                        else:
+                            run += 1
+                    if end < 63:
+                        bits += format(symbols.index(0), "08b")
+    out += flush()
+    table = b"\xff\xc4" + (19 + 12).to_bytes(2, "big") + bytes([0]) + bytes([0] * 7 + [12] + [0] * 8) + bytes(range(12))
+    table += b"\xff\xc4" + (19 + len(symbols)).to_bytes(2, "big") + bytes([16]) + bytes([0] * 7 + [len(symbols)] + [0] * 8) + bytes(symbols)
+    head = b"\xff\xd8\xff\xdb\x00\x43\x00" + bytes([quality] * 64) + b"\xff\xc0" + (8 + 3 * len(planes)).to_bytes(2, "big") + b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(planes)])
+    head += b"".join(bytes([j, sx * 16 + sy, 0]) for j, (sx, sy) in enumerate(sampling)) + table + (b"\xff\xdd\x00\x04" + every.to_bytes(2, "big") if every else b"")
+    return head + b"\xff\xda" + (6 + 2 * len(planes)).to_bytes(2, "big") + bytes([len(planes)]) + b"".join(bytes([j, 0]) for j in range(len(planes))) + b"\x00\x3f\x00" + out + b"\xff\xd9"
+
+
+def test_baseline_frames_and_foreign_bytes(spark):
+    """Frames of a plain baseline encoder come back within its rounding, at odd sizes, subsampled and with restarts; what is no film has an error."""
+    draw = np.random.default_rng(2)
+    grid = np.add.outer(np.arange(37) * 3, np.arange(29) * 2) % 200 + draw.integers(0, 20, (37, 29))
+    small = np.full((19, 15), 128)
+    frames = [baseline([grid], [(1, 1)]), baseline([grid], [(1, 1)], every=2), baseline([grid, small, small], [(2, 2), (1, 1), (1, 1)], every=1), baseline([grid, grid], [(1, 1), (1, 1)])]
+    for f in frames:
+        found = avi.decode_frame(f)
+        assert found.shape == grid.shape and np.abs(found.astype(int) - grid).max() <= 10
+    film = avi._film(frames[:1] * 3 + frames[1:2])
+    own = avi.films([b"payload"])[0]
+    rows = [(1, bytearray(film)), (2, bytearray(b"no film")), (3, bytearray(own)), (4, None), (5, bytearray(b"")), (6, bytearray(own[:-700])), (7, bytearray(avi._film([frames[0][:400]]))), (8, bytearray(avi._film([b"\xff\xd8"])))]
+    df = spark.createDataFrame(rows, "doc_id int, media binary").withColumn("Film_Error", F.lit("old"))
+    out = {r["doc_id"]: r for r in avi.read_films(df).collect()}
+    assert len(out[1]["payload"]) == 4 * grid.size and [c["n_frames"] for c in out[1]["clips"]] == [4] and out[1]["film_error"] is None
+    assert bytes(out[3]["payload"]) == avi.padded(b"payload") and bytes(out[4]["payload"]) == b"" and out[4]["film_error"] is None
+    assert all(out[k]["payload"] is None and out[k]["film_error"] and not out[k]["clips"] for k in (2, 5, 7, 8)) and out[6]["film_error"]
+
+
 def test_shots_follow_the_content():
     import numpy as np
 
@@ -250,10 +322,14 @@ def brute_groups(rows):
     return sorted([(i, p, smallest[g]) for (i, _), p, g in zip(rows, prints, group)], key=str)
 
 
-def test_near_copies(spark, docs):
+def test_near_copies(spark, docs, monkeypatch):
     found = simhash.near_copies(docs)
     assert [(i, p % (1 << 64), c) for i, p, c in by_id(found, "fingerprint", "component_id")] == brute_groups(AWKWARD)
     assert simhash.near_copies(docs.limit(0)).count() == 0
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    monkeypatch.setattr(simhash, "HOT", 5)
+    again = simhash.near_copies(docs)
+    assert by_id(again, "fingerprint", "component_id") == by_id(found, "fingerprint", "component_id")
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and kept.where("doc_id = 7").count() == 1
 
