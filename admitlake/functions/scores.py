@@ -98,6 +98,16 @@ def focal_terms(raw: Column, label: Column, gamma: float = 2.0, alpha: float = 0
     return loss, gradient
 
 
+def focal_objective(raw: Column, label: Column, gamma: float = 2.0, alpha: float = 0.25) -> tuple[Column, Column]:
+    """Gradient and hessian as boosters are handed them: the focal weight before the slope of the weighted cross-entropy, and an approximation held above 1e-7."""
+    p = clamp(sigmoid(raw), 1e-7, 1 - 1e-7)
+    pt, sign = F.when(label == 1, p).otherwise(1 - p), F.when(label == 1, 1.0).otherwise(-1.0)
+    focus = F.pow(1 - pt, F.lit(gamma))
+    weight = F.when(label == 1, alpha).otherwise(1 - alpha) * focus
+    gradient = weight * (gamma * F.pow(1 - pt, F.lit(gamma - 1)) * pt * F.log(pt) * sign + focus * (p - label))
+    return gradient, F.greatest(weight * focus * p * (1 - p), F.lit(1e-7))
+
+
 def proxy_score(successes: Column, attempts: Column, latency: Column) -> Column:
     """Share of successes (0.5 without attempts) less latency (500 if unknown) over 5000."""
     return F.coalesce(F.try_divide(successes, attempts), F.lit(0.5)) - F.coalesce(latency, F.lit(500.0)) / 5000

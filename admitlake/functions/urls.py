@@ -63,6 +63,33 @@ def normalized(url: Column) -> Column:
     return F.when(scheme.isin("http", "https"), whole).otherwise(url)
 
 
+def resolved(link: Column, base: Column) -> Column:
+    """A link made absolute: by its own scheme, else the base's scheme, host and folder; dots in paths are followed, fragments cut."""
+    scheme, root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1), F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), "[^/]*$", "")
+    plain = F.regexp_replace(F.trim(link), "#.*$", "")
+    whole = (
+        F.when(plain.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), plain).when(plain.startswith("//"), F.concat(scheme, F.lit(":"), plain)).when(plain == "", F.regexp_replace(base, "#.*$", ""))
+        .when(plain.startswith("/"), F.concat(root, plain)).when(plain.startswith("?"), F.concat(root, path(base), plain)).otherwise(F.concat(root, folder, plain))
+    )
+    parts = F.split(path(whole), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).when(p == ".", a).otherwise(F.concat(a, F.array(p))))
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    q = query_of(whole)
+    tidy = F.concat(F.regexp_extract(whole, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), F.array_join(kept, "/"), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.when(whole.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), tidy).otherwise(whole)
+
+
+def page_links(html: Column, base: Column) -> Column:
+    """What a page's crawl would follow: targets of its links, in single, double or no quotes, and its rel=next, absolute and normalised, internal and educational, each once in order."""
+    value = r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    tags = F.concat(F.regexp_extract_all(html, F.lit(r"(?i)(<a\b[^>]*>)"), F.lit(1)), F.filter(F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*>)"), F.lit(1)), lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?next\b""")))
+    found = F.transform(tags, lambda t: F.trim(F.concat(*[F.regexp_extract(t, f"(?i){value}", k) for k in (1, 2, 3)])))
+    sound = F.filter(found, lambda u: (u != "") & ~F.lower(u).rlike("^(#|mailto:|tel:|javascript:|ftp:|data:|blob:)"))
+    whole = F.transform(sound, lambda u: normalized(resolved(u, base)))
+    return F.array_distinct(F.filter(whole, lambda u: is_internal(u, base) & is_educational(u)))
+
+
 def canonical_key(url: Column) -> Column:
     """Host without www., path without last slash, query; no scheme and no fragment."""
     q = query_of(url)

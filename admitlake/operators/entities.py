@@ -153,14 +153,39 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_like(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def near_matches(questions: DataFrame, names: DataFrame, least: float = LEAST) -> DataFrame:
-    """(question_id, start, end, words, place, name): runs of one to WORDS words that are nearly a name.
+def alike_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(run, key, score): texts of left (run) and right (key), both of sorted words, whose likeness is `least` or more.
 
-    Sorted words that are alike enough differ by few letters, and each letter that is left out spoils two pairs of
-    neighbours, each put in one. So of the distinct pairs, the rarest among names first, one more than may be spoilt
-    hold one that both texts have: runs and names are joined on these, and only what meets is compared. The bounds
-    are those of a likeness of LEAST or more.
+    Texts that are alike enough differ by few letters, and each letter that is left out spoils two pairs of
+    neighbours, each put in one. So of the distinct pairs, the rarest on the right first, one more than may be spoilt
+    hold one that both texts have: the sides are joined on these, and only what meets is compared.
     """
+    share = least / 200.0
+    shorter = share / (1 - share)
+    spoilt = 2 - 3 * share + max(0.0, 1 - 3 * share) / shorter + min(0.0, 1 - 3 * share) * shorter
+
+    def pairs_of(text: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda k: F.substring(text, k, F.lit(2))))
+
+    often = right.select(F.explode(pairs_of(F.col("key"))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p").limit(OFTEN).collect()
+    places = F.from_json(F.lit(json.dumps({r["p"]: len(often) - k for k, r in enumerate(often)})), "map<string,int>")
+
+    def pieces(text: Column) -> Column:
+        placed = F.transform(pairs_of(text), lambda p: F.struct(F.coalesce(F.try_element_at(places, p), F.lit(0)).alias("often"), p.alias("p")))
+        lost = F.floor(spoilt * F.length(text) + 1e-9).cast("int")
+        return F.concat(F.array(F.concat(F.lit("="), text)), F.transform(F.slice(F.sort_array(placed), 1, lost + 1), lambda s: s["p"]))
+
+    sizes = right.agg(F.min(F.length("key")).alias("low"), F.max(F.length("key")).alias("high")).first()
+    within = (F.length("run") >= shorter * (sizes["low"] or 0) - 1e-9) & (F.length("run") <= (sizes["high"] or 0) / shorter + 1e-9)
+    a = left.select("run").where(within).distinct().select("run", F.explode(pieces(F.col("run"))).alias("piece"))
+    b = right.select("key").distinct().select("key", F.explode(pieces(F.col("key"))).alias("piece"))
+    la, lb = F.length("run"), F.length("key")
+    pairs = a.join(b, "piece").where(F.least(la, lb) >= (share - 1e-9) * (la + lb)).select("run", "key").distinct()
+    return pairs.withColumn("score", likeness("run", "key")).where(F.col("score") >= least)
+
+
+def near_matches(questions: DataFrame, names: DataFrame, least: float = LEAST) -> DataFrame:
+    """(question_id, start, end, words, place, name): runs of one to WORDS words that are nearly a name, with the most like name, of equals the first."""
     low = questions.select("question_id", F.lower("text").alias("low")).where("low is not null")
     low = low.withColumn("words", F.regexp_extract_all("low", F.lit(r"\S+"), F.lit(0)))
     start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
@@ -181,26 +206,8 @@ def near_matches(questions: DataFrame, names: DataFrame, least: float = LEAST) -
     )
     known = names.select(F.array_join(F.array_sort(F.split(F.lower(F.trim("key")), " +")), " ").alias("key"), "name").where("key <> ''").distinct()
 
-    def pairs_of(text: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda k: F.substring(text, k, F.lit(2))))
-
     known = written(known)
-    often = known.select(F.explode(pairs_of(F.col("key"))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p").limit(OFTEN).collect()
-    places = F.from_json(F.lit(json.dumps({r["p"]: len(often) - k for k, r in enumerate(often)})), "map<string,int>")
-
-    def pieces(text: Column) -> Column:
-        placed = F.transform(pairs_of(text), lambda p: F.struct(F.coalesce(F.try_element_at(places, p), F.lit(0)).alias("often"), p.alias("p")))
-        lost = F.floor(0.522 * F.length(text) + 1e-9).cast("int")
-        return F.concat(F.array(F.concat(F.lit("="), text)), F.transform(F.slice(F.sort_array(placed), 1, lost + 1), lambda s: s["p"]))
-
-    share = (least / 200.0) - 1e-9
-    sizes = known.agg(F.min(F.length("key")).alias("low"), F.max(F.length("key")).alias("high")).first()
-    within = (F.length("run") >= 0.739 * (sizes["low"] or 0)) & (F.length("run") <= 1.354 * (sizes["high"] or 0))
-    left = runs.select("run").where(within).distinct().select("run", F.explode(pieces(F.col("run"))).alias("piece"))
-    right = known.select("key").distinct().select("key", F.explode(pieces(F.col("key"))).alias("piece"))
-    a, b = F.length("run"), F.length("key")
-    pairs = left.join(right, "piece").where(F.least(a, b) >= share * (a + b)).select("run", "key").distinct()
-    alike = pairs.withColumn("score", likeness("run", "key")).where(F.col("score") >= least)
+    alike = alike_pairs(runs.select("run"), known.select("key"), least)
     best = alike.join(known, "key").groupBy("run").agg(F.min_by("name", F.struct((-F.col("score")).alias("s"), F.col("name"))).alias("name"))
     return runs.join(best, "run").select("question_id", "start", "end", "words", "place", "name")
 

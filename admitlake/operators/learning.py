@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -10,6 +12,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .placing import placed
+
 #: Buckets that may have a model each.
 BUCKETS = 16
 
@@ -42,6 +46,80 @@ def scored_by_bucket(models: dict[str, PipelineModel], df: DataFrame, bucket: st
     return rest
 
 
+def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str, key: str, repeats: int = 10, low: float = 0.0005) -> DataFrame:
+    """(feature, mean, std, is_low): how much worse the log-loss is when one feature's values are dealt out anew among the rows, over the repeats.
+
+    Rows are told apart by key; a shuffle joins each row with the value of the row at the same place in another order.
+    """
+    def loss(rows: DataFrame) -> float:
+        p = F.greatest(F.least(F.col("score"), F.lit(1 - 1e-15)), F.lit(1e-15))
+        return scored(model, rows).agg(F.avg(-(F.col(label) * F.log(p) + (1 - F.col(label)) * F.log(1 - p)))).first()[0]
+
+    base, found = loss(df), []
+    order = placed(df.select(key), key)
+    for f in features:
+        drops = []
+        for k in range(repeats):
+            other = placed(df.select(key, f).withColumn("_h", F.xxhash64(F.lit(k), F.col(key))), "_h", key).select("place", f)
+            drops.append(loss(df.drop(f).join(order.join(other, "place").drop("place"), key)) - base)
+        mean = sum(drops) / len(drops)
+        found.append((f, mean, (sum((d - mean) ** 2 for d in drops) / len(drops)) ** 0.5, mean < low))
+    return df.sparkSession.createDataFrame(found, "feature string, mean double, std double, is_low boolean")
+
+
+def venn_abers(held: DataFrame, score: str, label: str, steps: int = 200) -> tuple[list[float], list[float], list[float]]:
+    """Venn-ABERS calibration on a grid of scores: (grid, low, high).
+
+    For each score of the grid two isotonic fits of the held-out rows and one more row at it, labelled 0 and
+    labelled 1; their values there are low and high. Rows are counted by step of the grid before they come to the driver.
+    """
+    at = F.least(F.floor(F.col(score) * steps), F.lit(steps - 1)).cast("int")
+    rows = held.where(F.col(score).isNotNull()).groupBy(at.alias("at")).agg(F.sum(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).alias("n")).collect()
+    y, n = [0.0] * steps, [0.0] * steps
+    for r in rows:
+        y[r["at"]], n[r["at"]] = r["y"], float(r["n"])
+
+    def fitted(k: int, extra: float) -> float:
+        blocks: list[list[float]] = []
+        for j in range(steps):
+            weight, total = n[j] + (j == k), y[j] + extra * (j == k)
+            if not weight:
+                continue
+            blocks.append([total, weight, j, j])
+            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+                b = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + b[0], blocks[-1][1] + b[1], blocks[-1][2], b[3]]
+        return next(b[0] / b[1] for b in blocks if b[2] <= k <= b[3])
+
+    grid = [(k + 0.5) / steps for k in range(steps)]
+    return grid, [fitted(k, 0.0) for k in range(steps)], [fitted(k, 1.0) for k in range(steps)]
+
+
+def venn_abers_calibrated(df: DataFrame, fit: tuple[list[float], list[float], list[float]], score: str) -> DataFrame:
+    """df with the calibrated score, high / (1 - low + high), and its ends."""
+    steps = len(fit[0])
+    at = F.least(F.greatest(F.floor(F.col(score) * steps), F.lit(0)), F.lit(steps - 1)).cast("int") + 1
+    low, high = (F.element_at(F.array(*map(F.lit, x)), at) for x in fit[1:])
+    return df.withColumns({"low": low, "high": high}).withColumn("calibrated", F.col("high") / (1 - F.col("low") + F.col("high")))
+
+
+def save_models(models: dict[str, PipelineModel], path: str) -> None:
+    """Each bucket's model under its name."""
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/{name}")
+
+
+def load_models(path: str, buckets: list[str]) -> dict[str, PipelineModel]:
+    """The models that are there; a bucket without one is passed over."""
+    found = {}
+    for name in buckets:
+        try:
+            found[name] = PipelineModel.load(f"{path}/{name}")
+        except (AnalysisException, Py4JJavaError):
+            continue
+    return found
+
+
 def calibrate(held: DataFrame, score: str, label: str) -> tuple[str, object]:
     """Isotonic or logistic calibration, whichever has the lower Brier score on the rows given; its name and model."""
     rows = held.select(F.col(score).cast("double").alias("x"), F.col(label).cast("double").alias("y"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized_name
 from .blocks import in_blocks
+from .entities import alike_pairs
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -19,6 +20,25 @@ def token_sorted(name: Column) -> Column:
     return F.array_join(F.array_sort(F.split(normalized_name(name), " ")), " ")
 
 
+def token_sort_matches(names: DataFrame, schools: DataFrame, overrides: DataFrame | None = None, least: float = 80.0) -> DataFrame:
+    """Each distinct name with the school it stands for and the score: by an override (name, school), else equal after normalisation, else the most like by its sorted words.
+
+    Likeness is twice the letters common to both in order, by both lengths. Of equal scores the first school by name stays; names
+    with no school of `least`, null and blank names are left out.
+    """
+    wanted = names.select("name").where(F.trim("name") != "").distinct()
+    fixed = wanted.limit(0).withColumn("school", F.lit(None).cast("string")) if overrides is None else wanted.join(overrides.groupBy("name").agg(F.min("school").alias("school")), "name")
+    keyed = wanted.join(fixed, "name", "left_anti").withColumn("key", token_sorted(F.col("name")))
+    known = schools.select(F.col("name").alias("school")).where(F.trim("school") != "").distinct().withColumn("key", token_sorted(F.col("school")))
+    exact = known.groupBy("key").agg(F.min("school").alias("school"))
+    same = keyed.join(exact, "key").select("name", "school", F.lit(100.0).alias("score"))
+    rest = keyed.join(exact, "key", "left_anti")
+    alike = alike_pairs(rest.select(F.col("key").alias("run")), known.select("key"), least).join(exact, "key")
+    best = alike.groupBy("run").agg(F.min_by(F.struct("school", "score"), F.struct((-F.col("score")).alias("s"), F.col("school"))).alias("b"))
+    near = rest.join(best, F.col("key") == F.col("run")).select("name", "b.school", "b.score")
+    return fixed.select("name", "school", F.lit(100.0).alias("score")).unionByName(same).unionByName(near)
+
+
 def best_matches(names: DataFrame, schools: DataFrame, least: float = 80.0) -> DataFrame:
     """Each distinct name with the school (name) it stands for and the score; names with no school of `least` are left out.
 

@@ -227,6 +227,14 @@ def focal_grad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.round(loss, 6).alias("loss"), F.round(gradient, 6).alias("gradient"))
 
 
+@query("focal_objective", """with q as (select doc_id, toxic as y, (doc_id % 41 - 20) / 5.0::double as x from labels), s as (select *, greatest(1e-7, least(1 - 1e-7, 1 / (1 + exp(-x)))) as p from q),
+    t as (select *, case when y = 1 then p else 1 - p end as pt, case when y = 1 then 1 else -1 end as sg from s), u as (select *, (1 - pt) ** 2 as f, case when y = 1 then 0.25 else 0.75 end::double * (1 - pt) ** 2 as w from t)
+    select doc_id, round(w * (2 * (1 - pt) * pt * ln(pt) * sg + f * (p - y)), 6) as gradient, round(greatest(w * f * p * (1 - p), 1e-7), 6) as hessian from u""")
+def focal_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gradient, hessian = scores.focal_objective((F.col("doc_id") % 41 - 20) / 5, F.col("toxic"))
+    return table(spark, sf_dir, "labels").select("doc_id", F.round(gradient, 6).alias("gradient"), F.round(hessian, 6).alias("hessian"))
+
+
 @query("compare_schools", f"""with {CTES}, x as (select school_id, name, acceptance, sat25, sat75, greatest(0.01, least(0.99, coalesce(acceptance, 0.5) * 0.8 + 0.1)) as p from schools)
     select school_id, name, round(p, 4) as probability, case when p >= 0.6 then 'safety' when p >= 0.3 then 'match' else 'reach' end as class, row_number() over (order by p desc, school_id) as place,
         case when sat75 > sat25 and (1250 - sat25) / (sat75 - sat25) > 0.75 then 'sat above most admitted' when sat75 > sat25 and (1250 - sat25) / (sat75 - sat25) < 0.25 then 'sat below most admitted' end as factor from x""")

@@ -20,7 +20,8 @@ class Page(InputPartition):
 def paged_source(name: str, fetch: Fetch, total: int, size: int = 100, tries: int = 3) -> type[DataSource]:
     """A data source to register with spark.dataSource.register: page (long) and record (JSON text) of total // size + 1 pages.
 
-    A page answered by 429 is asked for again after the wait it names; one that fails `tries` times gives no rows.
+    A page answered by 429 is asked for again after the wait it names; one that fails `tries` times gives one row with a null
+    record, so that a result says which pages it lacks.
     """
 
     class Reader(DataSourceReader):
@@ -34,6 +35,7 @@ def paged_source(name: str, fetch: Fetch, total: int, size: int = 100, tries: in
                     yield from ((partition.value, json.dumps(r)) for r in records)
                     return
                 time.sleep(wait if status == 429 else 0)
+            yield partition.value, None
 
     class Source(DataSource):
         @classmethod
