@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # SAT for each ACT composite from 36 down to 9.
@@ -40,6 +40,13 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
 
 
+def act_ranges(spark: SparkSession) -> DataFrame:
+    """(low, high, act): the half-open range of SAT scores, in tens, that stands for each ACT."""
+    steps = sorted((s, a) for a, s in ACT_TO_SAT.items())
+    edges = [(float(s), float(t), a) for (s, a), (t, _) in zip(steps, steps[1:])]
+    return spark.createDataFrame([*edges, (float(steps[-1][0]), 1600.0, 36), (1600.0, 1e9, 36)], "low double, high double, act int")
+
+
 def act_to_sat(act: Column) -> Column:
     """Rounded half to even, held to 9..36, looked up."""
     return lookup(clamp(F.bround(act), 9.0, 36.0).cast("int"), ACT_TO_SAT, "double")

@@ -197,6 +197,11 @@ def token_windows(tokens: Column, size: int = 512, overlap: int = 50) -> Column:
     return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(tokens, k * step + 1, size))).otherwise(F.array().cast("array<array<string>>"))
 
 
+def truncated(tokens: Column, most: int = 8191) -> Column:
+    """The first tokens of a text, as many as an embedder takes."""
+    return F.slice(tokens, 1, most)
+
+
 def normalized_name(name: Column) -> Column:
     """A school's name without campus suffix, lower-cased, articles and punctuation out, squeezed."""
     out = F.lower(F.regexp_replace(name, r"(?i)\s*[-–]\s*(main campus|campus)$", ""))

@@ -63,6 +63,11 @@ def normalized(url: Column) -> Column:
     return F.when(scheme.isin("http", "https"), whole).otherwise(url)
 
 
+def is_junk(url: Column, patterns: tuple[str, ...] = ()) -> Column:
+    """Whether an address is not worth a visit by one of the patterns; by default there are none."""
+    return F.lower(url).rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+
+
 def resolved(link: Column, base: Column) -> Column:
     """A link made absolute: by its own scheme, else the base's scheme, host and folder; dots in paths are followed, fragments cut."""
     scheme, root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1), F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)

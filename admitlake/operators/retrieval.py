@@ -162,6 +162,17 @@ def first_by_key(df: DataFrame, keys: list[str], *order: str | Column) -> DataFr
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")
 
 
+def merged_queries(hits: DataFrame, top_k: int) -> DataFrame:
+    """Hits (question_id, query_no, rank, url) of a question's several searches as one list: the first of each address, by search and rank; hits without an address go; top_k of each question, with `place`."""
+    first = first_by_key(hits.where(F.coalesce("url", F.lit("")) != ""), ["question_id", "url"], "query_no", "rank")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("query_no", "rank"))).where(F.col("place") <= top_k)
+
+
+def answered_or(first: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Each query's hits by the first search; of queries that it has none for, those of the other one."""
+    return first.unionByName(fallback.join(first.select("query_id").distinct(), "query_id", "left_anti"))
+
+
 def confidence(n: Column, mean: Column, high: float = 0.5, medium: float = 0.2) -> Column:
     return F.when((n >= 4) & (mean > high), "high").when((n >= 2) & (mean > medium), "medium").otherwise("low")
 

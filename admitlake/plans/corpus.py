@@ -157,6 +157,32 @@ def keywords_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("place <= 20")
 
 
+@query("keywords_by_document", rf"""with w as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}')) as w from documents),
+    p as (select doc_id, w[i] as word, i from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w)), n as (select doc_id, word, count(*) as n, min(i) as first from p where word not in ({_STOP}) group by all)
+    select doc_id, word, n, place from (select *, row_number() over (partition by doc_id order by n desc, first) as place from n) where place <= 5""")
+def keywords_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent words of each document, of equals the first to appear."""
+    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(text.ascii_words(F.lower("text"))).alias("i", "word"))
+    counted = words.where(~F.col("word").isin(text.STOP_WORDS)).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
+    return counted.withColumn("place", place.cast("long")).where("place <= 5").select("doc_id", "word", "n", "place")
+
+
+@query("merged_searches", """with h as (select o_custkey as question_id, o_orderkey % 3 as query_no, o_orderkey as rank, case when o_orderkey % 10 <> 0 then o_orderpriority end as url from orders),
+    f as (select * from (select *, row_number() over (partition by question_id, url order by query_no, rank) as r from h where url is not null) where r = 1)
+    select question_id, url, rank, place from (select *, row_number() over (partition by question_id order by query_no, rank) as place from f) where place <= 3""")
+def merged_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "orders").selectExpr("o_custkey as question_id", "o_orderkey % 3 as query_no", "o_orderkey as rank", "case when o_orderkey % 10 <> 0 then o_orderpriority end as url")
+    return retrieval.merged_queries(hits, 3).select("question_id", "url", "rank", F.col("place").cast("long").alias("place"))
+
+
+@query("search_fallback", "select c_custkey as query_id, c_custkey % 5 as id from customer where c_custkey % 3 = 0 union all select c_custkey, -1 from customer where c_custkey % 3 <> 0")
+def search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions without a hit get those of the plainer search."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query_id"))
+    return retrieval.answered_or(rows.where("query_id % 3 = 0").withColumn("id", F.col("query_id") % 5), rows.withColumn("id", F.lit(-1).cast("long")))
+
+
 @query("token_chunks", r"""with t as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') as w from documents where text is not null),
     c as (select doc_id, w, unnest(range(0, greatest(ceil((len(w) - 512) / 462.0), 0)::bigint + 1)) as k from t where len(w) > 0)
     select doc_id, k as chunk, len(w[k * 462 + 1 : k * 462 + 512]) as tokens, sha256(array_to_string(w[k * 462 + 1 : k * 462 + 512], ' ')) as digest from c""")

@@ -38,6 +38,16 @@ def outcome_filter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.with_scores(training.decided(points(spark, sf_dir))).select("order_id", "line_no", "outcome", "sat_score", "act_score")
 
 
+@query("act_range_join", f"with {CTES} select order_id, line_no, act_score from scored where line_no not in (3, 6, 7)")
+def act_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ACT of points with a SAT alone, by a join with the ranges of SAT scores."""
+    rows = training.decided(points(spark, sf_dir)).where("sat_score is not null and act_score is null")
+    sat = F.greatest(F.least(F.bround(F.col("sat_score") / 10) * 10, F.lit(1600.0)), F.lit(590.0))
+    ranges = F.broadcast(scores.act_ranges(spark))
+    found = rows.withColumn("x", sat).join(ranges, (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
+    return found.select("order_id", "line_no", F.col("act").cast("double").alias("act_score"))
+
+
 @query("gpa_normalize", f"with {CTES} select order_id, line_no, round(gpa, 6) as gpa, round(gpa_original, 6) as gpa_original, is_weighted from base")
 def gpa_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = training.with_gpa(training.with_scores(training.decided(points(spark, sf_dir))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +61,57 @@ def export(df: DataFrame, path: str, fmt: str = "parquet") -> bool:
     return True
 
 
+def sample_seeds(spark: SparkSession) -> DataFrame:
+    """Three seeds to begin with where there is no seed file."""
+    return spark.createDataFrame([("Example University", "https://www.example.edu"), ("Sample College", "https://www.sample.edu"), ("Test Institute", "https://www.test.edu")], "name string, url string")
+
+
+def seeds_or_sample(spark: SparkSession, path: str) -> DataFrame:
+    """The seeds of a file or pattern; where there is none, the sample, which is written there first."""
+    try:
+        return read_seeds(spark, path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        sample = sample_seeds(spark)
+        export(sample, path, "csv")
+        return sample
+
+
+def copied(source: DataFrame, path: str, key: str = "id") -> DataFrame:
+    """All rows of a store whose key is not blank, written to another, and read there."""
+    source.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").write.mode("overwrite").parquet(path)
+    return source.sparkSession.read.schema(source.schema).parquet(path)
+
+
+def golden_set(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The questions of a JSON array."""
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def read_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """(name, school) of a JSON object from name to school; empty where there is no file."""
+    try:
+        whole = spark.read.text(path, wholetext=True)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], "name string, school string")
+    return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("name", "school"))
+
+
+def write_overrides(pairs: DataFrame, path: str) -> None:
+    """(name, school) as one JSON object; of a name that stands twice the last school by order stays."""
+    last = pairs.groupBy("name").agg(F.max("school").alias("school"))
+    last.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "school"))))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def origins(configured: Column, defaults: tuple[str, ...]) -> Column:
+    """Allowed origins: the configured ones (comma-separated) first, then the defaults, each once."""
+    own = F.filter(F.transform(F.split(F.coalesce(configured, F.lit("")), ","), lambda o: F.trim(o)), lambda o: o != "")
+    return F.array_distinct(F.concat(own, F.array(*map(F.lit, defaults))))
+
+
 def latest_state(log: DataFrame, key: str, at: str) -> DataFrame:
     """The newest row of each key of an append-only state log; of equal times, the one of the largest row."""
     newest = Window.partitionBy(key).orderBy(F.desc(at), *[F.desc(c) for c in log.columns if c not in (key, at)])

@@ -12,7 +12,7 @@ from test_entities import like
 
 from admitlake.functions import profiles, routing, scores, text, urls
 from admitlake.operators import learning, matching, placing, predicting, upkeep
-from admitlake.sources import grades, paged
+from admitlake.sources import files, grades, paged
 
 
 def one(spark, column):
@@ -110,3 +110,17 @@ def test_small_texts(spark):
     assert all(2.0 <= r["x"] < 3.0 for r in spark.range(50).select(routing.jittered(2.0, 3.0, 1).alias("x")).collect())
     same = upkeep.renamed_values(spark.createDataFrame([("a",), (None,)], "n string"), "n", spark.createDataFrame([], "old string, new string"))
     assert sorted(str(r["n"]) for r in same.collect()) == ["None", "a"]
+
+
+def test_files_that_are_missing_and_copies(spark, tmp_path):
+    first = files.seeds_or_sample(spark, str(tmp_path / "seeds"))
+    assert first.count() == 3 and files.seeds_or_sample(spark, str(tmp_path / "seeds")).count() == 3
+    rows = spark.createDataFrame([("a", 1), ("", 2), (None, 3)], "id string, n int")
+    assert [tuple(r) for r in files.copied(rows, str(tmp_path / "copy")).collect()] == [("a", 1)]
+    assert files.read_overrides(spark, str(tmp_path / "none")).count() == 0
+    files.write_overrides(spark.createDataFrame([("x", "A"), ("x", "B"), ("y", "C")], "name string, school string"), str(tmp_path / "over"))
+    assert sorted(map(tuple, files.read_overrides(spark, str(tmp_path / "over")).collect())) == [("x", "B"), ("y", "C")]
+    (tmp_path / "gold.json").write_text('[{"q": "a", "n": 1}, {"q": "b"}]')
+    assert [tuple(r) for r in files.golden_set(spark, str(tmp_path / "gold.json"), "q string, n int").collect()] == [("a", 1), ("b", None)]
+    assert one(spark, files.origins(F.lit("http://x, http://y"), ("http://y", "http://z"))) == ["http://x", "http://y", "http://z"]
+    assert one(spark, text.truncated(F.array(*map(F.lit, range(5))), 3)) == [0, 1, 2] and one(spark, urls.is_junk(F.lit("http://a/calendar"), ("calendar",))) and not one(spark, urls.is_junk(F.lit("x")))
