@@ -15,17 +15,16 @@ GRADE_ORDINALS = {"A+": 12, "A": 11, "A-": 10, "B+": 9, "B": 8, "B-": 7, "C+": 6
 GRADE_POINTS = {"A+": 4.3, "A": 4.0, "A-": 3.7, "B+": 3.3, "B": 3.0, "B-": 2.7, "C+": 2.3, "C": 2.0, "C-": 1.7, "D+": 1.3, "D": 1.0, "D-": 0.7, "F": 0.0}
 # The tier of each field of study.
 MAJOR_TIERS = {
-    "stem_competitive": ("Computer Science", "Engineering", "Nursing", "Data Science"),
-    "stem_standard": ("Biology", "Chemistry", "Physics", "Mathematics", "Environmental Science", "Neuroscience", "Biochemistry", "Statistics", "Astronomy"),
-    "health": ("Health Professions", "Public Health", "Kinesiology and Physical Therapy", "Pharmacy"),
-    "business": ("Business and Management", "Finance and Accounting", "Economics", "Marketing", "Hospitality", "Real Estate"),
-    "arts_humanities": (
-        "English", "History", "Philosophy", "Art", "Music", "Theater", "Film and Photography", "Foreign Languages", "Religious Studies", "Liberal Arts",
-        "Performing Arts", "Communications", "Journalism", "Architecture",
-    ),
-    "social_science": ("Psychology", "Political Science", "Sociology", "Anthropology", "Social Work", "International Relations", "Gender Studies", "Public Policy"),
-    "education": ("Education",),
-    "applied": ("Criminal Justice", "Agriculture", "Culinary Arts", "Information Technology", "Aviation"),
+    "Computer Science": "stem_competitive", "Engineering": "stem_competitive", "Nursing": "stem_competitive", "Data Science": "stem_competitive", "Biology": "stem_standard",
+    "Chemistry": "stem_standard", "Physics": "stem_standard", "Mathematics": "stem_standard", "Environmental Science": "stem_standard", "Neuroscience": "stem_standard",
+    "Biochemistry": "stem_standard", "Statistics": "stem_standard", "Astronomy": "stem_standard", "Health Professions": "health", "Public Health": "health",
+    "Kinesiology and Physical Therapy": "health", "Pharmacy": "health", "Business and Management": "business", "Finance and Accounting": "business", "Economics": "business",
+    "Marketing": "business", "Hospitality": "business", "Real Estate": "business", "English": "arts_humanities", "History": "arts_humanities", "Philosophy": "arts_humanities",
+    "Art": "arts_humanities", "Music": "arts_humanities", "Theater": "arts_humanities", "Film and Photography": "arts_humanities", "Foreign Languages": "arts_humanities",
+    "Religious Studies": "arts_humanities", "Liberal Arts": "arts_humanities", "Performing Arts": "arts_humanities", "Communications": "arts_humanities", "Journalism": "arts_humanities",
+    "Architecture": "arts_humanities", "Psychology": "social_science", "Political Science": "social_science", "Sociology": "social_science", "Anthropology": "social_science",
+    "Social Work": "social_science", "International Relations": "social_science", "Gender Studies": "social_science", "Public Policy": "social_science", "Education": "education",
+    "Criminal Justice": "applied", "Agriculture": "applied", "Culinary Arts": "applied", "Information Technology": "applied", "Aviation": "applied",
 }
 
 
@@ -78,8 +77,7 @@ def grade_ordinal(grade: Column) -> Column:
 
 def major_tier(major: Column) -> Column:
     """The tier of a field: "other" for unknown ones, null for null or blank."""
-    table = {m: tier for tier, majors in MAJOR_TIERS.items() for m in majors}
-    return F.when(F.trim(major) != "", F.coalesce(lookup(major, table, "string"), F.lit("other")))
+    return F.when(F.trim(major) != "", F.coalesce(lookup(major, MAJOR_TIERS, "string"), F.lit("other")))
 
 
 def wilson(p: Column, n: float = 100.0, z: float = 1.96) -> tuple[Column, Column]:

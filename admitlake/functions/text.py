@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 # Words that are no keywords.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by from up about into through during before after above below between among is are was were be been being "
-    "have has had do does did will would could should may might must can this that these those"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during", "before", "after", "above", "below", "between",
+    "among", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "can", "this", "that", "these",
+    "those",
+)
 # What a question about one's own chances says, and what a greeting does.
 CHANCE = (
     r"what are my chances", r"can i get into", r"will i get into", r"do i have a chance", r"chances of getting in", r"admission probability", r"how likely am i", r"likelihood of acceptance",
@@ -134,6 +135,7 @@ def is_greeting(text: Column) -> Column:
 
 def stats_in(text: Column) -> dict[str, Column]:
     """gpa in (0, 5], sat in 400..1600, act in 1..36, each from its first mention; else null."""
+    # How each is mentioned, and its range.
     found = {
         "gpa": (r"(?i)(?:gpa|grade point average)\s*(?:of|is|:)?\s*(\d+\.?\d*)", 0.0, 5.0),
         "sat": (r"(?i)(?:sat|sat score)\s*(?:of|is|:)?\s*(\d{3,4})", 400.0, 1600.0),
@@ -148,6 +150,7 @@ def stats_in(text: Column) -> dict[str, Column]:
 
 def verified_citations(answer: Column, sources: Column) -> Column:
     """Leaked tags and placeholders out, [sd] as [SD], numbers outside 1..sources out, a note if none are left."""
+    # Fixed value: the note behind an answer without citations.
     note = "\n\n> **Note:** This response may not be fully grounded in the provided sources. Please verify with the college's official website."
     out = F.regexp_replace(F.regexp_replace(F.regexp_replace(answer, r"\s*\[SCHOOL DATA\][^\n]*", ""), r"\[(?i:sd)\]", "[SD]"), r"\s*\[N\]", "")
     numbers = F.array_distinct(F.regexp_extract_all(out, F.lit(r"\[(\d+)\]"), F.lit(1)))
@@ -163,6 +166,7 @@ def length_budget(question: Column, wanted: Column) -> Column:
     def says(*words: str) -> Column:
         return q.rlike("|".join(words))
 
+    # The budgets, and the words that decide.
     return (
         F.when(wanted == "XS", "50-100 words (brief, direct answer)")
         .when(wanted == "S", "100-200 words (concise answer)")
@@ -283,6 +287,7 @@ def as_ratio(x: Column) -> Column:
 
 def outcome(label: Column) -> Column:
     """accepted, rejected or waitlisted by what a point's label or colour says; else null."""
+    # The words of each outcome.
     low = F.lower(label)
     return F.when(low.rlike("accept|admit|green"), "accepted").when(low.rlike("deny|denied|reject|red"), "rejected").when(low.rlike("wait|defer|yellow"), "waitlisted")
 

@@ -19,19 +19,24 @@ PAGE_TYPES = {
     "campus_life": "campus housing dining student-life residence dorms? athletics clubs? greek recreation student-activities student-organizations? fraternity sorority sports",
     "research": "research faculty laboratories? institute publications?",
 }
-# Links that are not followed, by extension, path and pattern.
+# Links that are not followed, by extension and path. The patterns below them are put together in groups here.
 SKIP_EXTENSIONS = (
-    "pdf doc docx xls xlsx ppt pptx zip rar tar gz 7z jpg jpeg png gif bmp svg webp mp3 mp4 avi mov wmv flv webm css js xml json rss atom exe msi dmg pkg deb rpm"
-).split()
+    "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "rar", "tar", "gz", "7z", "jpg", "jpeg", "png", "gif", "bmp", "svg", "webp", "mp3", "mp4", "avi", "mov", "wmv", "flv", "webm", "css",
+    "js", "xml", "json", "rss", "atom", "exe", "msi", "dmg", "pkg", "deb", "rpm",
+)
 SKIP_PATHS = (
-    "/admin /login /logout /register /signup /api/ /ajax/ /json/ /xml/ /search /filter /sort /print /download /export /calendar /events /news/archive /contact /feedback /survey"
-).split()
+    "/admin", "/login", "/logout", "/register", "/signup", "/api/", "/ajax/", "/json/", "/xml/", "/search", "/filter", "/sort", "/print", "/download", "/export", "/calendar", "/events",
+    "/news/archive", "/contact", "/feedback", "/survey",
+)
 SKIP_PATTERNS = (
     r"\.(pdf|docx?|xlsx?|pptx?|zip|rar|exe|dmg|jpg|jpeg|png|gif|bmp|svg|ico|mp3|mp4|avi|mov|wmv|flv)$", r"/calendar/|/events?/|/news/|/blog/|/login|/register|/admin|/wp-admin|/wp-content",
     r"facebook\.com|twitter\.com|instagram\.com|linkedin\.com|youtube\.com", r"^mailto:",
 )
 # Endings of educational hosts, and parameters that only track.
-EDUCATIONAL = (".edu .ac.uk .ac.nz .ac.jp .ac.za .ac.kr .ac.in .edu.au .edu.uk .edu.sg .edu.cn .edu.tw .edu.my .edu.hk .edu.jp .edu.br .edu.mx .edu.co .edu.ar").split()
+EDUCATIONAL = (
+    ".edu", ".ac.uk", ".ac.nz", ".ac.jp", ".ac.za", ".ac.kr", ".ac.in", ".edu.au", ".edu.uk", ".edu.sg", ".edu.cn", ".edu.tw", ".edu.my", ".edu.hk", ".edu.jp", ".edu.br", ".edu.mx", ".edu.co",
+    ".edu.ar",
+)
 TRACKERS = r"^(utm_[^=]*|fbclid|gclid|msclkid|sessionid|phpsessid)(=|$)"
 
 _HOST, _PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"

@@ -152,7 +152,7 @@ _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
     select * from (select lang, word, n, row_number() over (partition by lang order by n desc, word) as place from n) where place <= 20""")
 def keywords_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _docs(spark, sf_dir).select("lang", F.explode(text.ascii_words(F.lower("text"))).alias("word"))
-    counted = words.where(~F.col("word").isin(text.STOP_WORDS)).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = words.where(~F.col("word").isin(*text.STOP_WORDS)).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")).cast("long"))
     return ranked.where("place <= 20")
 
@@ -163,7 +163,7 @@ def keywords_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keywords_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most frequent words of each document, of equals the first to appear."""
     words = _docs(spark, sf_dir).select("doc_id", F.posexplode(text.ascii_words(F.lower("text"))).alias("i", "word"))
-    counted = words.where(~F.col("word").isin(text.STOP_WORDS)).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
+    counted = words.where(~F.col("word").isin(*text.STOP_WORDS)).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
     return counted.withColumn("place", place.cast("long")).where("place <= 5").select("doc_id", "word", "n", "place")
 

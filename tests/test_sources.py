@@ -76,7 +76,8 @@ def test_paged_source(spark):
 
     spark.dataSource.register(paged_source("pages_of_ten", fetch, 23, 10))
     got = spark.read.format("pages_of_ten").load().select("page", F.get_json_object("record", "$.id").cast("int").alias("id")).collect()
-    assert sorted(r.id for r in got) == [*range(10), 20, 21, 22]
+    assert sorted(r.id for r in got if r.id is not None) == [*range(10), 20, 21, 22]
+    assert [r.page for r in got if r.id is None] == [1]
 
 
 def test_streams(spark, tmp_path):
