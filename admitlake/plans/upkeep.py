@@ -191,7 +191,7 @@ def conversation_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.newest_first(kept, [F.desc("last"), F.col("conv_id")], 50)
 
 
-@query("backoff_waits", "select event_id, 2.0::double ** a as page, 0.5 * 2.0::double ** a as database, least(300.0, 30.0 * a) as host, least(300.0, 20.0 * a) as render from (select event_id, event_id % 12 as a from events)")
+@query("backoff_waits", "select event_id, 2.0::double ** a as page, 0.5::double * 2.0::double ** a as database, least(300.0::double, 30.0::double * a) as host, least(300.0::double, 20.0::double * a) as render from (select event_id, event_id % 12 as a from events)")
 def backoff_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempt = (F.col("event_id") % 12).cast("double")
     return table(spark, sf_dir, "events").select("event_id", *[routing.backoff(k, attempt).alias(k) for k in ("page", "database", "host", "render")])
