@@ -661,15 +661,17 @@ def similar_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shing
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """df with one row of each group of near copies, as similar_copies finds them: the one with the smallest key, and if rows share it, any one of them.
+    """df with one row of each group of near copies, as similar_copies finds them: the one with the smallest key.
 
-    Rows with null keys stay, as no result names them.
+    If rows share this key, one of each of their different texts stays, as the key does not tell them apart. Rows with
+    null keys stay, as no result names them.
     """
     groups = stored(similar_copies(df, key, text, shingle, similarity))
     mark = free_name(df, "gone")
     gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(mark)).distinct()
     kept = df.join(gone, F.col(quoted(key)).cast("long") == F.col(mark), "left_anti")
     if groups.where(f"`{key}` is not null").groupBy(key).count().where("count > 1").limit(1).count():
-        named = kept.where(F.col(quoted(key)).isNotNull()).dropDuplicates([key])
+        digest = free_name(df, "text_digest")
+        named = kept.where(F.col(quoted(key)).isNotNull()).withColumn(digest, F.sha2(F.col(quoted(text)).cast("string"), 256)).dropDuplicates([key, digest]).drop(digest)
         kept = named.union(kept.where(F.col(quoted(key)).isNull()))
     return kept

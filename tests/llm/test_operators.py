@@ -385,6 +385,9 @@ def test_similar_texts_become_one(spark, monkeypatch, block):
     assert kept.columns == df.columns and kept.where("doc_id is null").count() == 2
     assert kept.where("doc_id is not null").count() == len({*found.values()})
     assert simhash.one_of_each(df.limit(0)).count() == 0
+    shared = spark.createDataFrame([(1, "a b c d e f g"), (1, "other words of the same id"), (1, "a b c d e f g"), (2, "a b c d e f g"), (1, None), (1, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.one_of_each(shared).collect() if r["text"]) == [(1, "a b c d e f g"), (1, "other words of the same id")]
+    assert simhash.one_of_each(shared).count() == 3
 
 
 def test_only_texts_of_the_similarity_link(spark):
