@@ -103,3 +103,12 @@ ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 def lowered(column: Column) -> Column:
     """A-Z lower-cased, all other characters kept."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+#: White space of words, and what a pattern calls it.
+BLANKS, BLANK = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
+
+
+def words_of(text: Column) -> Column:
+    """The maximal runs of other characters than white space, in order; of null or white space alone an empty list."""
+    bare = F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, decontam, gru, langid, licenses, lines, pieces, pii, secrets, simhash, spans
+from . import audit, avi, centroids, decontam, gru, langid, licenses, lines, mixing, pieces, pii, secrets, simhash, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,6 +88,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,6 +119,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_centroids": op12_centroids,
+    "op13_source_mix": op13_source_mix,
     "pipeline": pipeline,
 }
 
@@ -131,4 +148,52 @@ SQL: dict[str, str] = {
         named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id::varchar as item_id from found) group by doc_id)
         select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from docs d left join hit using (doc_id) left join named using (doc_id)""",
+    "op11_filter_audit": r"""
+        with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+        firsts as (select t, min(doc_id) as m from d group by t),
+        said as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
+        masked as (select d.doc_id, part, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int + 4 * (100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 5 * length(d.t))::int
+            + 8 * regexp_matches(d.t, '[#$%&*|]')::int + 16 * coalesce(d.doc_id > m, false)::int as mask from d join firsts f on d.t = f.t),
+        cells as (select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from masked left join said using (doc_id) group by part, mask),
+        letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+        orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+            where a.x not in (b.x, c.x, d.x, e.x) and b.x not in (c.x, d.x, e.x) and c.x not in (d.x, e.x) and d.x <> e.x),
+        steps as (select filter_order, s.step, (1 << (ascii(filter_order[s.step]) - 65)) as own, coalesce(list_sum(list_transform(range(1, s.step), lambda k: 1 << (ascii(filter_order[k]) - 65))), 0)::int as before
+            from orders, (select unnest(range(1, 6)) as step) s),
+        told as (select part, filter_order, step, own, coalesce(sum(n) filter (where mask & (own | before) = 0), 0) as kept, coalesce(sum(n) filter (where mask & before = 0 and mask & own <> 0), 0) as removed,
+            coalesce(sum(n) filter (where mask & before <> 0 and mask & own <> 0), 0) as redundant, coalesce(sum(n) filter (where mask = own), 0) as unique_fails,
+            coalesce(sum(good) filter (where mask & before = 0 and mask & own <> 0), 0) as good_lost, coalesce(sum(toxic) filter (where mask & before = 0 and mask & own <> 0), 0) as toxic_lost
+            from cells, steps group by part, filter_order, step, own)
+        select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+            toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from told""",
+    "op12_centroids": """
+        with kept as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+        c0 as (select (row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), v) - 1)::int as c, v as m from kept qualify c < 16),"""
+    + ",".join(f"""
+        a{r} as (select vec_id, v, c, d from (select vec_id, v, c, list_sum(list_transform(range(1, 65), lambda k: (v[k] - m[k]) * (v[k] - m[k]))) as d from kept, c{r}) qualify row_number() over (partition by vec_id order by d, c) = 1),
+        s{r} as (select c, pos, sum(v[pos])::bigint as t, count(*) as n from a{r}, (select unnest(range(1, 65)) as pos) group by c, pos),
+        c{r + 1} as (select c{r}.c, coalesce(u.m, c{r}.m) as m from c{r} left join (select c, list((t - ((t % n) + n) % n) // n order by pos) as m from s{r} group by c) u on u.c = c{r}.c)""" for r in range(3))
+    + """,
+        a3 as (select vec_id, c, d from (select vec_id, c, list_sum(list_transform(range(1, 65), lambda k: (v[k] - m[k]) * (v[k] - m[k]))) as d from kept, c3) qualify row_number() over (partition by vec_id order by d, c) = 1)
+        select vec_id, a3.c as cluster, d::bigint as distance, (sum(d) over (partition by a3.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(m, ',')) as centroid_sha256 from a3 join c3 on a3.c = c3.c""",
+    "op13_source_mix": r"""
+        with recursive d as (select doc_id, source, coalesce('s' || source, 'n') as skey, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::bigint as size,
+            sha256('13:' || coalesce(doc_id::varchar, '-' || sha256(coalesce(text, '')))) as drawn from documents),
+        sources as (select skey, any_value(source) as source, sum(size)::bigint as words, count(*) as n, row_number() over (order by any_value(source) is null, any_value(source)) as place from d group by skey),
+        weighed as (select *, ([5, 2, 1])[(place - 1) % 3 + 1] as weight from sources),
+        totals as (select sum(words)::bigint as words, sum(weight)::bigint as weight from weighed),
+        rates as (select 0 as step, case when words > 0 then 1.5::double * words / weight else 0::double end as rate from totals
+            union all
+            select step + 1, (select (1.5::double * t.words - coalesce(sum(2 * w.words) filter (where w.weight * rate > 2 * w.words), 0)::bigint) / (sum(w.weight) filter (where w.weight * rate <= 2 * w.words))::bigint from weighed w, totals t group by t.words)
+            from rates where step < 60),
+        aimed as (select w.*, least(weight * rate, (2 * words)::double) as target from weighed w, (select rate from rates order by step desc limit 1) where rate is not null),
+        blocks as (select coalesce(max(b), 1) as b from (select unnest([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) as b), (select min(target) as least from aimed where target > 0) where 64 * b <= least),
+        seats as (select floor(1.5::double * words / b + 0.5)::bigint as n, b from totals, blocks),
+        won as (select skey, count(*) as quota from (select skey, target / (2 * s + 1) as q, place from (select skey, target, place, unnest(range(0, (2 * words // b + 2)::bigint)) as s from aimed, seats where target > 0)
+            qualify row_number() over (order by q desc, place) <= (select n from seats)) group by skey),
+        laid as (select d.*, a.words, a.target, coalesce(quota, 0) as quota, coalesce(sum(size) over (partition by d.skey order by drawn, size rows between unbounded preceding and 1 preceding), 0)::bigint as before
+            from d join aimed a using (skey) left join won using (skey)),
+        taking as (select *, least(quota * b, 2 * words)::bigint as takes from laid, blocks)
+        select doc_id, size, words as source_size, target, (greatest(0, least(takes - before, size)) + greatest(0, least(takes - words - before, size)))::bigint as taken from taking""",
 }
