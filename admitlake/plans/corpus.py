@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import maintenance, matching, retrieval
+from ..operators import cells, maintenance, matching, retrieval
 from ..operators.placing import placed
 from ..sources import files
-from ..storage import written
+from ..storage import shared_dir, written
 from .registry import query, spread, table
 
 _HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), ':[0-9]+$', ''), '^www\.', '')"
@@ -252,6 +254,16 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir, 10)
 
 
+@query("ann_topk")
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors, found through cells, of every one whose id is divisible by twenty; cells visited are as many as a recall of 0.95 takes."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    cells.build_cells(rows, path)
+    return cells.search_cells(spark, path, queries, 10, cells.probes_for(spark, path, queries, 10))
+
+
 @query("dense_topk_filtered", f"with {_DENSE} select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from d0 where label % 2 = 0 qualify rank <= 5")
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
