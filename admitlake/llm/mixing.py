@@ -17,7 +17,7 @@ from .common import stored, words_of
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 13
 #: Words and rows that a shard holds about; buckets that shards are made of; most words of a block, and how many blocks the smallest target has at least where blocks are longer than one word.
-SHARD, BUCKETS, BLOCK, LEAST_BLOCKS = 1 << 24, 1 << 14, 1024, 64
+SHARD, BUCKETS, BLOCK, LEAST_BLOCKS = 1 << 18, 1 << 16, 1024, 64
 
 
 def source_targets(sources: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:

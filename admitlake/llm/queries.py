@@ -177,6 +177,7 @@ SQL: dict[str, str] = {
     + """,
         a3 as (select vec_id, c, d from (select vec_id, c, list_sum(list_transform(range(1, 65), lambda k: (v[k] - m[k]) * (v[k] - m[k]))) as d from kept, c3) qualify row_number() over (partition by vec_id order by d, c) = 1)
         select vec_id, a3.c as cluster, d::bigint as distance, (sum(d) over (partition by a3.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(m, ',')) as centroid_sha256 from a3 join c3 on a3.c = c3.c""",
+    # Sources of up to mixing.SHARD words and rows, which have one shard each.
     "op13_source_mix": r"""
         with recursive d as (select doc_id, source, coalesce('s' || source, 'n') as skey, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::bigint as size,
             sha256('13:' || coalesce(doc_id::varchar, '-' || sha256(coalesce(text, '')))) as drawn from documents),
