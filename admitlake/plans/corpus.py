@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
-from ..operators import cells, maintenance, matching, retrieval
+from ..functions import english, text, urls
+from ..operators import cells, maintenance, matching, postings, retrieval
 from ..operators.placing import placed
 from ..sources import files
 from ..storage import shared_dir, written
@@ -285,6 +285,67 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25_topk(docs, queries, 10).withColumn("score", F.round("score", 6))
 
 
+@query("bm25_pruned", f"with {_BM} select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from b) where rank <= 10")
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of bm25_topk out of a stored index, of which only blocks are read that can hold a hit."""
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    queries = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    postings.build_postings(docs, path)
+    return postings.search_postings(spark, path, queries, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def _steps() -> str:
+    """The stemmer's steps over a table `vocabulary` (w), as SQL."""
+    mapped = lambda word, rules: f"case when regexp_matches(regexp_extract({word}, '^(.+?)({'|'.join(rules)})$', 1), '{english.MEASURE_0}') then regexp_extract({word}, '^(.+?)({'|'.join(rules)})$', 1) || map {{{', '.join(f"'{a}': '{b}'" for a, b in rules.items())}}}[regexp_extract({word}, '^(.+?)({'|'.join(rules)})$', 2)] else {word} end"
+    cut = f"^(.+?)({'|'.join(english.STEP_4)})$"
+    steps = [
+        "regexp_replace(regexp_replace(w, '(^|[aeiou])y', '\\1Y', 'g'), 'yy', 'yY', 'g')",
+        "case when regexp_matches({0}, '(ss|i)es$') then {0}[:-3] when regexp_matches({0}, '[^s]s$') then {0}[:-2] else {0} end",
+        f"case when {{0}} like '%eed' then case when length({{0}}) > 3 and regexp_matches({{0}}[:-4], '{english.MEASURE_0}') then {{0}}[:-2] else {{0}} end when regexp_matches(regexp_extract({{0}}, '^(.+?)(ed|ing)$', 1), '[aeiouy]') then '+' || regexp_extract({{0}}, '^(.+?)(ed|ing)$', 1) else {{0}} end",
+        f"case when {{0}}[1] <> '+' then {{0}} when regexp_matches({{0}}, '(at|bl|iz)$') then {{0}}[2:] || 'e' when length({{0}}) > 2 and lower({{0}}[-1]) = lower({{0}}[-2]) and regexp_matches({{0}}, '[^aeiouylsz]$') then {{0}}[2:-2] when regexp_matches({{0}}[2:], '{english.SHORT_1}') then {{0}}[2:] || 'e' else {{0}}[2:] end",
+        "case when regexp_matches({0}, '.[yY]$') and regexp_matches({0}[:-2], '[aeiouy]') then {0}[:-2] || 'i' else {0} end",
+        mapped("{0}", english.STEP_2).replace("map {", "map {{").replace("}[", "}}["),
+        mapped("{0}", english.STEP_3).replace("map {", "map {{").replace("}[", "}}["),
+        f"case when regexp_matches(regexp_extract({{0}}, '{cut}', 1), '{english.MEASURE_1}') then regexp_extract({{0}}, '{cut}', 1) when regexp_matches({{0}}, '.*[st]ion$') and regexp_matches({{0}}[:-4], '{english.MEASURE_1}') then {{0}}[:-4] else {{0}} end",
+        f"case when {{0}} like '%_e' and (regexp_matches({{0}}[:-2], '{english.MEASURE_1}') or regexp_matches({{0}}[:-2], '{english.MEASURE_IS_1}') and not regexp_matches({{0}}[:-2], '{english.SHORT}')) then {{0}}[:-2] else {{0}} end",
+        f"case when {{0}} like '%ll' and regexp_matches({{0}}, '{english.MEASURE_1}') then {{0}}[:-2] else {{0}} end",
+    ]
+    tables = ["s0 as (select w, " + steps[0] + " as x from vocabulary)"]
+    tables += [f"s{k} as (select w, {step.format('x')} as x from s{k - 1})" for k, step in enumerate(steps[1:], 1)]
+    return ", ".join(tables) + f", stems as (select w, case when regexp_matches(w, '^[a-z]{{3,}}$') then lower(x) else w end as stem from s{len(steps) - 1})"
+
+
+_STOP = ", ".join(f"'{w}'" for w in english.STOP_WORDS)
+_ENGLISH = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: t <> '' and t not in (" + _STOP + "))"
+
+
+@query("stemmed_words", f"with vocabulary as (select w, count(*) as n from (select unnest({_ENGLISH}) as w from documents) group by w), {_steps()} select w as word, stem, n from stems join vocabulary using (w)")
+def stemmed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents that is no stop word, with its stem and how often it stands."""
+    words = _docs(spark, sf_dir).select(F.explode(english.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("word", english.stem(F.col("word")).alias("stem"), "n")
+
+
+_BM_ENGLISH = f"""q0 as (select item_id as query_id, unnest(list_distinct({_ENGLISH})) as w from benchmark where item_id % 20 = 0),
+    c as (select doc_id as id, {_ENGLISH} as w from documents), p0 as (select id, len(w) as size, unnest(w) as w from c),
+    vocabulary as (select w from p0 union select w from q0), {_steps()},
+    q as (select distinct query_id, stem as term from q0 join stems using (w)),
+    p as (select stem as term, id, size, count(*) as tf from p0 join stems using (w) group by all),
+    f as (select term, count(*) as df from p group by term), z as (select count(*) as n, avg(len(w)) as mean from c),
+    b as (select query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 9) as score from p join f using (term) join q using (term), z group by all)"""
+
+
+@query("bm25_english", f"with {_BM_ENGLISH} select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from b) where rank <= 10")
+def bm25_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest BM25 score by stems without stop words."""
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    queries = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    postings.build_postings(docs, path, english.words, english.stem)
+    return postings.search_postings(spark, path, queries, 10, english.words, english.stem).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 _OTHER = "other as (select query_id, id, score, row_number() over (partition by query_id order by (id * 7919 + query_id) % 1009, id) as rank from dense)"
 
 
