@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import predicting, training
-from .fixtures import CTES, points, schools
+from ..operators import boosting, predicting, training
+from ..storage import written
+from .fixtures import CTES, grades, points, schools
 from .registry import query, table
 from .training import _fine
 
@@ -82,3 +83,30 @@ def prediction_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(p >= 0.6, "safety").when(p >= 0.3, "match").otherwise("reach")
     said = predicting.prediction_text(p, F.lit(0.01), F.lit(0.99), kind, p, found)
     return table(spark, sf_dir, "part").select("p_partkey", F.sha2(said, 256).alias("digest"))
+
+
+#: What the boosted model of `boosted_chances` reads.
+FEATURES = (
+    "gpa", "sat_score", "sat_percentile_at_school", "gpa_vs_expected", "sat_zscore_at_school", "gpa_zscore_at_school", "gpa_x_acceptance", "selectivity_x_sat", "competitiveness_index", "gpa_x_competitiveness",
+    "sat_x_competitiveness", "academic_composite_z", "holistic_signal", "sat_ratio", "school_encoding",
+)
+
+
+@query("boosted_chances")
+def boosted_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request's chance by boosted trees fitted on the decided points, requests in error among them, with its place among all.
+
+    The trees keep to the directions and groups of features that are fixed; the school's encoding is out of fold in
+    training and over all points in predictions; a fifth of the schools, by hash, says when to stop.
+    """
+    fold = F.pmod(F.xxhash64("order_id", "line_no"), F.lit(5)).cast("int")
+    known = training.training_set(points(spark, sf_dir), schools(spark, sf_dir), grades(spark, sf_dir))
+    coded = written(training.out_of_fold(known, "school_id", "admitted", fold, 300.0).withColumnRenamed("encoding", "school_encoding").withColumn("held", F.pmod(F.xxhash64("school_id"), F.lit(5)) == 0))
+    names = list(FEATURES)
+    settings = boosting.Settings(trees=12, depth=4, rate=0.2, bins=32, patience=4)
+    model = boosting.fit_boosted(coded, names, "admitted", held="held", settings=settings, monotone=predicting.monotone_vector(names), groups=predicting.interaction_groups(names))
+    means = training.smoothed_means(known, "school_id", "admitted", 300.0).select("school_id", F.col("encoding").alias("school_encoding"))
+    requests = _requests(spark, sf_dir).join(means, "school_id", "left")
+    scored = boosting.boosted_scores(model, requests)
+    found = predicting.compared(predicting.predictions(scored), "order_id", "line_no")
+    return found.select("order_id", "line_no", "error", "probability", "low", "high", "class", "place")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import metrics, training
+from ..operators import metrics, search, training
 from ..operators.placing import placed
+from ..storage import written
 from .fixtures import CTES, grades, points, schools
 from .registry import query, table
 
@@ -265,3 +266,15 @@ def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = split.groupBy("part").agg(F.avg((F.col("outcome") == "accepted").cast("int")).alias("rate"), F.count(F.lit(1)).alias("n"))
     even = parts.agg(F.max(F.col("rate")) - F.min(F.col("rate")) < 0.1)
     return sides.agg(F.count(F.lit(1)).alias("schools"), F.sum("n").alias("points"), F.sum((F.col("parts") > 1).cast("long")).alias("shared")).withColumn("strata_even", even.scalar())
+
+
+@query("price_front", """with x as (select l_extendedprice as a, -l_quantity as b, l_orderkey, l_linenumber from lineitem),
+    d as (select a, min(b) as b from x group by a), f as (select a, b from (select a, b, min(b) over (order by a rows between unbounded preceding and 1 preceding) as before from d) where before is null or b < before),
+    c as (select a, b, lag(a) over w as a0, lag(b) over w as b0, lead(a) over w as a1, lead(b) over w as b1, max(a) over () - min(a) over () as wide, max(b) over () - min(b) over () as high from f window w as (order by a))
+    select l_orderkey, l_linenumber, a as price, -b as quantity, case when a0 is null or a1 is null then -1 else round((a1 - a0) / wide + (b0 - b1) / high, 6) end as crowding from x join c using (a, b)""")
+def price_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that no other line beats in both price and quantity, with how far apart each one's neighbours on the front are; -1 at both ends."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"), (-F.col("l_quantity")).alias("less"))
+    best = written(search.front(rows, "price", "less"))
+    joined = best.join(search.crowding(best, "price", "less"), ["price", "less"])
+    return joined.select("l_orderkey", "l_linenumber", "price", (-F.col("less")).alias("quantity"), F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.round("crowding", 6)).alias("crowding"))
