@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import routing, text, urls
 from ..functions.scores import GRADE_POINTS, grade_ordinal, lookup, proxy_score
 from ..operators import entities, upkeep
-from ..sources import grades
+from ..sources import grades, nested
 from .corpus import _HOST
 from .registry import query, table
 
@@ -29,11 +29,10 @@ def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.duplicate_report(_records(spark, sf_dir), "college", "url", "digest")
 
 
-@query("duplicates_listed", f"with {_RECORDS}, e as (select url, digest, count(*) as n from records where url is not null group by all) select url, sum(n - 1)::bigint as duplicates from e group by url having sum(n - 1) > 0 order by duplicates desc, url limit 50")
+@query("duplicates_listed", f"with {_RECORDS}, e as (select url, digest, count(*) as n from records where url is not null group by all) select url, sum(n - 1)::bigint as duplicates from e group by url having sum(n - 1) > 0")
 def duplicates_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifty addresses with most repeated rows."""
-    found = upkeep.duplicates_by_url(_records(spark, sf_dir).where("url is not null"), "url", "digest")
-    return upkeep.newest_first(found, [F.desc("duplicates"), F.col("url")], 50)
+    """All addresses with repeated rows."""
+    return upkeep.duplicates_by_url(_records(spark, sf_dir).where("url is not null"), "url", "digest")
 
 
 @query("delete_duplicates", f"""with {_RECORDS}, d as (select distinct on (college, url, digest) id from records order by college, url, digest, crawled_at desc, id desc), k as (select * from records where id in (select id from d)),
@@ -228,15 +227,36 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", *[c.alias(n) for n, c in grades.numbers_in(F.col("page")).items()])
 
 
-@query("page_grades", f"select page_id, 'food=' || (['A+', 'B', 'C-'])[page_id % 3 + 1] || ',safety=D' as grades from pages where not regexp_matches(html, '(?i)(academics|value|diversity|campus|athletics|professors|location|dorms|safety|life)')")
+def _grade_sql(label: str, field: str) -> str:
+    return f"case when regexp_matches(page, '(?i){label}[^A-Za-z0-9]{{1,50}}[A-F][+-]?([^A-Za-z0-9]|$)') then '{field}=' || upper(regexp_extract(page, '(?i){label}[^A-Za-z0-9]{{1,50}}([A-F][+-]?)(?:[^A-Za-z0-9]|$)', 1)) end"
+
+
+@query("page_grades", f"with p as (select page_id, {_PROFILE_PAGE} as page from pages) select page_id, array_to_string(list_sort(list_filter([{', '.join(_grade_sql(k, v) for k, v in grades.GRADE_FIELDS.items())}], lambda g: g is not null)), ',') as grades from p")
 def page_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters of the pages whose own text names no category."""
+    """Letters of all pages by category."""
     page = F.expr(_PROFILE_PAGE.replace("(['A+', 'B', 'C-'])[page_id % 3 + 1]", "element_at(array('A+', 'B', 'C-'), int(page_id % 3 + 1))"))
-    rows = table(spark, sf_dir, "pages").where(~F.col("html").rlike("(?i)(academics|value|diversity|campus|athletics|professors|location|dorms|safety|life)"))
-    found = rows.select("page_id", grades.grades_in(page).alias("g"))
+    found = table(spark, sf_dir, "pages").select("page_id", grades.grades_in(page).alias("g"))
     return found.select("page_id", F.array_join(F.array_sort(F.transform(F.map_entries("g"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("grades"))
 
 
+@query("nested_profiles", """select page_id, 'dorms=' || (['A', 'B-', 'C+'])[page_id % 3 + 1] as grades, page_id % 50 + 1 as rank, case when page_id % 2 = 0 then (page_id % 90 + 2) / 100.0::double end as acceptance, case when page_id % 5 <> 0 then round((page_id % 4 + 1) / 4.0::double * 4, 2) end as gpa from pages""")
+def nested_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its facts in embedded JSON, at depths up to fourteen, read back."""
+    c = F.col("page_id")
+    facts = F.concat(
+        F.lit('{"rank":'), (c % 50 + 1).cast("string"), F.lit(',"items":[{"label":" Dorms","grade":"'), F.element_at(F.array(*map(F.lit, ("A", "B-", "C+"))), (c % 3 + 1).cast("int")),
+        F.lit('"},{"rank":99,"name":"Acceptance Rate","value":"'), F.when(c % 2 == 0, F.concat((c % 90 + 2).cast("string"), F.lit("%"))).otherwise("n/a"),
+        F.lit('"}],"blocks":[{"template":"BlockScatterplot","buckets":{"0":{"contents":[{"scatterplot":{"plot":{"units":["GPA","SAT"],"attributes":["Decision"],"attributeValues":[["Accepted"]],"points":['),
+        F.when(c % 5 != 0, F.concat(F.lit('{"values":['), ((c % 4 + 1) / 4).cast("string"), F.lit(',0.5],"attributes":[0]}'))).otherwise(""), F.lit("]}}}]}}}]}"),
+    )
+    deep = (c % 7).cast("int")
+    state = F.concat(F.lit('{"a":1,"state":'), F.repeat(F.lit('{"x":['), deep), facts, F.repeat(F.lit("]}"), deep), F.lit("}"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit('<script id="__NEXT_DATA__">'), state, F.lit("</script>")).alias("html"))
+    found = nested.profiles(pages, "page_id", "html")
+    told = F.array_join(F.transform(F.map_entries("grades"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return found.select("page_id", told.alias("grades"), F.col("numbers")["niche_rank"].cast("long").alias("rank"), F.try_element_at("numbers", F.lit("acceptance_rate_niche")).alias("acceptance"), F.get("points", F.lit(0))["gpa"].alias("gpa"))
+
+
 @query("scatter_points", """with g as (select l_orderkey, l_linenumber, round_even(l_discount * 4, 2) as gpa, round_even(l_tax * 10 * 1600, 0) as sat, case l_returnflag when 'A' then 'accepted' when 'R' then 'rejected' end as outcome,
         case l_linenumber % 3 when 0 then 'Biology' when 1 then 'History' end as major, case when l_linestatus = 'O' then 'inState' else 'outOfState' end as residency from lineitem)
     select l_orderkey, l_linenumber, gpa, sat as sat_score, outcome, major, residency from g where outcome is not null and gpa > 0 and gpa <= 4 and sat > 0""")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import shared_dir, written
 from .files import embedded_state
 from .grades import GRADE_FIELDS, PLOT, grades_in, number_of, numbers_in, plotted_points
 
@@ -48,22 +49,28 @@ def walked(docs: DataFrame, key: str, json: str, depth: int = DEPTH) -> DataFram
         here = F.when(F.col("is_list") & (F.size("path") <= BLOCK_DEPTH), F.when(own_block, F.col("path")))
         return df.withColumn("block", F.coalesce(F.col("block"), here)) if "block" in df.columns else df.withColumn("block", here)
 
-    level = written(marked(docs.select(key, F.array().cast("array<int>").alias("path"), F.col(json).alias("text"))))
-    levels = [level]
+    spark = docs.sparkSession
+    base = f"{shared_dir(spark)}/walk-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, at: int) -> DataFrame:
+        df.write.parquet(f"{base}/level={at}")
+        return spark.read.schema(df.schema).parquet(f"{base}/level={at}")
+
+    level = kept(marked(docs.select(key, F.array().cast("array<int>").alias("path"), F.col(json).alias("text"))), 0)
+    schema = level.schema
     members = F.from_json("text", "map<string,string>")
     inner = F.map_keys(F.map_filter(F.col("node").try_cast("map<string,variant>"), lambda _, v: _is_container(v)))
     in_object = F.filter(F.transform(F.map_entries(members), lambda e, i: F.struct(i.alias("at"), e["key"].alias("name"), e["value"].alias("text"))), lambda s: F.array_contains(F.col("inner"), s["name"]))
     in_list = F.filter(F.transform(F.from_json("text", "array<string>"), lambda t, i: F.struct(i.alias("at"), F.lit("").alias("name"), t.alias("text"))), lambda s: F.get(F.col("sound"), s["at"]))
     sound = F.transform(F.col("node").try_cast("array<variant>"), _is_container)
-    for _ in range(depth):
+    for at in range(1, depth + 1):
         objects = level.where("not is_list").withColumn("inner", inner).select(key, "path", "block", F.explode(in_object).alias("c"))
         lists = level.where("is_list").withColumn("sound", sound).select(key, "path", "block", F.explode(in_list).alias("c"))
         below = objects.unionByName(lists).select(key, F.concat("path", F.array(F.col("c.at").cast("int"))).alias("path"), F.col("c.text").alias("text"), "block")
-        level = written(marked(below))
+        level = kept(marked(below), at)
         if level.isEmpty():
             break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, [df.select(key, "path", "is_list", "node", "block") for df in levels])
+    return spark.read.schema(schema).parquet(base).select(key, "path", "is_list", "node", "block")
 
 
 def _number(node: Column, name: str) -> Column:
