@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import english, text, urls
+from ..functions import english, pages, text, urls
 from ..operators import cells, maintenance, matching, postings, retrieval
 from ..operators.placing import placed
 from ..sources import files
@@ -88,6 +88,25 @@ def html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", urls.main_content(F.col("html")).alias("content"))
 
 
+#: Pages with navigation inside navigation, an article inside a division of content, and more of both after it.
+_NESTING = """replace(replace(html, '<article', '<nav><div>a<nav>b</nav>c</div><footer>d</footer>e</nav><div class="wide content"><div>f</div><article'), '</article>', '</article><header><header>g</header>h</header><div><div>i</div>j</div></div><div class="content">k</div>')"""
+_VOID = ", ".join(f"'{v}'" for v in pages.VOID)
+
+
+@query("html_nested", rf"""with h as (select page_id, {_NESTING} as h from pages), n as (select page_id, regexp_extract_all(h, '{pages.TOKENS}', 1) as l from h), t as (select page_id, unnest(l) as token, generate_subscripts(l, 1) as pos from n),
+    k as (select *, lower(regexp_extract(token, '^</?([a-zA-Z][a-zA-Z0-9:-]*)', 1)) as name from t), s as (select *, case when name in ('', 'script', 'style', {_VOID}) then 0 when token like '</%' then -1 else 1 end as step from k),
+    e as (select *, sum(step) over (partition by page_id, name order by pos) as depth from s), o as (select a.page_id, a.pos, a.name, a.token, min(b.pos) as stop from e a join e b on a.page_id = b.page_id and a.name = b.name and b.pos > a.pos and b.depth < a.depth where a.step = 1 group by all),
+    c as (select page_id, pos, stop from o where name in ('nav', 'footer', 'header')), f as (select o.page_id, case when name = 'article' then 1 when regexp_matches(token, 'class="[^"]*content') then 2 when name = 'body' then 3 end as choice, o.pos, o.stop from o),
+    w as (select f.* from f where choice is not null and not exists (select 1 from c where c.page_id = f.page_id and f.pos >= c.pos and f.pos < c.stop) qualify row_number() over (partition by page_id order by choice, pos) = 1),
+    x as (select w.page_id, e.pos, trim(regexp_replace(replace(replace(replace(replace(token, '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '\s+', ' ', 'g')) as piece from w join e on e.page_id = w.page_id and e.pos >= w.pos and e.pos < w.stop
+        where token not like '<%' and not exists (select 1 from c where c.page_id = e.page_id and e.pos >= c.pos and e.pos < c.stop))
+    select p.page_id, coalesce((select string_agg(piece, ' ' order by pos) from x where x.page_id = p.page_id and piece <> ''), '') as content from pages p""")
+def html_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main content of pages whose parts lie inside each other."""
+    nested = _pages(spark, sf_dir).select("page_id", F.expr(_NESTING).alias("html"))
+    return nested.select("page_id", F.regexp_replace(pages.main_by_selectors(F.col("html")), r"\s+", " ").alias("content"))
+
+
 @query("links_extract", r"""with l as (select page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1), lambda u: trim(u)))) as link from pages)
     select page_id, link from l where link <> '' and not regexp_matches(lower(link), '^(#|mailto:|tel:|javascript:|ftp:|data:|blob:)')""")
 def links_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
