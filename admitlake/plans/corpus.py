@@ -12,6 +12,7 @@ from ..operators import cells, maintenance, matching, postings, retrieval
 from ..operators.placing import placed
 from ..sources import files
 from ..storage import shared_dir, written
+from ..streaming import recrawl
 from .registry import query, spread, table
 
 _HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), ':[0-9]+$', ''), '^www\.', '')"
@@ -249,6 +250,24 @@ def delta_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.delta(old, now, "doc_id", "hash")
 
 
+_LINKS = r"""list_filter(list_distinct(list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1), lambda u: trim(u))), lambda u: u <> '' and not regexp_matches(lower(u), '^(#|mailto:|tel:|javascript:|ftp:|data:|blob:)'))"""
+
+
+@query("page_delta", f"""with l as (select page_id, html, {_LINKS} as links from pages), o as (select page_id, html, links from l where page_id % 4 <> 3)
+    select n.page_id, case when n.page_id % 5 = 0 then case when o.page_id is null then 'missing' else 'not_modified' end when o.page_id is null then 'new' when n.page_id % 7 = 0 then 'changed' else 'same_content' end as action,
+        case when n.page_id % 5 = 0 then coalesce(len(o.links), 0) else len(n.links) end as n_links, case when n.page_id % 5 = 0 then 'e' || o.page_id when n.page_id % 2 = 0 then 'f' || n.page_id end as etag from l n left join o on o.page_id = n.page_id""")
+def page_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second crawl of all pages, some not modified, some changed, against what the first one left."""
+    rows = _pages(spark, sf_dir).select("page_id", F.col("page_id").cast("string").alias("key"), "html", urls.links(F.col("html")).alias("links"))
+    old = rows.where("page_id % 4 <> 3").select("key", F.concat(F.lit("e"), "key").alias("etag"), F.lit(None).cast("string").alias("last_modified"), text.content_hash(F.col("html")).alias("content_hash"), "links")
+    untouched = F.col("page_id") % 5 == 0
+    now = rows.select(
+        "page_id", "key", F.when(untouched, 304).otherwise(200).alias("status"), (F.col("page_id") % 2 == 1).alias("rendered"), F.when(~untouched, F.concat(F.lit("f"), "key")).alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+        F.when(~untouched, F.when(F.col("page_id") % 7 == 0, F.concat("html", F.lit("more"))).otherwise(F.col("html"))).alias("content"), F.when(~untouched, F.col("links")).alias("links"),
+    )
+    return recrawl.told_apart(now, old).select("page_id", "action", F.size("links").cast("long").alias("n_links"), "etag")
+
+
 @query("bfs_frontier", """with recursive e as (select n_nationkey as src, (n_nationkey * 3 + 1) % 25 as dst from nation union select n_nationkey, (n_nationkey + 7) % 25 from nation where n_nationkey % 4 = 0),
     r as (select 0 as node, 0 as depth union select e.dst, depth + 1 from r join e on e.src = r.node where depth < 30) select node, min(depth) as depth from r group by node""")
 def bfs_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
