@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import metrics, search, training
+from ..operators import metrics, sampling, search, training
 from ..operators.placing import placed
 from ..storage import written
 from .fixtures import CTES, grades, points, schools
@@ -278,3 +278,16 @@ def price_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = written(search.front(rows, "price", "less"))
     joined = best.join(search.crowding(best, "price", "less"), ["price", "less"])
     return joined.select("l_orderkey", "l_linenumber", "price", (-F.col("less")).alias("quantity"), F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.round("crowding", 6)).alias("crowding"))
+
+
+@query("sample_by_group", "select l_suppkey, l_orderkey, l_linenumber, row_number() over (partition by l_suppkey order by md5('42:' || l_orderkey || ':' || l_linenumber), l_orderkey, l_linenumber) as turn from lineitem qualify turn <= 5")
+def sample_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five lines of every supplier, drawn by seed."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    return sampling.sampled_by(rows, "l_suppkey", 5, "l_orderkey", "l_linenumber")
+
+
+@query("shuffled_orders", "select o_orderkey, row_number() over (order by md5('42:' || o_orderkey), o_orderkey) as place from orders")
+def shuffled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders in a seeded order."""
+    return sampling.shuffled(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
