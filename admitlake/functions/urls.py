@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 
 # The words of each page type, in the order that decides; a word stands between "/" or "." and "/", "?", "." or the end.
 PAGE_TYPES = {
-    "transfer": "transfer transferring credit-transfer articulation advanced-standing",
-    "international": "international global-education study-abroad visa immigration toefl ielts english-proficiency",
-    "admissions": "admissions? apply application enrollment admitted freshman first-year prospective early-decision early-action acceptance accepted-students",
-    "diversity": "diversity inclusion multicultural equity belonging dei",
-    "academics": "academics? programs? majors? minors? degrees? courses? curriculum departments? catalog registrar honors undergraduate-programs?",
-    "financial_aid": "financial-?aid tuition scholarships? cost-of-attendance net-price fafsa work-study bursar billing affordability",
-    "outcomes": "career-services? career-center careers? outcomes? employment placement internships? post-graduation alumni-outcomes",
-    "safety_health": "campus-safety campus-police safety police security health-services? counseling disability mental-health wellness clery accessibility",
-    "about": "about overview mission history fast-facts facts-and-figures at-a-glance rankings accreditation president leadership who-we-are",
-    "campus_life": "campus housing dining student-life residence dorms? athletics clubs? greek recreation student-activities student-organizations? fraternity sorority sports",
-    "research": "research faculty laboratories? institute publications?",
-}
-# Links that are not followed, by extension and path. The patterns below them are put together in groups here.
+    "transfer": ("transfer", "transferring", "credit-transfer", "articulation", "advanced-standing"),
+    "international": ("international", "global-education", "study-abroad", "visa", "immigration", "toefl", "ielts", "english-proficiency"),
+    "admissions": ("admissions?", "apply", "application", "enrollment", "admitted", "freshman", "first-year", "prospective", "early-decision", "early-action", "acceptance", "accepted-students"),
+    "diversity": ("diversity", "inclusion", "multicultural", "equity", "belonging", "dei"),
+    "academics": ("academics?", "programs?", "majors?", "minors?", "degrees?", "courses?", "curriculum", "departments?", "catalog", "registrar", "honors", "undergraduate-programs?"),
+    "financial_aid": ("financial-?aid", "tuition", "scholarships?", "cost-of-attendance", "net-price", "fafsa", "work-study", "bursar", "billing", "affordability"),
+    "outcomes": ("career-services?", "career-center", "careers?", "outcomes?", "employment", "placement", "internships?", "post-graduation", "alumni-outcomes"),
+    "safety_health": ("campus-safety", "campus-police", "safety", "police", "security", "health-services?", "counseling", "disability", "mental-health", "wellness", "clery", "accessibility"),
+    "about": ("about", "overview", "mission", "history", "fast-facts", "facts-and-figures", "at-a-glance", "rankings", "accreditation", "president", "leadership", "who-we-are"),
+    "campus_life": (
+        "campus", "housing", "dining", "student-life", "residence", "dorms?", "athletics", "clubs?", "greek", "recreation", "student-activities", "student-organizations?", "fraternity", "sorority",
+        "sports",
+    ),
+    "research": ("research", "faculty", "laboratories?", "institute", "publications?"),
+}
+# Links that are not followed, by extension, path, and pattern.
 SKIP_EXTENSIONS = (
     "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "rar", "tar", "gz", "7z", "jpg", "jpeg", "png", "gif", "bmp", "svg", "webp", "mp3", "mp4", "avi", "mov", "wmv", "flv", "webm", "css",
     "js", "xml", "json", "rss", "atom", "exe", "msi", "dmg", "pkg", "deb", "rpm",
@@ -29,9 +32,32 @@ SKIP_PATHS = (
     "/news/archive", "/contact", "/feedback", "/survey",
 )
 SKIP_PATTERNS = (
-    r"\.(pdf|docx?|xlsx?|pptx?|zip|rar|exe|dmg|jpg|jpeg|png|gif|bmp|svg|ico|mp3|mp4|avi|mov|wmv|flv)$", r"/calendar/|/events?/|/news/|/blog/|/login|/register|/admin|/wp-admin|/wp-content",
-    r"facebook\.com|twitter\.com|instagram\.com|linkedin\.com|youtube\.com", r"^mailto:",
-)
+    r".*\.pdf$",
+    r".*\.doc[x]?$",
+    r".*\.xls[x]?$",
+    r".*\.ppt[x]?$",
+    r".*\.zip$",
+    r".*\.rar$",
+    r".*\.exe$",
+    r".*\.dmg$",
+    r".*\.(jpg|jpeg|png|gif|bmp|svg|ico)$",
+    r".*\.(mp3|mp4|avi|mov|wmv|flv)$",
+    r".*/calendar/.*",
+    r".*/events?/.*",
+    r".*/news/.*",
+    r".*/blog/.*",
+    r".*/login.*",
+    r".*/register.*",
+    r".*/admin.*",
+    r".*/wp-admin.*",
+    r".*/wp-content.*",
+    r".*facebook\.com.*",
+    r".*twitter\.com.*",
+    r".*instagram\.com.*",
+    r".*linkedin\.com.*",
+    r".*youtube\.com.*",
+    r"mailto:.*",
+)
 # Endings of educational hosts, and parameters that only track.
 EDUCATIONAL = (
     ".edu", ".ac.uk", ".ac.nz", ".ac.jp", ".ac.za", ".ac.kr", ".ac.in", ".edu.au", ".edu.uk", ".edu.sg", ".edu.cn", ".edu.tw", ".edu.my", ".edu.hk", ".edu.jp", ".edu.br", ".edu.mx", ".edu.co",
@@ -109,7 +135,7 @@ def canonical_key(url: Column) -> Column:
 def page_type(url: Column) -> Column:
     low, out = F.lower(url), None
     for name, words in PAGE_TYPES.items():
-        hit = low.rlike(rf"[/.](?:{'|'.join(words.split())})(/|$|\?|\.)")
+        hit = low.rlike(rf"[/.](?:{'|'.join(words)})(/|$|\?|\.)")
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("other")
 

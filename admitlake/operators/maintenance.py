@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
 
 #: Rows whose weights in a moving average of up to 0.8 of the old value are not nothing.
 MEMORY = 3400
@@ -47,20 +50,26 @@ def delta(before: DataFrame, now: DataFrame, key: str, digest: str) -> DataFrame
     return both.select(key, state.alias("state"))
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, most_depth: int | None = None) -> DataFrame:
-    """Nodes reachable from the seeds with their distance: hop by hop, each hop written to the checkpoint folder."""
-    seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    last, depth = seen, 0
-    while most_depth is None or depth < most_depth:
-        depth += 1
-        found = edges.join(last.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        last = found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
-        if seen.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            last = last.checkpoint()
-        if last.isEmpty():
-            break
-        seen = seen.unionByName(last)
-    return seen
+def frontier(edges: DataFrame, seeds: DataFrame, most_depth: int | None = None, most_nodes: int | None = None) -> DataFrame:
+    """Nodes reachable from the seeds with their distance, hop by hop; each hop is written in the shared folder, so none is computed twice.
+
+    most_nodes: the nearest so many, of the last hop's the smallest; a seed counts, too.
+    """
+    spark, base = seeds.sparkSession, f"{shared_dir(seeds.sparkSession)}/frontier-{uuid.uuid4().hex}"
+    schema, depth, n = None, 0, 0
+    last = seeds.select("node").distinct()
+    while True:
+        if most_nodes is not None:
+            last = last.orderBy("node").limit(max(0, most_nodes - n))
+        last.withColumn("depth", F.lit(depth)).write.parquet(f"{base}/hop={depth}")
+        schema = schema or last.withColumn("depth", F.lit(depth)).schema
+        last = spark.read.schema(schema).parquet(f"{base}/hop={depth}")
+        found = last.count()
+        n, depth = n + found, depth + 1
+        seen = spark.read.schema(schema).parquet(base).select("node", "depth")
+        if not found or most_depth is not None and depth > most_depth or most_nodes is not None and n >= most_nodes:
+            return seen
+        last = edges.join(last.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
 
 
 def failure_runs(log: DataFrame, key: str, order: str, failed: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import catalogue
 from ..functions.scores import capped_gpa, filled_scores
+from .blocks import counted
 from .placing import exact_median, placed
 
 
@@ -67,12 +68,12 @@ def out_of_fold(df: DataFrame, key: str, target: str, fold: Column, strength: fl
     others = cells.withColumns({"os": F.sum("s").over(per_key) - F.col("s"), "on": F.sum("n").over(per_key) - F.col("n")}).join(F.broadcast(totals), "fold")
     mean = (everything.select("s").scalar() - F.col("fs")) / (everything.select("n").scalar() - F.col("fn"))
     coded = others.select(key, "fold", F.when(F.col("on") > 0, (F.col("os") + strength * mean) / (F.col("on") + strength)).otherwise(mean).alias("encoding"))
-    return folded.join(coded, [key, "fold"])
+    return folded.join(counted(coded), [key, "fold"])
 
 
 def sample_weights(df: DataFrame, key: str) -> DataFrame:
     """df with `weight`: one over the square root of the key's frequency, scaled to mean 1."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = counted(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
     mean = counts.agg(F.sum(F.sqrt("n")) / F.sum("n")).scalar()
     return df.join(counts, key).withColumn("weight", 1 / F.sqrt("n") / mean).drop("n")
 

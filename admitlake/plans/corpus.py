@@ -48,7 +48,7 @@ def url_match_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TYPED = "'https://site.example.edu/' || case page_id % 9 when 0 then 'admissions/' when 1 then 'apply?x=1' when 2 then 'study-abroad' when 3 then 'campus-safety/x' when 4 then 'research.html' when 5 then 'about/programs' when 6 then 'transferring' when 7 then 'tuition/net-price' else 'xapplyx' end"
-_TYPES = " ".join(rf"when regexp_matches(u, '[/.](?:{'|'.join(w.split())})(/|$|\?|\.)') then '{n}'" for n, w in urls.PAGE_TYPES.items())
+_TYPES = " ".join(rf"when regexp_matches(u, '[/.](?:{'|'.join(w)})(/|$|\?|\.)') then '{n}'" for n, w in urls.PAGE_TYPES.items())
 
 
 @query("page_type", f"select page_id, case {_TYPES} else 'other' end as page_type from (select page_id, lower({_TYPED}) as u from pages)")
