@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .placing import placed
 
 #: Trees whose margins are computed anew in each job before they are written with the rows.
 PENDING = 16
@@ -335,3 +336,53 @@ def load_boosters(spark: SparkSession, path: str, buckets: list[str]) -> tuple[d
     if missing := set(wanted) - found.keys():
         raise ValueError(f"the manifest names models that are not there: {sorted(missing)}")
     return found, manifest
+
+
+def importance_by_permutation(model: Booster, df: DataFrame, label: str, key: str, repeats: int = 10, low: float = 0.0005, seed: int = 42) -> DataFrame:
+    """(feature, mean, std, is_low): how much worse the log-loss gets when a feature's values are dealt out anew among the rows, over the repeats.
+
+    One order by hash for each repeat, all in one sort by ranges: a row takes the values of the row after it, the
+    last those of the first. Every feature is then tried on the same pair of rows in the same task, so there
+    is one sort and one join, whatever the number of features. Rows are told apart by key.
+    """
+    known = df.where((F.col(label).cast("double") == 0) | (F.col(label).cast("double") == 1))
+    rows = known.select(F.col(key).alias("key"), F.col(label).cast("double").alias("y"), _doubles(model.features).alias("values"))
+    dealt = placed(rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_h", F.xxhash64(F.lit(seed), "turn", "key")), "turn", "_h", "key")
+    dealt = written(dealt.select("turn", "place", "y", "values"))
+    n = known.count()
+    after = F.when(F.col("place") % n == 1 if n > 1 else F.lit(True), F.col("place") + n - 1).otherwise(F.col("place") - 1)
+    pairs = dealt.join(dealt.select(after.alias("place"), F.col("values").alias("other")), "place").select("turn", "y", "values", "other")
+    shared, size = df.sparkSession.sparkContext.broadcast(model), len(model.features)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, sums = shared.value, {}
+
+        def losses(bins: np.ndarray, y: np.ndarray) -> np.ndarray:
+            margin = m.base + sum((t.values(bins) for t in m.trees), np.zeros(len(bins)))
+            p = 1 / (1 + np.exp(-margin))
+            return -np.log(np.clip(np.where(y > 0, p, 1 - p), 1e-15, 1))
+
+        for batch in batches:
+            turn, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own, other = (m.binned(batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)) for k in (2, 3))
+            plain = losses(own, y)
+            for f in range(size):
+                mixed = own.copy()
+                mixed[:, f] = other[:, f]
+                worse = losses(mixed, y) - plain
+                for t in np.unique(turn).tolist():
+                    sums[f, t] = sums.get((f, t), 0.0) + worse[turn == t].sum()
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array(list(sums.values()), pa.float64())], ["f", "turn", "worse"])
+
+    found = pairs.mapInArrow(task, "f int, turn int, worse double").groupBy("f", "turn").agg((F.sum("worse") / max(n, 1)).alias("worse"))
+    told = found.groupBy("f").agg(F.avg("worse").alias("mean"), F.stddev_pop("worse").alias("std"))
+    names = F.array(*map(F.lit, model.features))
+    return told.select(F.element_at(names, F.col("f") + 1).alias("feature"), "mean", "std", (F.col("mean") < low).alias("is_low"))
+
+
+def pooled_by_bucket(models: dict[str, Booster], df: DataFrame, bucket: str, name: str = "score") -> DataFrame:
+    """All rows with the score of their bucket's model, null where there is none, for metrics by bucket and over all."""
+    rest = df.where(F.col(bucket).isNull() | ~F.col(bucket).isin(list(models))).withColumn(name, F.lit(None).cast("double"))
+    for k, model in models.items():
+        rest = rest.unionByName(boosted_scores(model, df.where(F.col(bucket) == k), name))
+    return rest

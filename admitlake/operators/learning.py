@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .placing import placed
 
 #: Buckets that may have a model each.
@@ -110,29 +109,43 @@ def save_models(models: dict[str, PipelineModel], path: str) -> None:
 
 
 def load_models(path: str, buckets: list[str]) -> dict[str, PipelineModel]:
-    """The models that are there; a bucket without one is passed over."""
-    found = {}
+    """The models that are there; a bucket without a folder is passed over, and one that cannot be read is an error."""
+    found, spark = {}, SparkSession.getActiveSession()
     for name in buckets:
-        try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             found[name] = PipelineModel.load(f"{path}/{name}")
-        except (AnalysisException, Py4JJavaError):
-            continue
     return found
 
 
-def calibrate(held: DataFrame, score: str, label: str) -> tuple[str, object]:
-    """Isotonic or logistic calibration, whichever has the lower Brier score on the rows given; its name and model."""
-    rows = held.select(F.col(score).cast("double").alias("x"), F.col(label).cast("double").alias("y"))
+def _calibrations(rows: DataFrame) -> dict[str, object]:
     vector = VectorAssembler(inputCols=["x"], outputCol="v").transform(rows)
-    found = {"isotonic": IsotonicRegression(featuresCol="v", labelCol="y").fit(vector), "sigmoid": LogisticRegression(featuresCol="v", labelCol="y").fit(vector)}
-    losses = {k: calibrated(rows, k, m, "x").agg(F.avg((F.col("calibrated") - F.col("y")) ** 2)).scalar() for k, m in found.items()}
-    losses = vector.select(*[v.alias(k) for k, v in losses.items()]).first()
-    best = min(found, key=lambda k: losses[k])
-    return best, found[best]
+    return {"isotonic": IsotonicRegression(featuresCol="v", labelCol="y").fit(vector), "sigmoid": LogisticRegression(featuresCol="v", labelCol="y").fit(vector), "venn_abers": venn_abers(rows, "x", "y")}
+
+
+def calibrate(held: DataFrame, score: str, label: str, seed: int = 42) -> tuple[str, object]:
+    """Isotonic, logistic or Venn-ABERS calibration: its name and model.
+
+    Half of the rows, by a hash of all their columns, is fitted on; the other half's Brier scores choose; the
+    chosen one is fitted again on all. Scores lie in 0..1; rows without a score are left out. If a half has
+    rows of one label only, the logistic one is taken.
+    """
+    every = held.where(F.col(score).isNotNull())
+    rows = written(every.select(F.col(score).cast("double").alias("x"), F.col(label).cast("double").alias("y"), F.pmod(F.xxhash64(F.lit(seed), *every.columns), F.lit(2)).alias("half")))
+    fit, rest = rows.where("half = 0").select("x", "y"), rows.where("half = 1").select("x", "y")
+    kinds = {tuple(r) for r in rows.groupBy("half", "y").count().select("half", "y").collect()}
+    if len(kinds) < 4:
+        return "sigmoid", _calibrations(rows)["sigmoid"]
+    losses = {k: calibrated(rest, k, m, "x").agg(F.avg((F.col("calibrated") - F.col("y")) ** 2)).first()[0] for k, m in _calibrations(fit).items()}
+    best = min(losses, key=losses.__getitem__)
+    return best, _calibrations(rows)[best]
 
 
 def calibrated(df: DataFrame, kind: str, model, score: str) -> DataFrame:
     """df with the calibrated score."""
+    if kind == "venn_abers":
+        return venn_abers_calibrated(df, model, score).select(*df.columns, "calibrated")
     out = model.transform(VectorAssembler(inputCols=[score], outputCol="v").transform(df))
     p = F.col("prediction") if kind == "isotonic" else vector_to_array("probability")[1]
     return out.withColumn("calibrated", p).select(*df.columns, "calibrated")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from admitlake.operators import boosting, predicting
+from admitlake.operators import boosting, learning, metrics, predicting
 from admitlake.operators.boosting import Settings
 
 NAMES = ["a", "b", "c", "d"]
@@ -153,3 +153,48 @@ def test_constraints_of_the_catalogue(spark, table):
     base = np.full((14, 4), 5.0)
     base[:, 0] = np.arange(14)
     assert (np.diff(sum(t.values(model.binned(base)) for t in model.trees)) >= 0).all()
+
+
+def test_importance_is_the_loss_of_a_shuffle(spark, table):
+    model = boosting.fit_boosted(table, NAMES, "y", settings=Settings(trees=4, depth=3, rate=0.3), groups=[[0, 1]])
+    found = {r["feature"]: r for r in boosting.importance_by_permutation(model, table, "y", "id", repeats=3).collect()}
+    used = {NAMES[f] for t in model.trees for f in t.feature if f >= 0}
+    assert found.keys() == set(NAMES) and all(found[n]["mean"] == 0 and found[n]["is_low"] for n in set(NAMES) - used)
+    rows = table.select("id", "y", *NAMES).toPandas()
+    x = rows[NAMES].to_numpy()
+    hashes = {k: [r[0] for r in table.select(F.xxhash64(F.lit(42), F.lit(k), "id"), "id").orderBy("id").collect()] for k in range(3)}
+
+    def loss(values):
+        p = 1 / (1 + np.exp(-(model.base + sum(t.values(model.binned(values)) for t in model.trees))))
+        return -np.log(np.where(rows["y"] > 0, p, 1 - p)).mean()
+
+    rows = rows.sort_values("id").reset_index(drop=True)
+    x = rows[NAMES].to_numpy()
+    for f, n in enumerate(NAMES):
+        drops = []
+        for k in range(3):
+            order = np.argsort(hashes[k], kind="stable")
+            mixed = x.copy()
+            mixed[order, f] = x[np.roll(order, -1), f]
+            drops.append(loss(mixed) - loss(x))
+        assert found[n]["mean"] == pytest.approx(np.mean(drops), abs=1e-9) and found[n]["std"] == pytest.approx(np.std(drops), abs=1e-9)
+
+
+def test_calibration_is_chosen_on_other_rows_and_buckets_are_pooled(spark, table):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(p), float(rng.random() < p**2)) for i, p in enumerate(rng.random(800))]
+    held = spark.createDataFrame(rows, "id long, p double, y double")
+    kind, model = learning.calibrate(held, "p", "y")
+    assert kind in ("isotonic", "sigmoid", "venn_abers")
+    out = learning.calibrated(held, kind, model, "p")
+    raw, better = out.agg(F.avg((F.col("p") - F.col("y")) ** 2), F.avg((F.col("calibrated") - F.col("y")) ** 2)).first()
+    assert better < raw - 0.01 and out.columns == ["id", "p", "y", "calibrated"]
+    assert learning.calibrate(held.where("y = 1"), "p", "y")[0] == "sigmoid"
+    grid = learning.venn_abers(held, "p", "y")
+    assert learning.calibrated(held, "venn_abers", grid, "p").where("calibrated between 0 and 1").count() == 800
+    bucketed = table.withColumn("bucket", F.when(F.col("id") % 3 == 0, "reach").when(F.col("id") % 3 == 1, "match"))
+    s = Settings(trees=2, depth=2)
+    models = {k: boosting.fit_boosted(bucketed.where(F.col("bucket") == k), NAMES, "y", settings=s) for k in ("reach", "match")}
+    pooled = boosting.pooled_by_bucket(models, bucketed, "bucket")
+    assert pooled.count() == 600 and pooled.where("score is null").count() == 200
+    assert metrics.auc(pooled.where("score is not null"), "score", "y").first()["auc"] > 0.6
