@@ -31,7 +31,7 @@ from .common import bounded_batches, list_array, quoted, with_columns
 
 SPACE = "▁"
 #: Segments whose ids a worker remembers in each of two generations; the older one goes when the newer is full.
-REMEMBERED = 150_000
+REMEMBERED = 30_000
 #: Neighbour pairs whose compatibility a worker remembers.
 REMEMBERED_PAIRS = 300_000
 _NEVER = 1 << 60
