@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, quoted, utf8_parts, with_columns
+from .spans import Outermost
 
 #: The base: phrases of consecutive words and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -206,9 +207,11 @@ def detections(low: str) -> list[tuple[int, int, Rule]]:
     found = [(m.start(), m.end(), k, rule) for k, rule in enumerate(rules()) if not held.isdisjoint(rule.keywords) for m in rule.pattern.finditer(low)]
     found.sort(key=lambda d: (d[3].priority, d[0] - d[1], d[0], d[2]))
     kept: list[tuple[int, int, Rule]] = []
+    outermost = Outermost()
     for start, end, _, rule in found:
-        if not any(a <= start and end <= b for a, b, _ in kept):
+        if not outermost.holds(start, end):
             kept.append((start, end, rule))
+            outermost.add(start, end)
     return sorted(kept, key=lambda d: (d[0], d[1]))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, quoted, with_columns
-from .spans import SPANS, span_array
+from .spans import SPANS, Covered, span_array
 
 #: Kinds in the order that breaks ties at one start; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone")
@@ -87,15 +87,15 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
 def scan(text: str) -> list[tuple[str, int, int, float, bool]]:
     """All spans of a text by start, then kind: base ones, and others that score enough and overlap no span before them."""
     out: list[tuple[str, int, int, float, bool]] = []
-    taken: list[tuple[int, int]] = []
+    taken = Covered()
     for kind, start, end in proposals(text):
         plain, more, _ = SCORES[kind]
         near = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
         score = round(plain + (more if _CONTEXT[kind].search(near) else 0.0), 4)
         base = KINDS.index(kind) < BASE
-        if base or score >= ENOUGH and not any(a < end and start < b for a, b in taken):
+        if base or score >= ENOUGH and not taken.meets(start, end):
             out.append((kind, start, end, score, base))
-            taken.append((start, end))
+            taken.add(start, end)
     out.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return out
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, quoted, with_columns
-from .spans import SPANS, span_array
+from .spans import SPANS, Covered, span_array
 
 #: Kinds in the order that breaks ties at one start; the first three are the base.
 KINDS = ("assign", "access", "hex", "model")
@@ -210,8 +210,11 @@ def scan(texts: list[str], net: Network) -> list[list[tuple[str, int, int, float
     for i, text in enumerate(texts):
         base = base_spans(text)
         out.append([(k, a, b, 1.0, True) for k, a, b in base])
+        taken = Covered()
+        for _, a, b in base:
+            taken.add(a, b)
         for a, b in candidates(text):
-            if not any(s < b and a < e for _, s, e in base):
+            if not taken.meets(a, b):
                 for piece in pieces(a, b):
                     windows.append(window(text, *piece))
                     where.append((i, a, b))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -38,3 +40,41 @@ def scores(spans: str) -> Column:
 
 def base_only(spans: str) -> Column:
     return F.filter(F.col(spans), lambda s: s["base"])
+
+
+class Covered:
+    """The part of a text that spans cover, as intervals apart from each other; asking and adding take logarithmic time, but for moves in a list."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def meets(self, start: int, end: int) -> bool:
+        """Whether a span that is not empty shares a place with one added before."""
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+    def add(self, start: int, end: int) -> None:
+        i, j = bisect_left(self.ends, start), bisect_right(self.starts, end)
+        if i < j:
+            start, end = min(start, self.starts[i]), max(end, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [start], [end]
+
+
+class Outermost:
+    """Spans of which none lies in another, by start; both ends rise."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, start: int, end: int) -> bool:
+        """Whether a span lies in one added before, or is one of them."""
+        k = bisect_right(self.starts, start)
+        return k > 0 and self.ends[k - 1] >= end
+
+    def add(self, start: int, end: int) -> None:
+        """Add a span that none holds; those that it holds go."""
+        i = bisect_left(self.starts, start)
+        j = bisect_right(self.ends, end, i)
+        self.starts[i:j], self.ends[i:j] = [start], [end]
