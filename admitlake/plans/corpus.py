@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import english, pages, text, urls
-from ..operators import cells, maintenance, matching, postings, retrieval
+from ..operators import cells, maintenance, matching, pagerows, postings, retrieval
 from ..operators.placing import placed
 from ..sources import files
 from ..storage import shared_dir, written
@@ -94,14 +94,18 @@ _NESTING = """replace(replace(html, '<article', '<nav><div>a<nav>b</nav>c</div><
 _VOID = ", ".join(f"'{v}'" for v in pages.VOID)
 
 
-@query("html_nested", rf"""with h as (select page_id, {_NESTING} as h from pages), n as (select page_id, regexp_extract_all(h, '{pages.TOKENS}', 1) as l from h), t as (select page_id, unnest(l) as token, generate_subscripts(l, 1) as pos from n),
+def _nested_words(html: str) -> str:
+    """Tables up to x (page_id, pos, piece): the words of the first article, division of content or body of each page, frame parts out."""
+    return rf"""h as (select page_id, {html} as h from pages), n as (select page_id, regexp_extract_all(h, '{pages.TOKENS}', 1) as l from h), t as (select page_id, unnest(l) as token, generate_subscripts(l, 1) as pos from n),
     k as (select *, lower(regexp_extract(token, '^</?([a-zA-Z][a-zA-Z0-9:-]*)', 1)) as name from t), s as (select *, case when name in ('', 'script', 'style', {_VOID}) then 0 when token like '</%' then -1 else 1 end as step from k),
     e as (select *, sum(step) over (partition by page_id, name order by pos) as depth from s), o as (select a.page_id, a.pos, a.name, a.token, min(b.pos) as stop from e a join e b on a.page_id = b.page_id and a.name = b.name and b.pos > a.pos and b.depth < a.depth where a.step = 1 group by all),
-    c as (select page_id, pos, stop from o where name in ('nav', 'footer', 'header')), f as (select o.page_id, case when name = 'article' then 1 when regexp_matches(token, 'class="[^"]*content') then 2 when name = 'body' then 3 end as choice, o.pos, o.stop from o),
+    c as (select page_id, pos, stop from o where name in ('nav', 'footer', 'header')), f as (select o.page_id, case when name = 'article' then 1 when regexp_matches(token, 'class="[^"]*\bcontent\b') then 2 when name = 'body' then 3 end as choice, o.pos, o.stop from o),
     w as (select f.* from f where choice is not null and not exists (select 1 from c where c.page_id = f.page_id and f.pos >= c.pos and f.pos < c.stop) qualify row_number() over (partition by page_id order by choice, pos) = 1),
     x as (select w.page_id, e.pos, trim(regexp_replace(replace(replace(replace(replace(token, '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '\s+', ' ', 'g')) as piece from w join e on e.page_id = w.page_id and e.pos >= w.pos and e.pos < w.stop
-        where token not like '<%' and not exists (select 1 from c where c.page_id = e.page_id and e.pos >= c.pos and e.pos < c.stop))
-    select p.page_id, coalesce((select string_agg(piece, ' ' order by pos) from x where x.page_id = p.page_id and piece <> ''), '') as content from pages p""")
+        where token not like '<%' and not exists (select 1 from c where c.page_id = e.page_id and e.pos >= c.pos and e.pos < c.stop))"""
+
+
+@query("html_nested", f"with {_nested_words(_NESTING)} select p.page_id, coalesce((select string_agg(piece, ' ' order by pos) from x where x.page_id = p.page_id and piece <> ''), '') as content from pages p")
 def html_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main content of pages whose parts lie inside each other."""
     nested = _pages(spark, sf_dir).select("page_id", F.expr(_NESTING).alias("html"))
@@ -154,6 +158,27 @@ def valid_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.is_valid_content(F.col("text")).alias("valid"))
 
 
+_FETCHED = "case page_id % 6 when 1 then '<html><title></title><body><p>' || repeat('word ', (page_id % 60)::int) || '</p></body></html>' when 2 then '<div>no body</div><a href=\"/x\">x</a>' when 5 then replace(html, '<title>', '<title>' || repeat('Long ', 60)) else html end"
+_FETCHED_URL = "case when page_id % 2 = 0 then 'https://www.college.edu/portal/' || page_id when page_id % 3 = 1 then 'https://www.college.edu/' || page_id else url end"
+_HEADING = r"coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), ''), trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')))"
+_SQUEEZED = r"left(sha256(regexp_replace(lower(content), '\s+', ' ', 'g')), 16)"
+
+
+@query("page_rows", rf"""with {_nested_words(_FETCHED)}, m as (select p.page_id, {_FETCHED} as html, {_FETCHED_URL} as url, case page_id % 7 when 0 then 'application/pdf' when 1 then null else 'Text/HTML; charset=utf-8' end as mime,
+        coalesce((select string_agg(piece, ' ' order by pos) from x where x.page_id = p.page_id and piece <> ''), '') as main from pages p),
+    r as (select page_id, html, url, mime, main, {_CLEAN.replace('text', 'main')} as content, left({_CLEAN.replace('text', _HEADING)}, 200) as title from m),
+    v as (select *, len(list_filter(string_split_regex(content, '\s+'), lambda w: w <> '')) as words, url like '%.edu/%' and regexp_matches(html, 'href="/') as linked,
+        len(regexp_extract_all(lower(html), '<script\b')) as s, len(regexp_extract_all(lower(html), '<[a-z][^>]*>')) as t from r), u as (select *, length(content) < 100 or words < 50 as short, s >= 30 or s / greatest(t, 1) >= 0.25 as heavy from v)
+    select page_id, title, words as word_count, {_SQUEEZED} as content_hash, short as insufficient, linked, case when mime = 'application/pdf' then 'content type' when main = '' then 'no content' when short and heavy then 'scripts' when short and (words < 10 or length(content) < 50) then 'very little content'
+        when short and title = '' then 'no title' when short and words < 25 then 'little content' when not linked and heavy then 'scripts and no links' when not linked and short then 'short content and no links' when not linked and url like '%/portal/%' then 'no links at a dynamic address' end as render from u""")
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, some of them short, bare, long-titled or of another kind, as rows of a corpus."""
+    html = _FETCHED.replace("(page_id % 60)::int", "int(page_id % 60)")
+    mime = F.expr("case page_id % 7 when 0 then 'application/pdf' when 1 then null else 'Text/HTML; charset=utf-8' end")
+    rows = pagerows.page_rows(_pages(spark, sf_dir).select("page_id", F.expr(_FETCHED_URL).alias("url"), F.expr(html).alias("html"), mime.alias("mime")))
+    return rows.select("page_id", "title", "word_count", "content_hash", "insufficient", (F.size("links") > 0).alias("linked"), "render")
+
+
 @query("content_insufficient", r"select doc_id, length(trim(text)) < 100 or len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) < 50 as insufficient from documents")
 def content_insufficient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.is_insufficient(F.col("text")).alias("insufficient"))
