@@ -46,3 +46,24 @@ def confusion(df: DataFrame, p: str, y: str, threshold: float = 0.5) -> DataFram
 def pareto_pick(df: DataFrame, limit: str, value: str, key: str) -> DataFrame:
     """The key with the least value among rows whose limit is not above the median; of equals the smallest key."""
     return df.where(F.col(limit) <= exact_median(df, limit)).agg(F.min_by(key, F.struct(value, key)).alias(key), F.min(value).alias(value))
+
+
+def class_report(df: DataFrame, p: str, y: str, threshold: float = 0.5) -> DataFrame:
+    """(name, precision, recall, f1, support) of each class, '0' and '1', and their plain and weighted means, 'macro' and 'weighted'; a share of nothing is 0.
+
+    Rows whose label is neither, or without a probability, count for none. Four counts come out of the rows; the rest follows from them.
+    """
+    said, is_one = F.col(p) >= threshold, F.col(y) == 1
+    known = df.where(F.col(y).isin(0, 1) & F.col(p).isNotNull())
+    n = known.agg(*[F.count_if(c).cast("double").alias(k) for k, c in (("tp", said & is_one), ("fp", said & ~is_one), ("fn", ~said & is_one), ("tn", ~said & ~is_one))])
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+    def one(name: str, hit: str, wrong: str, missed: str):
+        h, w, m = F.col(hit), F.col(wrong), F.col(missed)
+        return F.struct(F.lit(name).alias("name"), share(h, h + w).alias("precision"), share(h, h + m).alias("recall"), share(2 * h, 2 * h + w + m).alias("f1"), (h + m).alias("support"))
+
+    both = n.select(one("0", "tn", "fn", "fp").alias("a"), one("1", "tp", "fp", "fn").alias("b"))
+    total = F.col("a.support") + F.col("b.support")
+    mean = lambda name, wa, wb: F.struct(F.lit(name).alias("name"), *[share(wa * F.col(f"a.{k}") + wb * F.col(f"b.{k}"), wa + wb).alias(k) for k in ("precision", "recall", "f1")], total.alias("support"))
+    rows = F.array("a", "b", mean("macro", F.lit(1.0), F.lit(1.0)), mean("weighted", F.col("a.support"), F.col("b.support")))
+    return both.select(F.inline(rows)).withColumn("support", F.col("support").cast("long"))

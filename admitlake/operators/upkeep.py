@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import canonical_key
+from .placing import placed
+
 
 def duplicate_report(df: DataFrame, group: str, url: str, digest: str) -> DataFrame:
     """Per group: rows, addresses of two rows or more with a repeated digest, and rows beyond the first of each (address, digest). Blank addresses count as one."""
@@ -116,3 +119,27 @@ def options(names: DataFrame, typed: str, chosen: DataFrame, most: int = 100) ->
     """Names that hold what is typed, in any case, without those chosen already, in order whatever their case; the first `most`."""
     found = names.select("name").distinct().where(F.lower("name").contains(typed.lower()))
     return found.join(chosen.select("name"), "name", "left_anti").orderBy(F.lower("name"), "name").limit(most)
+
+
+def renamed_by_url(known: DataFrame, other: DataFrame) -> DataFrame:
+    """(name, other_name, key): rows of known and other (name, url, place) that share an address, under names which differ by more than case.
+
+    Addresses are compared by canonical_key; of several rows of other with one address the first by place counts. Rows without an address meet none.
+    """
+    key = F.nullif(canonical_key(F.col("url")), F.lit(""))
+    first = other.select(key.alias("key"), "name", "place").where("key is not null").groupBy("key").agg(F.min_by("name", F.struct("place", "name")).alias("other_name"))
+    rows = known.select("name", key.alias("key")).join(first, "key").where(F.lower("name") != F.lower("other_name"))
+    return rows.select("name", "other_name", "key")
+
+
+def option_list(rows: DataFrame, column: str, fallback: tuple[str, ...]) -> DataFrame:
+    """The distinct trimmed values of a column that are not blank, as `option`; if there are none, the fallback."""
+    found = rows.select(F.trim(column).alias("option")).where("option <> ''").distinct()
+    none = found.limit(1).agg(F.count(F.lit(1)).alias("n"))
+    spare = none.where("n = 0").select(F.explode(F.array(*map(F.lit, fallback))).alias("option"))
+    return found.unionByName(spare)
+
+
+def skipped_first(work: DataFrame, done: DataFrame, key: str, size: str) -> DataFrame:
+    """What of the work is done already, with its `place` by rising size, those without a size first; of equals by key."""
+    return placed(work.join(done.select(key).distinct(), key, "left_semi"), F.asc_nulls_first(size), key)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import routing, text, urls
 from ..functions.scores import GRADE_POINTS, grade_ordinal, lookup, proxy_score
-from ..operators import entities, upkeep
+from ..operators import entities, metrics, upkeep
 from ..sources import grades, nested
-from .corpus import _HOST
+from .corpus import _HOST, _KEY
 from .registry import query, table
 
 
@@ -286,3 +286,41 @@ def labelled_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.expr("case event_id % 4 when 0 then concat(event_id % 50, '%') when 1 then concat('$', event_id, '/yr') else ' Urban ' end")
     found = table(spark, sf_dir, "events").select("event_id", grades.number_of(label, raw).alias("f"))
     return found.select("event_id", "f.field", "f.number", F.col("f.text").alias("label"))
+
+
+@query("renamed_by_url", rf"""with a as (select 'Page ' || page_id as name, {_KEY} as key from pages), o as (select case when page_id % 3 = 0 then 'PAGE ' || page_id else 'page no ' || page_id end as name, {_KEY} as key, page_id as place from pages
+        union all select 'later', {_KEY}, page_id + 100000 from pages), f as (select key, arg_min(name, place) as other_name from o where key <> '' group by key)
+    select name, other_name, key from a join f using (key) where lower(name) <> lower(other_name)""")
+def renamed_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose address another list has under another name."""
+    rows = table(spark, sf_dir, "pages")
+    name = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("PAGE "), "page_id")).otherwise(F.concat(F.lit("page no "), "page_id"))
+    other = rows.select(name.alias("name"), "url", F.col("page_id").alias("place")).unionByName(rows.select(F.lit("later").alias("name"), F.concat(F.regexp_replace("url", "^http:", "https:"), F.lit("#again")).alias("url"), (F.col("page_id") + 100000).alias("place")))
+    return upkeep.renamed_by_url(rows.select(F.concat(F.lit("Page "), "page_id").alias("name"), "url"), other)
+
+
+@query("option_list", "select distinct 'all' as list, trim(p_type) as option from part where trim(p_type) <> '' union all select 'none', unnest(['First College', 'Second College'])")
+def option_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of parts as options; and of a list whose values are all blank, what is offered instead."""
+    rows, spare = table(spark, sf_dir, "part"), ("First College", "Second College")
+    full = upkeep.option_list(rows, "p_type", spare).select(F.lit("all").alias("list"), "option")
+    return full.unionByName(upkeep.option_list(rows.select(F.repeat(F.lit(" "), F.col("p_size")).alias("blank")), "blank", spare).select(F.lit("none").alias("list"), "option"))
+
+
+@query("skipped_first", "select c_custkey, row_number() over (order by case when c_custkey % 10 <> 0 then c_acctbal end asc nulls first, c_custkey) as place from customer where c_custkey in (select o_custkey from orders)")
+def skipped_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose orders are there already, by rising balance."""
+    work = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 != 0, F.col("c_acctbal")).alias("size"))
+    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return upkeep.skipped_first(work, done, "c_custkey", "size").select("c_custkey", "place")
+
+
+@query("class_report", """with q as (select (doc_id * 7919 % 101) / 100.0::double as p, toxic as y from labels), n as (select count(*) filter (where p >= 0.5 and y = 1)::double as tp, count(*) filter (where p >= 0.5 and y = 0)::double as fp, count(*) filter (where p < 0.5 and y = 1)::double as fn, count(*) filter (where p < 0.5 and y = 0)::double as tn from q),
+    c as (select '0' as name, tn / (tn + fn) as precision, tn / (tn + fp) as recall, 2 * tn / (2 * tn + fn + fp) as f1, tn + fp as support from n union all select '1', coalesce(tp / nullif(tp + fp, 0), 0), coalesce(tp / nullif(tp + fn, 0), 0), coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), tp + fn from n),
+    r as (select * from c union all select 'macro', avg(precision), avg(recall), avg(f1), sum(support) from c union all select 'weighted', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) from c)
+    select name, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support::bigint as support from r""")
+def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a score by rule tells toxic documents, class by class."""
+    rows = table(spark, sf_dir, "labels").select((F.col("doc_id") * 7919 % 101 / 100).alias("p"), F.col("toxic").alias("y"))
+    found = metrics.class_report(rows, "p", "y")
+    return found.select("name", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
