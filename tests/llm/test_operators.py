@@ -629,16 +629,17 @@ def test_queries_agree_with_sql(name, spark, duck):
 
 
 def test_pipeline_against_brute_force(spark):
-    """Each stage's decisions, taken again by brute force from the same stage's input, lead to the same documents."""
+    """Each stage's decisions, taken again by brute force from the same stage's whole input, lead to the same documents; run() gives the same rows."""
     import corpus_pipeline
 
     bench = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         before = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
         after = stage(spark, docs, SF)
         if name == "sentencepiece":
-            assert sorted((r["doc_id"], r["decoded_sha256"]) for r in after.collect()) == sorted((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in before)
+            last = sorted(tuple(r) for r in after.collect())
+            assert [(r[0], r[3]) for r in last] == sorted((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in before)
             break
         assert after.columns == list(corpus_pipeline.COLUMNS)
         got = sorted(((r["doc_id"], r["text"]) for r in after.collect()), key=str)
@@ -647,5 +648,31 @@ def test_pipeline_against_brute_force(spark):
         elif name == "decontamination":
             assert got == sorted([(i, t) for i, t in before if not brute_windows(t, bench)[1]], key=str)
         elif name == "language_id":
-            assert len(got) >= 0.95 * len(before)
+            found = {r["doc_id"]: r for r in langid.identify_language(docs).collect()}
+            assert got == [(i, t) for i, t in before if found[i]["language"] != langid.UNKNOWN and found[i]["probability"] >= langid.ENOUGH] and len(got) >= 0.95 * len(before)
+        elif name == "near_dedup":
+            stay = brute_copies(before)
+            assert set(got) >= {(i, t) for i, t in before if i in stay} and len(got) - len(stay) <= 0.1 * (len(before) - len(stay))
         docs = spark.createDataFrame(after.toPandas(), "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == last
+
+
+def brute_copies(rows):
+    """The smallest id of each class of texts that pairs of a similarity of 0.8 in five-word shingles join."""
+    def shingles(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.translate(LOWER)) if w]
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [(i, shingles(t or "")) for i, t in rows]
+    group = {i: i for i, _ in sets}
+    for _ in sets:
+        changed = False
+        for i, a in sets:
+            for j, b in sets:
+                if group[i] != group[j] and (a == b or len(a & b) >= 0.8 * len(a | b) > 0):
+                    low, high = sorted((group[i], group[j]))
+                    group = {k: low if g == high else g for k, g in group.items()}
+                    changed = True
+        if not changed:
+            break
+    return set(group.values())
