@@ -98,11 +98,19 @@ def alias_matches(questions: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def name_matches(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """(question_id, start, end, name) of names (key, name) that stand in a question, each at its first place."""
+    """(question_id, start, end, name) of names (key, name) that stand in a question, each at its first place.
+
+    A name is looked for by the run of HEAD letters in it that the fewest names have, so that common words of
+    names bring no question together with all of them; a shorter name by the whole of it.
+    """
     low = questions.select("question_id", F.lower("text").alias("low")).where("low <> ''")
-    known = names.select(F.lower("key").alias("key"), "name").where("key <> ''")
+    known = written(names.select(F.lower("key").alias("key"), "name").where("key <> ''").distinct())
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key") - HEAD + 1, F.lit(1))), lambda k: F.substring(F.col("key"), k, F.lit(HEAD))))
+    every = known.select("key").distinct().select("key", F.explode(runs).alias("head"))
+    often = every.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    rarest = every.join(often, "head").groupBy("key").agg(F.min(F.struct("n", "head"))["head"].alias("head"))
     heads = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("low")), lambda k: F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda n: F.substring(F.col("low"), k, n)))))
-    found = low.select("question_id", "low", F.explode(heads).alias("head")).join(known.withColumn("head", F.substring("key", 1, HEAD)), "head")
+    found = low.select("question_id", "low", F.explode(heads).alias("head")).join(rarest.join(known, "key"), "head")
     start = F.instr("low", F.col("key")) - 1
     return found.where(start >= 0).select("question_id", start.alias("start"), (start + F.length("key")).alias("end"), "name")
 
