@@ -31,7 +31,7 @@ from .common import bounded_batches, list_array, quoted, with_columns
 
 SPACE = "▁"
 #: Segments whose ids a worker remembers in each of two generations; the older one goes when the newer is full.
-REMEMBERED = 30_000
+REMEMBERED = 150_000
 #: Neighbour pairs whose compatibility a worker remembers.
 REMEMBERED_PAIRS = 300_000
 _NEVER = 1 << 60
@@ -125,13 +125,14 @@ def _last_merge(piece: str, ranks: dict[str, int]) -> tuple[str, str] | None:
 class Codec:
     """Encodes and decodes with one model's tables; remembers segments up to a bound."""
 
-    def __init__(self, tables: dict) -> None:
+    def __init__(self, tables: dict, remembered: int = REMEMBERED) -> None:
         self.__dict__.update({k: tables[k] for k in ("pieces", "octets", "runs", "rank", "first", "second", "pair", "found", "space")})
         self.automaton = ahocorasick.Automaton()
         for p, i in self.found.items():
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.known = {p for p in self.found if len(p) == 1}
+        self.remembered = remembered
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
@@ -226,7 +227,7 @@ class Codec:
                 ids = (self.seen.get(head) or self.remember(head)) + self._bare(unit[cut.end() - 1 :])
             else:
                 ids = array("i", self.segment(SPACE + unit)).tobytes()
-        if len(self.seen) >= REMEMBERED:
+        if len(self.seen) >= self.remembered:
             self.older, self.seen = self.seen, {}
         self.seen[unit] = ids
         return ids
@@ -239,7 +240,7 @@ class Codec:
                 ids = self._bare(s[: cut.end() - 1]) + self._bare(s[cut.end() - 1 :])
             else:
                 ids = array("i", self.segment(s)).tobytes()
-            if len(self.bare) >= REMEMBERED // 4:
+            if len(self.bare) >= self.remembered // 4:
                 self.bare.clear()
             self.bare[s] = ids
         return ids
@@ -314,15 +315,16 @@ def _characters(octets: bytes) -> str:
     return "".join(out)
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, int], Codec] = {}
 
 
-def codec(tables: dict) -> Codec:
+def codec(tables: dict, remembered: int = REMEMBERED) -> Codec:
     """The worker's codec for these tables, kept from task to task."""
-    if tables["mark"] not in _codecs:
+    key = (tables["mark"], remembered)
+    if key not in _codecs:
         _codecs.clear()
-        _codecs[tables["mark"]] = Codec(tables)
-    return _codecs[tables["mark"]]
+        _codecs[key] = Codec(tables, remembered)
+    return _codecs[key]
 
 
 def _ids(texts: Iterable[str | None], made: Codec) -> tuple[np.ndarray, list[int]]:
@@ -330,14 +332,15 @@ def _ids(texts: Iterable[str | None], made: Codec) -> tuple[np.ndarray, list[int
     return np.frombuffer(b"".join(packed), "<i4"), [len(p) // 4 for p in packed]
 
 
-def encode_pieces(df: DataFrame, model: str | Path, text: str = "text", ids: str = "piece_ids", decoded: str = "piece_text") -> DataFrame:
+def encode_pieces(df: DataFrame, model: str | Path, text: str = "text", ids: str = "piece_ids", decoded: str = "piece_text", remembered: int = REMEMBERED) -> DataFrame:
     """df with the ids of each whole text and the text that these ids decode to.
 
     model: path of a merge-type SentencePiece model with byte fallback, identity normalisation and
     no removal of extra white space; it is read on the driver and its tables (a few MB, fixed by the
     vocabulary) are broadcast. No begin or end ids. A null or empty text gives no ids and an empty
     decoded text. Rows stay as they are, repeated ones included; old columns named like the new
-    ones give way. One pass without a shuffle.
+    ones give way. One pass without a shuffle. remembered: segments whose ids a worker keeps in each
+    of two generations; fewer take less memory and more time.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -345,7 +348,7 @@ def encode_pieces(df: DataFrame, model: str | Path, text: str = "text", ids: str
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def run(texts: pa.Array) -> pa.Array:
-        made = codec(shared.value)
+        made = codec(shared.value, remembered)
         values, sizes = _ids(texts.to_pylist(), made)
         at, back = 0, []
         for n in sizes:
