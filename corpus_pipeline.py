@@ -13,6 +13,8 @@ from admitlake.llm import decontam, langid, lines, pieces, queries, simhash
 from admitlake.llm.common import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Segments that the encoder's workers remember here, where earlier stages' memory is still theirs.
+REMEMBERED = 30_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's number of ids and the digests of its ids and of the text they decode to."""
-    return queries.piece_digests(pieces.encode_pieces(docs, queries._model_path()))
+    return queries.piece_digests(pieces.encode_pieces(docs, queries._model_path(), remembered=REMEMBERED))
 
 
 STAGES = [
