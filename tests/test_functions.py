@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from admitlake.functions import scores, text, urls
@@ -69,3 +71,12 @@ def test_frontier_and_delta(spark):
     assert found == {1: 0, 2: 1, 3: 2}
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, h string"), spark.createDataFrame([(1, "a"), (3, "c")], "k int, h string")
     assert {tuple(r) for r in maintenance.delta(old, new, "k", "h").collect()} == {(1, "unchanged"), (2, "gone"), (3, "new")}
+
+
+def test_sentences_of_a_long_text_take_no_square_of_their_number(spark):
+    n = 20_000
+    long = ". ".join(f"Sentence number {k % (n // 2)}" for k in range(n)) + "."
+    start = time.monotonic()
+    (got,) = spark.createDataFrame([(long,)], "t string").select(text.unique_sentences(F.col("t"))).first()
+    assert got == ". ".join(f"Sentence number {k}" for k in range(n // 2)) + "."
+    assert time.monotonic() - start < 60
