@@ -73,15 +73,15 @@ def _elements(tokens: Column, what) -> Column:
     return F.aggregate(tags, nothing, step, lambda s: F.concat(s["done"], closed(s["stack"], F.size(tokens))))
 
 
-def _words(tokens: Column, cuts: Column, start: Column, end: Column) -> Column:
+def _words(tokens: Column, cuts: Column, start: Column, end: Column, closed: bool) -> Column:
     """The text between two places outside the cuts: its pieces trimmed, blank ones left out, joined by spaces."""
     pieces = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
     inside = F.filter(pieces, lambda p: (p["i"] >= start) & (p["i"] < end) & ((p["t"] == "<") | ~p["t"].startswith("<")) & ~F.exists(cuts, lambda c: (p["i"] >= c["start"]) & (p["i"] < c["end"])))
-    told = F.transform(inside, lambda p: F.trim(F.regexp_replace(unescaped(p["t"]), r"(?U)^\s+|\s+$", "")))
+    told = F.transform(inside, lambda p: F.trim(F.regexp_replace(unescaped(p["t"], closed), r"(?U)^\s+|\s+$", "")))
     return F.array_join(F.filter(told, lambda t: t != ""), " ")
 
 
-def _content(html: Column, cut, choices: list, whole: bool) -> Column:
+def _content(html: Column, cut, choices: list, whole: bool, closed: bool = False) -> Column:
     """The words of the first element of the first choice that has one and, if `whole`, else of the page."""
     def what(name: Column, tag: Column) -> Column:
         bits = sum((F.when(choice(name, tag), 1 << k).otherwise(0) for k, choice in enumerate(choices)), F.lit(0))
@@ -101,20 +101,21 @@ def _content(html: Column, cut, choices: list, whole: bool) -> Column:
         listed = [first(k) for k in range(len(choices))]
         *most, body = listed if not whole else [*listed, F.struct(F.lit(0).alias("start"), F.size(tokens).alias("end"))]
         chosen = F.coalesce(*most) if most else F.lit(None)
-        words = F.transform(F.array(chosen, body), lambda e: F.when(e.isNotNull(), _words(tokens, cuts, e["start"], e["end"])))
+        words = F.transform(F.array(chosen, body), lambda e: F.when(e.isNotNull(), _words(tokens, cuts, e["start"], e["end"], closed)))
         return F.transform(F.array(words), lambda w: F.coalesce(F.nullif(w[0], F.lit("")), w[1], F.lit("")))[0]
 
     elements = lambda t: F.struct(t.alias("tokens"), _elements(t, what).alias("found"))
     return F.transform(F.transform(F.array(tokens), elements), read)[0]
 
 
-def main_by_selectors(html: Column) -> Column:
+def main_by_selectors(html: Column, closed: bool = False) -> Column:
     """The words of the first element that a selector of SELECTORS means, the selectors in order; if there is none or it is blank, those of the body, else nothing.
 
-    Scripts, styles and the parts in FRAME are out, each to its own end. Null gives an empty text.
+    Scripts, styles and the parts in FRAME are out, each to its own end. Null gives an empty text. closed: an entity
+    without its semicolon is text; else it counts as a browser has it.
     """
     choices = [lambda n, t, s=s: selected(n, t, s) for s in (*SELECTORS, "body")]
-    return _content(html, lambda n, _: n.isin(*FRAME), choices, whole=False)
+    return _content(html, lambda n, _: n.isin(*FRAME), choices, whole=False, closed=closed)
 
 
 def main_by_names(html: Column) -> Column:

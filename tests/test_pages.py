@@ -137,3 +137,20 @@ def test_long_page(spark):
     page = "<body>" + "<div class='content'><p>word</p>" * 300 + "<nav>" + "<ul><li>x</li></ul>" * 2000 + "</nav>" + "</div>" * 300
     got = spark.createDataFrame([(page,)], "html string").select(pages.main_by_selectors(F.col("html"))).first()[0]
     assert got == " ".join(["word"] * 300)
+
+
+@pytest.mark.parametrize("name", ["html_nested", "page_rows"])
+def test_entities_without_a_semicolon_are_text_as_in_the_sql(name, spark, tmp_path):
+    import duckdb
+
+    from admitlake.plans import QUERIES, SQL
+
+    html = "<html><head><title>One &amp two</title></head><body><article><h1>Three &amp</h1><p>four &ampfive &amp;&amp six &copy seven &copy; eight</p></article></body></html>"
+    at = f"{tmp_path}/pages.parquet"
+    duckdb.sql(f"copy (select page_id::bigint as page_id, 'https://a.org/' || page_id as url, '{html}' as html from range(1, 13) t(page_id)) to '{at}' (format parquet)")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{at}'")
+    got = QUERIES[name](spark, str(tmp_path)).toPandas()
+    columns = sorted(got.columns)
+    told = lambda frame: sorted(tuple(str(v) for v in r) for r in frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False))
+    assert told(got) == told(con.sql(SQL[name]).df())
