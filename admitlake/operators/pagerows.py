@@ -15,9 +15,9 @@ CHARACTERS, WORDS, TITLE = 100, 50, 200
 DYNAMIC = ("/app/", "/dashboard/", "/portal/", "/admin/")
 
 
-def page_title(html: Column) -> Column:
+def page_title(html: Column, closed: bool = False) -> Column:
     """The title, else the first heading, cleaned and cut to TITLE characters; empty without either."""
-    return F.coalesce(F.substring(clean_text(title(html)), 1, TITLE), F.lit(""))
+    return F.coalesce(F.substring(clean_text(title(html), closed=closed), 1, TITLE), F.lit(""))
 
 
 def render_reason(mime: Column, main: Column, content: Column, heading: Column, js_heavy: Column, n_links: Column, url: Column, aggressive: bool = False) -> Column:
@@ -37,14 +37,15 @@ def render_reason(mime: Column, main: Column, content: Column, heading: Column,
     return out
 
 
-def page_rows(pages: DataFrame, aggressive: bool = False) -> DataFrame:
+def page_rows(pages: DataFrame, aggressive: bool = False, closed: bool = False) -> DataFrame:
     """pages (url, html, mime and others) with title, content, links, word_count, content_hash, page_type, render and insufficient.
 
     Null html is an empty page. Old columns of these names give way. One pass without a shuffle.
+    closed: an entity without its semicolon is text.
     """
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
-    read = pages.withColumns({"title": page_title(html), "_main": main_by_selectors(html), "links": F.coalesce(page_links(html, url), F.array().cast("array<string>")), "_heavy": is_js_heavy(html, url), "page_type": page_type(url)})
-    read = read.withColumn("content", F.coalesce(clean_text(F.col("_main")), F.lit("")))
+    read = pages.withColumns({"title": page_title(html, closed), "_main": main_by_selectors(html, closed), "links": F.coalesce(page_links(html, url), F.array().cast("array<string>")), "_heavy": is_js_heavy(html, url), "page_type": page_type(url)})
+    read = read.withColumn("content", F.coalesce(clean_text(F.col("_main"), closed=closed), F.lit("")))
     told = read.withColumns({
         "word_count": word_count(F.col("content")), "content_hash": content_hash(F.col("content")), "insufficient": is_insufficient(F.col("content"), CHARACTERS, WORDS),
         "render": render_reason(F.col("mime"), F.col("_main"), F.col("content"), F.col("title"), F.col("_heavy"), F.size("links"), url, aggressive),
