@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import time
 
+from conftest import SF
 from pyspark.sql import functions as F
 
 from admitlake.functions import scores, text, urls
 from admitlake.operators import maintenance, metrics, retrieval
+from admitlake.plans import QUERIES
 
 
 def one(spark, *columns):
@@ -80,3 +82,15 @@ def test_sentences_of_a_long_text_take_no_square_of_their_number(spark):
     (got,) = spark.createDataFrame([(long,)], "t string").select(text.unique_sentences(F.col("t"))).first()
     assert got == ". ".join(f"Sentence number {k}" for k in range(n // 2)) + "."
     assert time.monotonic() - start < 60
+
+
+def test_counted_words(spark):
+    words = F.array(*map(F.lit, ["b", "a", "b", "c", "a", "b"]))
+    (got, none, null) = one(spark, text.counted(words), text.counted(F.array().cast("array<string>")), text.counted(F.lit(None).cast("array<string>")))
+    assert [tuple(r) for r in got] == [("a", 2, 1), ("b", 3, 0), ("c", 1, 3)]
+    assert (none, null) == ([], None)
+
+
+def test_keywords_by_document_hold_no_more_than_a_document(spark):
+    plan = QUERIES["keywords_by_document"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan
