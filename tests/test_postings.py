@@ -84,3 +84,12 @@ def test_blocks_skipped_on_the_tables(spark, tmp_path):
     postings.build_postings(docs, path, span=16)
     assert hits(postings.search_postings(spark, path, queries, 10, seen=seen)) == hits(retrieval.bm25_topk(docs, queries, 10))
     assert seen["read"] < seen["blocks"]
+
+
+def test_more_words_are_held_by_more_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "HELD", 100)
+    docs = spark.createDataFrame([(k, " ".join(f"w{k * j % 97}" for j in range(60))) for k in range(50)], "id long, text string")
+    postings.build_postings(docs, str(tmp_path))
+    files = spark.read.parquet(f"{tmp_path}/blocks")
+    assert files.select(F.input_file_name()).distinct().count() > 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert files.groupBy("term", "span").count().where("count > 1").isEmpty()
