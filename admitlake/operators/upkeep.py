@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import canonical_key
+from ..storage import tasks_for
 from .placing import placed
 
 
 def duplicate_report(df: DataFrame, group: str, url: str, digest: str) -> DataFrame:
-    """Per group: rows, addresses of two rows or more with a repeated digest, and rows beyond the first of each (address, digest). Blank addresses count as one."""
-    each = df.groupBy(group, F.coalesce(url, F.lit("")).alias("_url"), digest).agg(F.count(F.lit(1)).alias("n"))
+    """Per group: rows, addresses of two rows or more with a repeated digest, and rows beyond the first of each (address, digest). Blank addresses count as one. Rows are shuffled once by address, to as many tasks as their size asks for."""
+    rows = df.select(group, F.coalesce(url, F.lit("")).alias("_url"), digest)
+    each = rows.repartition(tasks_for(df), group, "_url").groupBy(group, "_url", digest).agg(F.count(F.lit(1)).alias("n"))
     by_url = each.groupBy(group, "_url").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("extra"))
     return by_url.groupBy(group).agg(
         F.sum("n").alias("total"), F.sum((F.col("extra") > 0).cast("long")).alias("urls_with_duplicates"), F.sum("extra").alias("duplicates"), F.count(F.lit(1)).alias("unique_urls")

@@ -94,3 +94,23 @@ def test_counted_words(spark):
 def test_keywords_by_document_hold_no_more_than_a_document(spark):
     plan = QUERIES["keywords_by_document"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Window" not in plan
+
+
+def test_small_tables_are_dealt_to_all_cores_and_texts_cleaned_once(spark):
+    plan = lambda name: QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("school_block", "scatter_points"):
+        assert "RepartitionByExpression" in plan(name)
+    assert plan("scatter_points").count("from_json") == 1
+    assert plan("valid_content").count("<script.*?</script>") == 1
+
+
+def test_tasks_grow_with_the_input(spark, monkeypatch):
+    from admitlake import storage
+
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert storage.tasks_for(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(storage, "HELD", 1 << 10)
+    for name in ("duplicate_report", "delete_duplicates"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan()
+        assert "RepartitionByExpression" in plan.toString() and "Window" not in plan.toString()
+    assert storage.tasks_for(rows) > 100
