@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import routing, text, urls
 from ..functions.scores import GRADE_POINTS, grade_ordinal, lookup, proxy_score
-from ..operators import entities, metrics, upkeep
+from ..operators import entities, maintenance, metrics, upkeep
 from ..sources import grades, nested
+from ..storage import tasks_for
 from .corpus import _HOST, _KEY
 from .registry import query, table
 
@@ -39,17 +40,14 @@ def duplicates_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e as (select college, coalesce(url, '') as url, digest, count(*) as n from k group by all) select college, sum(n)::bigint as final_count, count(distinct url) as unique_urls, (sum(n - 1) > 10000)::boolean as too_many from e group by college""")
 def delete_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the store holds after its duplicates are deleted, the newest of each kept. (Ids repeat in this fixture, so a kept id may stand more than once.)"""
-    rows = _records(spark, sf_dir)
-    order = [F.desc("crawled_at"), F.desc("id")]
-    kept = rows.join(rows.join(upkeep.extra_rows(rows, ["college", "url", "digest"], order).select("id"), "id", "left_anti").select("id").unionByName(_first_ids(rows, order)).distinct(), "id", "left_semi")
+    rows, keys = _records(spark, sf_dir), ["college", "url", "digest"]
+    tasks = tasks_for(rows)
+    newest = maintenance.kept_best(rows.repartition(tasks, *keys), keys, ["crawled_at", "id"])
+    kept = rows.repartition(tasks, "id").join(newest.select("id").repartition(tasks, "id"), "id", "left_semi")
     report = upkeep.duplicate_report(kept, "college", "url", "digest")
     return report.select("college", F.col("total").alias("final_count"), "unique_urls", (F.col("duplicates") > 10000).alias("too_many"))
 
 
-def _first_ids(rows: DataFrame, order: list) -> DataFrame:
-    return rows.withColumn("r", F.row_number().over(upkeep.Window.partitionBy("college", "url", "digest").orderBy(*order))).where("r = 1").select("id")
-
-
 @query("delete_url", "select l_orderkey, l_linenumber from lineitem where l_partkey not in (select p_partkey from part where p_size = 7)")
 def delete_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of some addresses go as a unit."""
