@@ -11,7 +11,7 @@ from ..operators import entities, maintenance, metrics, upkeep
 from ..sources import grades, nested
 from ..storage import tasks_for
 from .corpus import _HOST, _KEY
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +267,7 @@ def scatter_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"units":["SAT/ACT","GPA"],"attributes":["In-State Status","Decision","Major"],"attributeValues":[["Out of State","In-State"],["Considering","Accepted","Rejected"],["Biology","History"]],"points":[{"values":'),
         value, F.lit(',"attributes":'), kinds, F.lit('},{"values":[0.5]},{"values":[null,0.5]}]}'),
     )
-    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.inline(grades.plotted_points(F.from_json(plot, grades.PLOT))))
+    found = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", "l_linenumber", F.inline(grades.plotted_points(F.from_json(plot, grades.PLOT))))
     return found.select("l_orderkey", "l_linenumber", "gpa", "sat_score", "outcome", "major", "residency")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import outcome, parse_cost, parse_percent, parse_ratio, residency
+from ..functions.text import held, outcome, parse_cost, parse_percent, parse_ratio, residency
 
 # What the page calls each grade and each number, and the names of their fields.
 GRADE_FIELDS = {
@@ -90,23 +90,26 @@ def plotted_points(plot: Column) -> Column:
     Values are shares of 4.0 and of 1600; attributes are places in the lists of labels. Points without an
     outcome, or whose gpa is not in (0, 4] or whose score is not above 0, go.
     """
-    units, names, labels = plot["units"], F.coalesce(plot["attributes"], F.array().cast("array<string>")), plot["attributeValues"]
-    gpa_at, score_at = _axis(units, 0, "gpa"), _axis(units, 1, "sat", "act", "score", without=("gpa",))
-    decision = _axis(names, 0, "decision", without=("type", "plan", "round"))
-    major_at = _axis(names, -1, "major", "field", without=("decision",))
-    home_at = _axis(names, -1, "state", "residency", without=("major", "field", "decision"))
-
-    def label(point: Column, at: Column) -> Column:
-        return F.trim(F.get(F.get(labels, at), F.get(point["attributes"], at)))
-
-    def made(p: Column) -> Column:
-        home = label(p, home_at)
+    def axes(p: Column) -> Column:
+        units, names = p["units"], F.coalesce(p["attributes"], F.array().cast("array<string>"))
         return F.struct(
-            F.bround(F.get(p["values"], gpa_at) * 4, 2).alias("gpa"), F.bround(F.get(p["values"], score_at) * 1600, 0).alias("sat_score"), outcome(label(p, decision)).alias("outcome"),
-            label(p, major_at).alias("major"), F.when(home.isNotNull(), residency(home)).alias("residency"),
+            _axis(units, 0, "gpa").alias("gpa"), _axis(units, 1, "sat", "act", "score", without=("gpa",)).alias("score"), _axis(names, 0, "decision", without=("type", "plan", "round")).alias("decision"),
+            _axis(names, -1, "major", "field", without=("decision",)).alias("major"), _axis(names, -1, "state", "residency", without=("major", "field", "decision")).alias("home"),
         )
 
-    return F.filter(F.transform(F.filter(plot["points"], lambda p: F.size(p["values"]) >= 2), made), is_point)
+    def read(plot: Column, at: Column) -> Column:
+        def label(point: Column, place: Column) -> Column:
+            return F.trim(F.get(F.get(plot["attributeValues"], place), F.get(point["attributes"], place)))
+
+        def made(p: Column) -> Column:
+            return F.struct(
+                F.bround(F.get(p["values"], at["gpa"]) * 4, 2).alias("gpa"), F.bround(F.get(p["values"], at["score"]) * 1600, 0).alias("sat_score"), held(label(p, at["decision"]), outcome).alias("outcome"),
+                label(p, at["major"]).alias("major"), held(label(p, at["home"]), lambda home: F.when(home.isNotNull(), residency(home))).alias("residency"),
+            )
+
+        return F.filter(F.transform(F.filter(plot["points"], lambda p: F.size(p["values"]) >= 2), made), is_point)
+
+    return held(plot, lambda p: held(axes(p), lambda at: read(p, at)))
 
 
 def is_point(p: Column) -> Column:
