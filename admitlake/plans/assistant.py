@@ -9,7 +9,7 @@ from ..functions import profiles, routing, text
 from ..functions.scores import GRADE_POINTS
 from ..operators import entities, ranking
 from .fixtures import CTES, points
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ def _usd(c: str) -> str:
     select p_partkey, array_to_string(list_filter(l, lambda x: x is not null), chr(10)) || chr(10) || chr(10) as block from l""")
 def school_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = F.array(*[F.lit(c) for c in ("identity", "admissions", "student", "cost", "aid", "outcome", "institution")])
-    return table(spark, sf_dir, "part").select("p_partkey", profiles.school_block({k: F.expr(v) for k, v in _SCHOOL.items()}, wanted).alias("block"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", profiles.school_block({k: F.expr(v) for k, v in _SCHOOL.items()}, wanted).alias("block"))
 
 
 _LETTER = "(['A+', 'A', 'A-', 'B+', 'B', 'B-', 'C+', 'C', 'C-', 'D+', 'D', 'D-', 'F'])[{} % 13 + 1]"
