@@ -1,8 +1,9 @@
 """Boosted trees under constraints: histogram trees grown level by level from grouped sums over all rows.
 
-Features are cut into bins once and rows written with their bins. For each level of a tree one job sums
-gradient and hessian by node, feature and bin; tasks add up their own rows, Spark adds up the tasks, and
-the sums (nodes x features x bins, whatever the number of rows) decide the splits. Monotone features
+Features are cut into bins once and rows written in blocks, each of a batch of rows, with their bins at a byte or two
+each: a block travels to Python as a few values, whatever its rows. For each level of a tree one job sums gradient and hessian by node, feature and bin, for the features that a node may still be split by;
+tasks add up their own rows, Spark adds up the tasks, and the sums (nodes x features x bins, whatever the
+number of rows) decide the splits. Monotone features
 keep both sides of a split in order and pass their middle on as a bound; a path keeps to one group of
 features that may meet. The sums of a tree's first level also tell the loss on rows held out, which stops
 the boosting.
@@ -16,7 +17,6 @@ from dataclasses import asdict, dataclass, field
 from math import log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from ..storage import written
 from .placing import placed
 
 #: Trees whose margins are computed anew in each job before they are written with the rows.
-PENDING = 16
+PENDING = 8
 
 
 @dataclass
@@ -67,15 +67,17 @@ class Tree:
 
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row of bins; bin -1 is a missing value."""
-        feature, cut, missing, left, right = (np.array(x) for x in (self.feature, self.cut, self.missing_left, self.left, self.right))
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        while True:
-            inner = feature[at] >= 0
-            if not inner.any():
-                return at
-            b = bins[rows, np.where(inner, feature[at], 0)]
-            goes_left = np.where(b < 0, missing[at], b <= cut[at])
-            at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
+        at, open_ = np.zeros(len(bins), np.intp), [(0, np.arange(len(bins)))]
+        while open_:
+            node, rows = open_.pop()
+            f = self.feature[node]
+            if f < 0 or not len(rows):
+                at[rows] = node
+                continue
+            b = bins[:, f][rows]
+            goes_left = b <= self.cut[node] if self.missing_left[node] else (b <= self.cut[node]) & (b >= 0)
+            open_ += [(self.left[node], rows[goes_left]), (self.right[node], rows[~goes_left])]
+        return at
 
     def values(self, bins: np.ndarray) -> np.ndarray:
         return np.array(self.value)[self.nodes(bins)]
@@ -93,7 +95,7 @@ class Booster:
     settings: Settings
 
     def binned(self, values: np.ndarray) -> np.ndarray:
-        return _binned(values, self.cuts)
+        return _binned(list(values.T), self.cuts)
 
     def importance(self) -> list[tuple[str, float]]:
         """Each feature's gain over all splits, largest first, those without any (of gain 0) last."""
@@ -105,10 +107,15 @@ class Booster:
         return sorted(gains.items(), key=lambda x: (-x[1], x[0]))
 
 
-def _binned(values: np.ndarray, cuts: list[list[float]]) -> np.ndarray:
-    out = np.empty(values.shape, np.int32)
-    for k, edges in enumerate(cuts):
-        column = values[:, k]
+def _kind(cuts: list[list[float]]) -> np.dtype:
+    """The smallest type that holds a bin of any of the features."""
+    return np.min_scalar_type(-1 - max((len(c) for c in cuts), default=0))
+
+
+def _binned(columns: list[np.ndarray], cuts: list[list[float]]) -> np.ndarray:
+    """Bins of rows (row, feature) from the values of each feature; each feature's bins lie together."""
+    out = np.empty((len(columns[0]) if columns else 0, len(cuts)), _kind(cuts), order="F")
+    for k, (column, edges) in enumerate(zip(columns, cuts)):
         out[:, k] = np.where(np.isnan(column), -1, np.searchsorted(np.array(edges), column, side="left"))
     return out
 
@@ -188,13 +195,13 @@ def fit_boosted(
     rows = written(_margins(given.select(_doubles(names).alias("values"), "y", "w", "held", drawn.alias("drawn")), cuts, base))
     pending: list[Tree] = []
     rng = np.random.default_rng(s.seed)
-    width = max((len(c) for c in cuts), default=0) + 2
     best = (float("inf"), 0)
     for step in range(s.trees + 1):
         chosen = sorted(rng.choice(len(features), max(1, round(s.columns * len(features))), replace=False).tolist())
         tree, open_ = Tree(), {0: (set(), -np.inf, np.inf)}
         for level in range(s.depth):
-            sums, losses = _level(rows, pending, tree, list(open_), len(features), width, s, step)
+            may = {} if step == s.trees else {node: sorted({k for g in groups if used <= g for k in g} & set(chosen)) for node, (used, _, _) in open_.items()}
+            sums, losses = _level(rows, pending, tree, may, cuts, s, step)
             if level == 0 and losses is not None:
                 model.held_losses.append(losses)
                 if losses < best[0] - 1e-12:
@@ -204,8 +211,7 @@ def fit_boosted(
                 return model
             following = {}
             for node, (used, low, high) in open_.items():
-                allowed = sorted({k for g in groups if used <= g for k in g} & set(chosen))
-                found = best_split(sums[node], allowed, monotone, low, high, s) if node in sums and allowed else None
+                found = best_split(sums[node], may[node], monotone, low, high, s) if node in sums and may[node] else None
                 if found is None:
                     continue
                 gain, f, cut, missing_left, v_left, v_right = found
@@ -223,72 +229,101 @@ def fit_boosted(
         model.trees.append(tree)
         pending.append(tree)
         if len(pending) == PENDING:
-            rows, pending = written(_added(rows, pending)), []
+            rows, pending = written(_added(rows, pending, cuts)), []
     return model
 
 
-def _margins(rows: DataFrame, cuts: list[list[float]], base: float) -> DataFrame:
-    size = len(cuts)
+@dataclass
+class Block:
+    """Rows that are stored and learned from together."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins = _binned(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size), cuts)
-            at = np.arange(len(bins) + 1, dtype=np.int32) * size
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(bins.ravel())), *batch.columns[1:], pa.array(np.full(len(bins), base))], ["bins", "y", "w", "held", "drawn", "margin"])
+    bins: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    held: np.ndarray
+    drawn: np.ndarray
+    margin: np.ndarray
 
-    return rows.mapInArrow(task, "bins array<int>, y double, w double, held boolean, drawn long, margin double")
 
+_BLOCK = "bins binary, y binary, w binary, held binary, drawn binary, margin binary"
 
-def _read(batch: pa.RecordBatch, pending: list[Tree], size: int) -> tuple[np.ndarray, np.ndarray]:
-    bins = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-    margin = batch.column("margin").to_numpy(zero_copy_only=False).copy()
-    for tree in pending:
-        margin += tree.values(bins)
-    return bins, margin
 
+def _margins(rows: DataFrame, cuts: list[list[float]], base: float) -> DataFrame:
+    """Rows of values, y, w, held and drawn in blocks, with their bins and the margin to start from."""
+    size = len(cuts)
 
-def _added(rows: DataFrame, pending: list[Tree]) -> DataFrame:
-    """rows with the pending trees in their margins."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            bins = _binned(list(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).T), cuts)
+            y, w, held, drawn = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+            kept = (bins.T, y.astype(np.int8), w, held, drawn, np.full(len(bins), base))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in kept], ["bins", "y", "w", "held", "drawn", "margin"])
+
+    return rows.mapInArrow(task, _BLOCK)
+
+
+def _read(batches: Iterator[pa.RecordBatch], pending: list[Tree], cuts: list[list[float]]) -> Iterator[Block]:
+    """The blocks of the batches, with the pending trees in their margins."""
+    kinds = (_kind(cuts), np.int8, np.float64, np.bool_, np.int64, np.float64)
+    for batch in batches:
+        for row in zip(*batch.select(["bins", "y", "w", "held", "drawn", "margin"]).columns):
+            bins, y, w, held, drawn, margin = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, kinds))
+            block = Block(bins.reshape(len(cuts), -1).T, y, w, held, drawn, margin.copy())
+            for tree in pending:
+                block.margin += tree.values(block.bins)
+            yield block
+
+
+def _added(rows: DataFrame, pending: list[Tree], cuts: list[list[float]]) -> DataFrame:
+    """The blocks with the pending trees in their margins."""
     shared = rows.sparkSession.sparkContext.broadcast(pending)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = len(batch.column("bins")[0]) if len(batch) else 1
-            yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(_read(batch, shared.value, size)[1]))
+            margins = pa.array([b.margin.tobytes() for b in _read(iter([batch]), shared.value, cuts)], pa.binary())
+            yield batch.set_column(batch.schema.get_field_index("margin"), "margin", margins)
+
+    return rows.mapInArrow(task, _BLOCK)
 
-    return rows.mapInArrow(task, rows.schema)
 
+def _level(rows: DataFrame, pending: list[Tree], tree: Tree, may: dict[int, list[int]], cuts: list[list[float]], s: Settings, step: int) -> tuple[dict[int, np.ndarray], float | None]:
+    """Sums of gradient and hessian by open node, feature and bin over the rows of all blocks that the tree sees, and, on a tree's first level, the mean loss of the rows held out.
 
-def _level(rows: DataFrame, pending: list[Tree], tree: Tree, nodes: list[int], size: int, width: int, s: Settings, step: int) -> tuple[dict[int, np.ndarray], float | None]:
-    """Sums of gradient and hessian by open node, feature and bin over the rows that the tree sees, and the mean loss of the rows held out."""
+    may: for each open node the features that may split it; features that split none have sums of 0.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((pending, tree))
-    share = int(s.rows * (1 << 30))
+    share, size, width = int(s.rows * (1 << 30)), len(cuts), max((len(c) for c in cuts), default=0) + 2
+    nodes, measured = np.array(list(may), np.int64), len(tree.feature) == 1
+    wanted = sorted({f for features in may.values() for f in features})
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, tree = shared.value
-        held_sums: dict[int, np.ndarray] = {}
+        slot = np.full(len(tree.feature), -1)
+        slot[nodes] = np.arange(len(nodes))
+        sums = np.zeros((len(wanted), 2, len(nodes) * width))
         loss = np.zeros(2)
-        for batch in batches:
-            bins, margin = _read(batch, pending, size)
-            y, w, held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "held"))
-            p = 1 / (1 + np.exp(-margin))
-            sure = np.clip(np.where(y > 0, p, 1 - p), 1e-15, 1)
-            loss += [-(w * np.log(sure))[held].sum(), w[held].sum()]
-            seen = ~held
+        for block in _read(batches, pending, cuts):
+            y, w, p = block.y, block.w, 1 / (1 + np.exp(-block.margin))
+            if measured:
+                sure = np.clip(np.where(y > 0, p, 1 - p), 1e-15, 1)
+                loss += [-(w * np.log(sure))[block.held].sum(), w[block.held].sum()]
+            seen = ~block.held
             if s.rows < 1:
-                seen &= (batch.column("drawn").to_numpy() * 2654435761 + step * 97003) % (1 << 30) < share
-            at = tree.nodes(bins)
-            for node in nodes:
-                mine = np.flatnonzero(seen & (at == node))
-                if len(mine):
-                    cell = (np.arange(size) * width + bins[mine] + 1).ravel()
-                    g, h = w[mine] * (p[mine] - y[mine]), w[mine] * p[mine] * (1 - p[mine])
-                    both = np.stack([np.bincount(cell, np.repeat(x, size), size * width) for x in (g, h)], 1)
-                    held_sums[node] = held_sums.get(node, 0) + both
-        for node, both in held_sums.items():
-            at = np.flatnonzero(both.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), node, np.int32)), pa.array(at.astype(np.int32)), pa.array(both[at, 0]), pa.array(both[at, 1])], ["node", "cell", "g", "h"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array(loss[:1]), pa.array(loss[1:])], ["node", "cell", "g", "h"])
+                seen &= (block.drawn * 2654435761 + step * 97003) % (1 << 30) < share
+            at = slot[tree.nodes(block.bins)]
+            mine = np.flatnonzero(seen & (at >= 0))
+            first, g, h = at[mine] * width + 1, (w * (p - y))[mine], (w * p * (1 - p))[mine]
+            for k, f in enumerate(wanted):
+                cell = first + block.bins[:, f][mine]
+                for part, x in zip(sums[k], (g, h)):
+                    part += np.bincount(cell, x, len(part))
+        for k, f in enumerate(wanted):
+            at = np.flatnonzero(sums[k].any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at // width].astype(np.int32)), pa.array((f * width + at % width).astype(np.int32)), pa.array(sums[k, 0, at]), pa.array(sums[k, 1, at])], ["node", "cell", "g", "h"])
+        if measured:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array(loss[:1]), pa.array(loss[1:])], ["node", "cell", "g", "h"])
 
     found = rows.mapInArrow(task, "node int, cell int, g double, h double").groupBy("node", "cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
     sums: dict[int, np.ndarray] = {}
@@ -304,16 +339,14 @@ def boosted_scores(model: Booster, df: DataFrame, name: str = "score") -> DataFr
     """df with the chance of label 1; an old column of that name gives way."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def chance(values: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def chance(values: pa.Array) -> pa.Array:
         m = shared.value
-        if not len(values):
-            return pd.Series([], dtype="float64")
-        bins = m.binned(np.stack(values.to_numpy()))
+        bins = m.binned(values.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(m.features)))
         margin = np.full(len(bins), m.base)
         for tree in m.trees:
             margin += tree.values(bins)
-        return pd.Series(1 / (1 + np.exp(-margin)))
+        return pa.array(1 / (1 + np.exp(-margin)))
 
     return df.withColumn(name, chance(_doubles(model.features)))
 

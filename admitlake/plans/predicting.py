@@ -100,13 +100,14 @@ def boosted_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
     training and over all points in predictions; a fifth of the schools, by hash, says when to stop.
     """
     fold = F.pmod(F.xxhash64("order_id", "line_no"), F.lit(5)).cast("int")
-    known = training.training_set(points(spark, sf_dir), schools(spark, sf_dir), grades(spark, sf_dir))
-    coded = written(training.out_of_fold(known, "school_id", "admitted", fold, 300.0).withColumnRenamed("encoding", "school_encoding").withColumn("held", F.pmod(F.xxhash64("school_id"), F.lit(5)) == 0))
     names = list(FEATURES)
+    known = written(training.training_set(points(spark, sf_dir), schools(spark, sf_dir), grades(spark, sf_dir)).select("order_id", "line_no", "school_id", "admitted", *names[:-1]))
+    held = F.pmod(F.xxhash64("school_id"), F.lit(5)) == 0
+    coded = written(training.out_of_fold(known, "school_id", "admitted", fold, 300.0).select(*names[:-1], F.col("encoding").alias("school_encoding"), "admitted", held.alias("held")))
     settings = boosting.Settings(trees=12, depth=4, rate=0.2, bins=32, patience=4)
     model = boosting.fit_boosted(coded, names, "admitted", held="held", settings=settings, monotone=predicting.monotone_vector(names), groups=predicting.interaction_groups(names))
     means = training.smoothed_means(known, "school_id", "admitted", 300.0).select("school_id", F.col("encoding").alias("school_encoding"))
     requests = _requests(spark, sf_dir).join(means, "school_id", "left")
-    scored = boosting.boosted_scores(model, requests)
-    found = predicting.compared(predicting.predictions(scored), "order_id", "line_no")
-    return found.select("order_id", "line_no", "error", "probability", "low", "high", "class", "place")
+    asked = requests.select("order_id", "line_no", "error", "given_gpa", *names)
+    told = predicting.predictions(boosting.boosted_scores(model, asked)).select("order_id", "line_no", "error", "probability", "low", "high", "class")
+    return predicting.compared(written(told), "order_id", "line_no")

@@ -198,3 +198,23 @@ def test_calibration_is_chosen_on_other_rows_and_buckets_are_pooled(spark, table
     pooled = boosting.pooled_by_bucket(models, bucketed, "bucket")
     assert pooled.count() == 600 and pooled.where("score is null").count() == 200
     assert metrics.auc(pooled.where("score is not null"), "score", "y").first()["auc"] > 0.6
+
+
+def test_rows_are_kept_in_blocks_and_sums_are_made_for_features_that_may_split(spark, table, monkeypatch):
+    kept, levels = [], []
+    keep, level = boosting.written, boosting._level
+
+    def seen(*given):
+        sums, loss = level(*given)
+        levels.append((given[3], sums))
+        return sums, loss
+
+    monkeypatch.setattr(boosting, "written", lambda df: kept.append(keep(df)) or kept[-1])
+    monkeypatch.setattr(boosting, "_level", seen)
+    monkeypatch.setattr(boosting, "PENDING", 1)
+    boosting.fit_boosted(table, NAMES, "y", "w", settings=Settings(trees=2, depth=2), groups=[[0, 1], [2, 3]])
+    assert len(kept) == 3 and all(0 < df.count() <= table.rdd.getNumPartitions() for df in kept)
+    for may, sums in levels:
+        wanted = {f for features in may.values() for f in features}
+        assert all(not sums[node][f].any() for node in sums for f in set(range(4)) - wanted)
+    assert any(0 < len({f for features in may.values() for f in features}) < 4 for may, _ in levels)
