@@ -249,7 +249,7 @@ def nested_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     deep = (c % 7).cast("int")
     state = F.concat(F.lit('{"a":1,"state":'), F.repeat(F.lit('{"x":['), deep), facts, F.repeat(F.lit("]}"), deep), F.lit("}"))
-    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit('<script id="__NEXT_DATA__">'), state, F.lit("</script>")).alias("html"))
+    pages = spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", F.concat("html", F.lit('<script id="__NEXT_DATA__">'), state, F.lit("</script>")).alias("html"))
     found = nested.profiles(pages, "page_id", "html")
     told = F.array_join(F.transform(F.map_entries("grades"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return found.select("page_id", told.alias("grades"), F.col("numbers")["niche_rank"].cast("long").alias("rank"), F.try_element_at("numbers", F.lit("acceptance_rate_niche")).alias("acceptance"), F.get("points", F.lit(0))["gpa"].alias("gpa"))

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import held
+
 # Header names that a seed file may use.
 NAME_HEADERS = ("name", "college_name", "university_name", "school_name")
 URL_HEADERS = ("url", "website", "link", "college_url", "university_url")
@@ -134,8 +136,7 @@ def parsed_events(body: Column, schema: str) -> Column:
 def embedded_state(html: Column) -> Column:
     """JSON that a page carries for its scripts: the preloaded state, else the next-data element; null if neither is JSON."""
     pattern = (r"(?s)window\.__PRELOADED_STATE__\s*=\s*(\{.*?\})\s*;?\s*</script>", r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>\s*(\{.*?\})\s*</script>')
-    found = [F.regexp_extract(html, p, 1) for p in pattern]
-    return F.coalesce(*[F.when(F.try_parse_json(x).isNotNull(), x) for x in found])
+    return F.coalesce(*[held(F.regexp_extract(html, p, 1), lambda x: F.when(F.try_parse_json(x).isNotNull(), x)) for p in pattern])
 
 
 def fenced_json(answer: Column, schema: str) -> Column:

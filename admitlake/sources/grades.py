@@ -53,8 +53,13 @@ def grades_in(html: Column) -> Column:
 def number_of(label: Column, raw: Column) -> Column:
     """The struct field, number, text of a label and value on the page; null for other labels. Settings and affiliations stay text, numbers that do not parse are null."""
     field = F.try_element_at(F.create_map(*[F.lit(x) for item in NUMBER_FIELDS.items() for x in item]), F.lower(F.trim(label)))
-    number = F.when(field == "avg_annual_cost", parse_cost(raw).cast("double")).when(field == "student_faculty_ratio_niche", parse_ratio(raw)).when(~field.isin("setting", "religious_affiliation"), parse_percent(raw))
-    return F.when(field.isNotNull(), F.struct(field.alias("field"), number.alias("number"), F.when(field.isin("setting", "religious_affiliation"), F.trim(raw)).alias("text")))
+
+    def told(field: Column) -> Column:
+        is_text = field.isin("setting", "religious_affiliation")
+        number = F.when(field == "avg_annual_cost", parse_cost(raw).cast("double")).when(field == "student_faculty_ratio_niche", parse_ratio(raw)).when(~is_text, parse_percent(raw))
+        return F.when(field.isNotNull(), F.struct(field.alias("field"), number.alias("number"), F.when(is_text, F.trim(raw)).alias("text")))
+
+    return held(field, told)
 
 
 def merged_profile(grades: Column, numbers: Column) -> Column:

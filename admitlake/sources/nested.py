@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import held
 from ..storage import shared_dir, written
 from .files import embedded_state
 from .grades import GRADE_FIELDS, PLOT, grades_in, number_of, numbers_in, plotted_points
@@ -45,7 +46,7 @@ def walked(docs: DataFrame, key: str, json: str, depth: int = DEPTH) -> DataFram
     own_block = F.exists(F.col("node").try_cast("array<variant>"), lambda v: F.coalesce(F.try_variant_get(v, "$.template", "string") == PLOT_BLOCK, F.lit(False)))
 
     def marked(df: DataFrame) -> DataFrame:
-        df = df.withColumn("node", F.try_parse_json("text")).where(_is_container(F.col("node"))).withColumn("is_list", _kind(F.col("node")).startswith("ARRAY"))
+        df = df.withColumns({"node": F.try_parse_json("text"), "is_list": F.col("text").startswith("[")})
         here = F.when(F.col("is_list") & (F.size("path") <= BLOCK_DEPTH), F.when(own_block, F.col("path")))
         return df.withColumn("block", F.coalesce(F.col("block"), here)) if "block" in df.columns else df.withColumn("block", here)
 
@@ -56,7 +57,9 @@ def walked(docs: DataFrame, key: str, json: str, depth: int = DEPTH) -> DataFram
         df.write.parquet(f"{base}/level={at}")
         return spark.read.schema(df.schema).parquet(f"{base}/level={at}")
 
-    level = kept(marked(docs.select(key, F.array().cast("array<int>").alias("path"), F.col(json).alias("text"))), 0)
+    # Explode keeps the text from being made again for the filter and each column; below the whole, what is a container by its value needs no filter.
+    whole = docs.select(key, F.explode(F.array(F.col(json))).alias("text")).select(key, F.inline(F.array(F.struct("text", F.try_parse_json("text").alias("sound")))))
+    level = kept(marked(whole.where("sound is not null").where(F.col("text").rlike(r"^\s*[\[{]")).select(key, F.array().cast("array<int>").alias("path"), F.regexp_replace("text", r"^\s+", "").alias("text"))), 0)
     schema = level.schema
     members = F.from_json("text", "map<string,string>")
     inner = F.map_keys(F.map_filter(F.col("node").try_cast("map<string,variant>"), lambda _, v: _is_container(v)))
@@ -81,12 +84,12 @@ def _number(node: Column, name: str) -> Column:
 
 def _said(node: Column, *names: str) -> Column:
     """The first of the members that is a text which is not empty or a number other than 0, as text."""
-    found = []
-    for name in names:
-        at, text = F.try_variant_get(node, f"$['{name}']", "variant"), F.try_variant_get(node, f"$['{name}']", "string")
-        zero = F.coalesce(F.try_variant_get(node, f"$['{name}']", "double") == 0, F.lit(False)) & (_kind(at) != "STRING")
-        found.append(F.when(_kind(at).rlike("^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)") & (text != "") & ~zero, text))
-    return F.coalesce(*found)
+
+    def one(at: Column) -> Column:
+        text, zero = F.try_variant_get(at, "$", "string"), F.coalesce(F.try_variant_get(at, "$", "double") == 0, F.lit(False))
+        return F.when(at.isNotNull(), held(_kind(at), lambda kind: F.when((kind == "STRING") | kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & ~zero, F.nullif(text, F.lit("")))))
+
+    return F.coalesce(*[held(F.try_variant_get(node, f"$['{name}']", "variant"), one) for name in names])
 
 
 def _first_number(node: Column, names: tuple[str, ...], fine) -> Column:
@@ -95,16 +98,19 @@ def _first_number(node: Column, names: tuple[str, ...], fine) -> Column:
 
 def _by_key(name: Column, value: Column) -> Column:
     """What a member of its own says by its name, as number_of gives it."""
-    low, text = F.lower(name), F.try_variant_get(value, "$", "string")
-    fits = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-    label = F.when(F.lit(False), "")
-    for words, says in KEY_PARTS:
-        label = label.when(fits(words), says)
-    is_text = _kind(value) == "STRING"
-    label = label.when((low == "setting") & is_text, "setting").when(low.contains("religious") & is_text, "religious affiliation")
-    for words, says in MORE_KEY_PARTS:
-        label = label.when(fits(words), says)
-    return F.when(~_is_container(value), number_of(label, text))
+
+    def label(low: Column) -> Column:
+        fits = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+        says = F.when(F.lit(False), "")
+        for words, said in KEY_PARTS:
+            says = says.when(fits(words), said)
+        is_text = _kind(value) == "STRING"
+        says = says.when((low == "setting") & is_text, "setting").when(low.contains("religious") & is_text, "religious affiliation")
+        for words, said in MORE_KEY_PARTS:
+            says = says.when(fits(words), said)
+        return says
+
+    return held(held(F.lower(name), label), lambda says: F.when(says.isNotNull() & ~_is_container(value), number_of(says, F.try_variant_get(value, "$", "string"))))
 
 
 def stats_found(walk: DataFrame, key: str) -> DataFrame:
@@ -149,7 +155,7 @@ def profiles(pages: DataFrame, key: str, html: str) -> DataFrame:
     The page's embedded JSON is asked first; a page whose JSON names no grade is read for grades as text, one whose JSON
     names no number likewise. Every page has a row; what it does not say is empty.
     """
-    state = pages.select(key, embedded_state(F.col(html)).alias("state")).where("state is not null")
+    state = pages.select(key, embedded_state(F.col(html)).alias("state"))
     walk = walked(state, key, "state")
     by_field = lambda df, value, name: df.where(F.col(value).isNotNull()).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", value)))).alias(name))
     stats = written(stats_found(walk, key))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from admitlake.functions import text
-from admitlake.sources import grades, nested
+from admitlake.sources import files, grades, nested
 
 
 def made(draw, depth=0):
@@ -149,3 +149,12 @@ def test_pages_by_json_and_else_by_text(spark):
     assert found[1]["grades"] == {"academics": "A-"} and found[1]["numbers"] == {"avg_annual_cost": 18000.0, "niche_rank": 12.0}
     assert found[2]["grades"] == {"dorms": "B"} and found[2]["numbers"] == {"acceptance_rate_niche": 0.45}
     assert found.keys() == {1, 2, 3, 4} and not found[4]["grades"] and not found[4]["numbers"] and not found[4]["points"]
+
+
+def test_labels_and_embedded_text_are_made_once(spark):
+    assert str(grades.number_of(F.col("lbl"), F.col("raw"))).count("lbl") == 1
+    assert str(nested._by_key(F.col("lbl"), F.col("v"))).count("lbl") == 1
+    assert str(files.embedded_state(F.col("page"))).count("page") == 2
+    texts = [(1, ' \n{"a": {"rank": 3}}'), (2, '"[1]"'), (3, "7"), (4, '{"a": "{}", "b": "[]"}'), (5, "{broken")]
+    walk = nested.walked(spark.createDataFrame(texts, "id int, t string"), "id", "t").select("id", "path", "is_list").collect()
+    assert sorted((r["id"], r["path"], r["is_list"]) for r in walk) == [(1, [], False), (1, [0], False), (4, [], False)]
